@@ -47,6 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fenced(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), with the condition kept above the projections that made its columns: pushed below
+    them, it would hold their array expressions once more, to be computed for each element of a lambda."""
+    return df.withColumn("_fence", F.monotonically_increasing_id()).where(condition & (F.col("_fence") >= 0))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is. lower() does just that where all is ASCII, and is faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

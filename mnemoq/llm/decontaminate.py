@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, sql_strings, stored, table
+from .common import ascii_lower, fenced, sql_strings, stored, table
 
 WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,7 +73,7 @@ def _hits_by_join(d: DataFrame, windows: DataFrame) -> DataFrame:
         f"transform(sequence(1, size(_dc_w) - {n - 1}), i -> struct(xxhash64(array_join(slice(_dc_w, i, {n}), ' ')) as h, i as pos, {n} as len))"
         for n in lens
     ]
-    parts = [d.where(F.size("_dc_w") >= n).select("_dc_id", F.explode(F.expr(e)).alias("g")).select("_dc_id", "g.*") for n, e in zip(lens, of, strict=True)]
+    parts = [d.where(F.size("_dc_w") >= n).select("_dc_id", F.explode_outer(F.expr(e)).alias("g")).select("_dc_id", "g.*") for n, e in zip(lens, of, strict=True)]
     if not parts:
         return d.withColumn("_dc_hits", F.expr("cast(array() as array<struct<pos:int,len:int,window:string>>)"))
     keys = grams.select(F.xxhash64("window").alias("h"), "len").distinct()
@@ -105,7 +105,7 @@ def contaminated(n_hit: Column, n_words: Column, one_in: int = 20) -> Column:
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
     """docs without the contaminated ones; the columns and all other rows as they were."""
     d, _ = annotate(docs, benchmark, window, max_set)
-    return d.where(~contaminated(F.col("_dc_n"), F.size("_dc_w").cast("long"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return fenced(d, ~contaminated(F.col("_dc_n"), F.size("_dc_w").cast("long"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:

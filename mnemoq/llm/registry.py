@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, url_filter
+from . import decontaminate, line_dedup, quality, url_filter
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_url_filter": url_filter.op9_url_filter,
 }
