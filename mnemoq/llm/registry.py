@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, quality, url_filter
+from . import chat, decontaminate, huffman_files, line_dedup, packing, quality, url_filter
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op6_huffman_files": huffman_files.op6_huffman_files,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_chat_format": chat.op8_chat_format,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_pattern_packing": packing.op10_pattern_packing,
 }
 
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_chat_format": chat.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
 }
