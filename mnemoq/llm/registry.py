@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, huffman_files, line_dedup, packing, quality, url_filter
+from . import chat, decontaminate, huffman_files, line_dedup, lm_score, near_dedup, packing, pii, quality, url_filter
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_pii_pseudonyms": pii.op4_pii_pseudonyms,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_huffman_files": huffman_files.op6_huffman_files,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_chat_format": chat.op8_chat_format,
