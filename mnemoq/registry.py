@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from mnemoq.operators import retrieval, telemetry
+
 FLAGSHIP = "e16_rrf_hybrid"
-QUERIES: dict = {}
-ORACLES: dict = {}
+_MODULES = (telemetry, retrieval)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
