@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mnemoq.operators import retrieval, telemetry
+from mnemoq.functions import text
+from mnemoq.operators import graph, retrieval, telemetry
 
 FLAGSHIP = "e16_rrf_hybrid"
-_MODULES = (telemetry, retrieval)
+_MODULES = (telemetry, retrieval, graph, text)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
