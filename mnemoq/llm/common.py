@@ -38,6 +38,16 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a row number that is the same wherever the result is read again.
+
+    Numbers come from the place of a row in its partition. A scan's partitions are always the same; what
+    lies behind an exchange may be cut otherwise by the next job, so such rows are written down first.
+    """
+    out = df.withColumn(name, F.monotonically_increasing_id())
+    return stored(out, "numbered") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else out
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows, so that very long texts don't add up to more than a task's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

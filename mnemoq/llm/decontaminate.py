@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fenced, sql_strings, stored, table
+from .common import ascii_lower, fenced, numbered, sql_strings, stored, table
 
 WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,8 +88,10 @@ def _hits_by_join(d: DataFrame, windows: DataFrame) -> DataFrame:
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> tuple[DataFrame, DataFrame]:
     """docs with _dc_id, _dc_w (words), _dc_hits (verified, every occurrence), _dc_n (words hit); and the windows."""
     windows = stored(benchmark_windows(benchmark, window), "bench-windows", 1)
-    d = docs.withColumn("_dc_id", F.monotonically_increasing_id()).withColumn("_dc_w", words(F.col("text")))
     small = windows.limit(max_set + 1).count() <= max_set
+    # the join path reads the rows more than once and needs the same numbers each time
+    d = docs.withColumn("_dc_id", F.monotonically_increasing_id()) if small else numbered(docs, "_dc_id")
+    d = d.withColumn("_dc_w", words(F.col("text")))
     d = (_hits_by_set if small else _hits_by_join)(d, windows)
     # words covered: walk the hits by position, counting what lies past the end of those before
     d = d.withColumn("_dc_n", F.expr(

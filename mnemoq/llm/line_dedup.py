@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stored, table
+from .common import numbered, small_batches, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BITS = 24  # each map has 2**BITS bits
@@ -184,7 +184,7 @@ def _with_rare(docs: DataFrame, keys: DataFrame, sent, min_chars: int) -> DataFr
                 got += new
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(got, pa.binary())], names=["_ld_id", "key"])
 
-    d = docs.withColumn("_ld_id", F.monotonically_increasing_id())
+    d = numbered(docs, "_ld_id")
     found = d.select("_ld_id", "text").mapInArrow(lines, "_ld_id long, key binary").join(keys.select("key", "keep"), "key")
     mine = found.join(d.select("_ld_id", "doc_id"), "_ld_id").where(~F.col("doc_id").eqNullSafe(F.col("keep"))).groupBy("_ld_id").agg(F.collect_set("key").alias("_ld_drop"))
     return d.join(mine, "_ld_id", "left").drop("_ld_id")

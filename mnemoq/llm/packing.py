@@ -195,7 +195,7 @@ def pieces(docs: DataFrame, path: str, size: int, end: int, with_ids: bool) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, with_ids: bool = False, max_broadcast: int = 2_000_000) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, with_ids: bool = False, max_broadcast: int = 200_000) -> DataFrame:
     """One row per piece, with its sequence_id and offset; with_ids adds the ids, little-endian 32-bit."""
     spark = docs.sparkSession
     small_batches(spark)
