@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from mnemoq.functions import text
+from mnemoq.functions import commands, text
 from mnemoq.operators import graph, retrieval, telemetry
 
 FLAGSHIP = "e16_rrf_hybrid"
-_MODULES = (telemetry, retrieval, graph, text)
+_MODULES = (telemetry, retrieval, graph, text, commands)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
