@@ -83,7 +83,8 @@ def git_diff(ls: Column) -> Column:
     def one(i: Column, k: Column) -> Column:
         end = F.coalesce(F.get(heads, k + 1), F.size(ls))
         body = F.slice(ls, i + 2, F.greatest(end - i - 1, F.lit(0)))
-        plus, minus = (F.filter(body, lambda x, c=c: F.startswith(x, F.lit(c)) & ~F.startswith(x, F.lit(c * 3))) for c in "+-")
+        plus = F.filter(body, lambda x: F.regexp_like(x, F.lit(r"^\+(?!\+\+)")))
+        minus = F.filter(body, lambda x: F.regexp_like(x, F.lit("^-(?!--)")))
         first = F.left(F.coalesce(F.get(F.filter(body, lambda x: F.regexp_like(x, F.lit(r"^[+-](?![+-]{2})"))), F.lit(0)), F.lit("")), F.lit(80))
         return F.when(F.startswith(F.get(ls, i), F.lit("@@")), F.concat(F.get(ls, i), F.lit(" +"), F.size(plus).cast("string"), F.lit(" -"), F.size(minus).cast("string"), F.lit(" :: "), first)).otherwise(F.get(ls, i))
 
