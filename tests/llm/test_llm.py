@@ -314,8 +314,8 @@ def test_probabilities_add_up():
     total = 0
     for i in range(4):
         n, bit, depth, slots = s(np.array([1, i]), np.array([True, False]))
-        x, _ = lm_score._inputs(counts, slots[:, n[0] :], None)
-        p = 1 / (1 + np.exp(-(0.3 * x).sum(axis=1)))
+        x, _ = lm_score.Inputs(counts)(slots[:, n[0] :])
+        p = 1 / (1 + np.exp(-(0.3 * x).sum(axis=0)))
         total += np.prod(np.where(bit[n[0] :] == 1, p, 1 - p))
     assert abs(total - 1) < 1e-5
 
