@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from mnemoq.functions import commands, text
+from mnemoq.functions import commands, shell, text
 from mnemoq.operators import graph, retrieval, telemetry
 from mnemoq.sources import transcripts
 
 FLAGSHIP = "e16_rrf_hybrid"
-_MODULES = (telemetry, retrieval, graph, text, commands, transcripts)
+_MODULES = (telemetry, retrieval, graph, text, commands, shell, transcripts)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
