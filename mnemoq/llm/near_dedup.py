@@ -7,11 +7,13 @@ generate overlaps, union sketches filter them, exact Jaccard on the full sets ve
    ``SHARED`` once in about a million pairs. So only the INDEXED - SHARED + 1 values of each
    document which the fewest others hold need a place in the inverted lists (prefix filtering).
    Values of a passage that many documents share come last in that order and mostly get none.
-3. Lists are not expanded into pairs. Each member is first compared with one pivot of its list. The
-   links found make components. Lists whose members lie in one component are done. In the others
-   the members outside the largest component are compared with all members of other components, in
-   tiles of bounded size, so no link between different texts is lost and no task holds a whole list.
-4. Every comparison goes by union sketch first, then by the full sets, shuffled for these pairs alone.
+3. Lists are not expanded into pairs. Each member is first compared with one pivot of its list, the
+   member whose values are the most widely held. The links found make components. Lists whose
+   members lie in one component are done. In the others the members outside the largest component
+   meet all members of other components, in tiles of bounded size, so no link between different
+   texts is lost and no task holds a whole list. A tile compares a pair only if this is the first list
+   that both are in, and returns the links that join two components, so fewer rows than it has read.
+4. Every comparison goes by union sketch first, then by the full sets.
 5. Components: the least label of the neighbours, then the label's label, until nothing changes.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; texts shorter than a
@@ -35,7 +37,7 @@ SHINGLE = 5
 PERCENT = 75
 K = 64
 INDEXED, SHARED = 24, 7
-ESTIMATE = 0.5  # union sketches below this are 4.6 standard deviations under 0.75
+ESTIMATE = 0.52  # union sketches below this are 4.2 standard deviations under 0.75
 TILE = 1024
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -109,17 +111,17 @@ def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def inverted(reps: DataFrame, percent: int) -> DataFrame:
-    """(value, doc_id, n, sketch): the entries of the lists with two members at least."""
+    """(doc_id, values, centre): the values under which a document is listed, none of them its own alone."""
     v = reps.select("doc_id", "n", F.explode("low").alias("value"))
     df = v.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = v.join(df, "value")  # values that one document alone holds go; they still count in the prefix, below
     # sets up to INDEXED values are known whole: there the share may be counted exactly
     need = F.expr(f"if(n <= {INDEXED}, cast(ceil({percent} * n / 100.0) as int), {SHARED})")
-    own = shared.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+    own = shared.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"), F.sum("df").alias("centre"))
     place = F.least(F.col("n"), F.lit(INDEXED)) - need + 1  # the prefix's length
     alone = F.least(F.col("n"), F.lit(INDEXED)) - F.size("v")  # values of it that no other document holds
     own = own.withColumn("v", F.slice("v", F.lit(1), F.greatest(place - alone, F.lit(0)).cast("int")))
-    return own.select("doc_id", "n", F.explode("v.value").alias("value"))
+    return own.select("doc_id", F.col("v.value").alias("values"), "centre").where(F.size("values") > 0)
 
 
 def _near(rows: DataFrame, percent: int) -> DataFrame:
@@ -174,29 +176,56 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _tiles(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) that may be similar among (value, doc_id, n, sketch, component): pairs across components of a list."""
+def _tiles(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among (value, doc_id, values, n, sketch, component) that join components of a list."""
     per = entries.groupBy("value", "component").agg(F.count("*").alias("m"))
     lists = per.groupBy("value").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
     lists = lists.where("all > top.m").select("value", F.col("top.component").alias("main"), F.expr(f"cast(ceil(top.m / {TILE}) as int)").alias("ta"), F.expr(f"cast(ceil((all - top.m) / {TILE}) as int)").alias("tb"))
     e = entries.join(lists, "value").withColumn("inner", F.col("component") == F.col("main"))
     e = e.withColumn("k", F.when(F.col("inner"), F.expr("cast(pmod(xxhash64(doc_id), ta) as int)")).otherwise(F.expr("cast(pmod(xxhash64(doc_id), tb) as int)")))
     # a tile is two chunks: one of the main component and one of the others, or two of the others
-    mine = "if(inner, transform(sequence(0, tb - 1), j -> struct(0 as kind, k as i, j as j, 0 as side)), concat(transform(sequence(0, ta - 1), i -> struct(0 as kind, i as i, k as j, 1 as side)), transform(sequence(0, tb - 1), j -> struct(1 as kind, least(k, j) as i, greatest(k, j) as j, if(j >= k, 0, 1) as side))))"
-    dealt = e.select("value", "doc_id", "n", "sketch", "component", F.explode(F.expr(mine)).alias("t")).select("value", "t.*", "doc_id", "n", "sketch", "component")
+    mine = "if(inner, transform(sequence(0, tb - 1), j -> struct(0 as kind, k as i, j as j)), concat(transform(sequence(0, ta - 1), i -> struct(0 as kind, i as i, k as j)), transform(sequence(0, tb - 1), j -> struct(1 as kind, least(k, j) as i, greatest(k, j) as j))))"
+    dealt = e.select("value", "doc_id", "values", "n", "sketch", "component", F.explode(F.expr(mine)).alias("t")).select("value", "t.*", "doc_id", "values", "n", "sketch", "component").join(sets, "doc_id")
 
     def run(key, t):  # at most two chunks
-        ids, ns, comp, sk = t["doc_id"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy(), _padded(t["sketch"].to_pylist())
+        ids, ns, comp = t["doc_id"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy()
+        sk, values, sets_ = _padded(t["sketch"].to_pylist()), [set(v) for v in t["values"].to_pylist()], t["hashes"]
+        value, kind = key[0].as_py(), key[1].as_py()
+        name, at = np.unique(comp, return_inverse=True)
+        root, full = at.copy(), {}
+        of = lambda i: full[i] if i in full else full.setdefault(i, np.frombuffer(sets_[i].as_py(), np.uint64))
+        holders: dict[int, list[int]] = {}
+        for i, row in enumerate(sk.tolist()):
+            for x in row:
+                if x != 0xFFFFFFFF:
+                    holders.setdefault(x, []).append(i)
+        holders = {x: np.array(h) for x, h in holders.items() if len(h) > 1}
+        biggest = np.bincount(at).argmax()
         a, b = [], []
         for i in range(len(ids)):
-            j = np.nonzero((comp != comp[i]) & (ids > ids[i]) & _sizes_fit(ns, ns[i], percent))[0]
+            if kind == 0 and at[i] == biggest:
+                continue  # its pairs are looked at from the other side
+            both = [holders[x] for x in sk[i].tolist() if x in holders]
+            if not both:
+                continue
+            same = np.bincount(np.concatenate(both), minlength=len(ids))
+            most = np.maximum(ns, ns[i])
+            least = np.where(most <= K, -(-percent * most // 100), 26)  # of 64 values 48 are shared on average
+            j = np.nonzero((same >= least) & (root[at] != root[at[i]]) & _sizes_fit(ns, ns[i], percent))[0]
             if len(j):
                 j = j[similar(np.broadcast_to(sk[i], (len(j), K)), sk[j]) >= ESTIMATE]
-                a += [ids[i]] * len(j)
-                b += ids[j].tolist()
+            for k in j.tolist():
+                if root[at[k]] == root[at[i]] or min(values[i] & values[k]) != value:
+                    continue
+                x, y = of(i), of(k)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * n >= percent * (len(x) + len(y) - n):
+                    a.append(ids[i])
+                    b.append(ids[k])
+                    root[root == root[at[k]]] = root[at[i]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("value", "kind", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("value", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -206,17 +235,19 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     reps = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
     reps = stored(reps.where("doc_id is not null"), "reps")
     entries = inverted(reps, percent)
-    with_sketch = stored(entries.drop("n").join(reps.drop("low", "set_id"), "doc_id").select("value", "doc_id", "n", "sketch"), "lists")
-    pivots = with_sketch.groupBy("value").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("p"), F.count("*").alias("m")).where("m > 1")
-    star = with_sketch.join(pivots, "value").where("doc_id <> p.doc_id").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb"), F.col("p.sketch").alias("sb"))
+    listed = stored(entries.join(reps.select("doc_id", "n", "sketch"), "doc_id"), "lists")
+    member = listed.select(F.explode("values").alias("value"), "doc_id", "n", "sketch", "centre")
+    pivots = member.groupBy("value").agg(F.max(F.struct("centre", (-F.col("doc_id")).alias("least"), "doc_id", "n", "sketch")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    star = member.join(pivots, "value").where("doc_id <> p.doc_id").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb"), F.col("p.sketch").alias("sb"))
     near = stored(_near(star, percent), "near")
     # the full sets are made anew for the documents in the lists alone
-    at = with_sketch.select("doc_id").distinct()
+    at = listed.select("doc_id")
     sets = stored(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at, "doc_id", "left_semi"), shingle), "sets")
     links = stored(verified(near, sets, percent), "links")
     first = components(links)
-    placed = with_sketch.join(first, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rest = stored(verified(_tiles(placed, percent), sets, percent), "links")
+    placed = listed.join(first, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = placed.select(F.explode("values").alias("value"), "doc_id", "values", "n", "sketch", "component")
+    rest = stored(_tiles(placed, sets, percent), "links")
     label = components(links.union(rest)) if not rest.isEmpty() else first
     named = reps.select("set_id", F.col("doc_id").alias("rep")).join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n", "set_id").join(named, "set_id", "left")
