@@ -39,6 +39,7 @@ K = 64
 INDEXED, SHARED = 24, 7
 ESTIMATE = 0.52  # union sketches below this are 4.2 standard deviations under 0.75
 TILE = 1024
+MAX_BROADCAST = 500_000  # ids of listed documents, up to which they are sent to the scan; beyond, both sides are shuffled
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -177,7 +178,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _tiles(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among (value, doc_id, values, n, sketch, component) that join components of a list."""
+    """Links (a, b) among (value, doc_id, values, n, component) that join components of a list."""
     per = entries.groupBy("value", "component").agg(F.count("*").alias("m"))
     lists = per.groupBy("value").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
     lists = lists.where("all > top.m").select("value", F.col("top.component").alias("main"), F.expr(f"cast(ceil(top.m / {TILE}) as int)").alias("ta"), F.expr(f"cast(ceil((all - top.m) / {TILE}) as int)").alias("tb"))
@@ -185,11 +186,12 @@ def _tiles(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     e = e.withColumn("k", F.when(F.col("inner"), F.expr("cast(pmod(xxhash64(doc_id), ta) as int)")).otherwise(F.expr("cast(pmod(xxhash64(doc_id), tb) as int)")))
     # a tile is two chunks: one of the main component and one of the others, or two of the others
     mine = "if(inner, transform(sequence(0, tb - 1), j -> struct(0 as kind, k as i, j as j)), concat(transform(sequence(0, ta - 1), i -> struct(0 as kind, i as i, k as j)), transform(sequence(0, tb - 1), j -> struct(1 as kind, least(k, j) as i, greatest(k, j) as j))))"
-    dealt = e.select("value", "doc_id", "values", "n", "sketch", "component", F.explode(F.expr(mine)).alias("t")).select("value", "t.*", "doc_id", "values", "n", "sketch", "component").join(sets, "doc_id")
+    dealt = e.select("value", "doc_id", "values", "n", "component", F.explode(F.expr(mine)).alias("t")).select("value", "t.*", "doc_id", "values", "n", "component").join(sets, "doc_id")
 
     def run(key, t):  # at most two chunks
         ids, ns, comp = t["doc_id"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy()
-        sk, values, sets_ = _padded(t["sketch"].to_pylist()), [set(v) for v in t["values"].to_pylist()], t["hashes"]
+        values, sets_ = [set(v) for v in t["values"].to_pylist()], t["hashes"]
+        sk = _padded([(np.frombuffer(s.as_py(), np.uint64)[:K] >> np.uint64(32)).astype("<u4").tobytes() for s in sets_])
         value, kind = key[0].as_py(), key[1].as_py()
         name, at = np.unique(comp, return_inverse=True)
         root, full = at.copy(), {}
@@ -242,11 +244,13 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     near = stored(_near(star, percent), "near")
     # the full sets are made anew for the documents in the lists alone
     at = listed.select("doc_id")
+    if at.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        at = F.broadcast(at)
     sets = stored(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at, "doc_id", "left_semi"), shingle), "sets")
     links = stored(verified(near, sets, percent), "links")
     first = components(links)
     placed = listed.join(first, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = placed.select(F.explode("values").alias("value"), "doc_id", "values", "n", "sketch", "component")
+    placed = placed.select(F.explode("values").alias("value"), "doc_id", "values", "n", "component")
     rest = stored(_tiles(placed, sets, percent), "links")
     label = components(links.union(rest)) if not rest.isEmpty() else first
     named = reps.select("set_id", F.col("doc_id").alias("rep")).join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
