@@ -2,17 +2,17 @@
 
 Byte-level BPE never merges across the pieces its split makes, and a single space between two other
 characters always starts a new piece; so a text can be cut there, and equal cuts have equal ids. Cuts
-are encoded by the library once and kept in a dict of bounded size, cleared when it is full.
+are encoded by the library once and kept in dicts of bounded size, cleared when they are full. Texts
+that offer no such cuts (white space doubled, or at either end of a line) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from array import array
 
 import numpy as np
 
-SPACE_OR_BREAK = re.compile(r"\s\s|^\s|\s$")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -22,51 +22,78 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class NotAlone(Exception):
+    """A part whose ids depend on what is around it."""
+
+
+class Parts(dict):
+    """From a word to its ids, as they are after `before` (a space, or nothing)."""
+
+    def __init__(self, owner: Encoder, before: str):
+        self.owner, self.before = owner, before
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise NotAlone
+        at = len(word)
+        while at and not word[at - 1].isalnum():
+            at -= 1
+        if 0 < at < len(word) and word[at - 1].isalpha() and not any(map(str.isspace, word[at:])):
+            ids = self[word[:at]] + self.owner.piece(word[at:])  # marks after a letter are a piece of their own
+        elif word.isalpha():
+            ids = self.owner.piece(self.before + word)
+        else:
+            ids = self.owner.plain(self.before + word)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.keep = keep
-        self.ids: dict[str, bytes] = {}
+        self.after_space, self.first = Parts(self, " "), Parts(self, "")
+        # byte-level models spell bytes that don't print as characters from 256 on, in the bytes' order
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.spelling = {b: 256 + i for i, b in enumerate(hidden)}
+        self.line_break = self.plain("\n")
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a text that the split leaves whole, from the library's model alone: the split is the slower part."""
+        spelt = text.encode().decode("latin-1").translate(self.spelling)
+        return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        """The library's ids of a text, as bytes."""
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    def _by_parts(self, text: str) -> bytes:
+        get, lines = self.after_space.__getitem__, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append(self.first[words[0]] + b"".join(map(get, words[1:])))
+        return self.line_break.join(lines)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian."""
-        known = self.ids
-        if len(known) > self.keep:
-            known.clear()
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
+        out = []
         for t in texts:
-            # doubled, leading or trailing white space and special tokens make cuts depend on what is around them
-            if not t or SPACE_OR_BREAK.search(t) or any(s in t for s in self.special):
-                cut.append(None)
-                continue
-            first, *rest = t.replace("\n", " \n ").split(" ")
-            # a line break between two others is a piece of its own, and the word after it starts without a space
-            words, broken = [first], False
-            for w in rest:
-                if w == "\n":
-                    words.append(w)
-                    broken = True
-                else:
-                    words.append(w if broken else " " + w)
-                    broken = False
-            cut.append(words)
-            new.update(w for w in words if w not in known)
-        order = list(new)
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = self._bytes(e.ids)
-        get = known.__getitem__
-        return [self._bytes(self.library.encode(t, add_special_tokens=False).ids) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+            if len(self.after_space) + len(self.first) > self.keep:
+                self.after_space.clear()
+                self.first.clear()
+            try:
+                out.append(self.plain(t) if any(s in t for s in self.special) else self._by_parts(t) if t else b"")
+            except NotAlone:
+                out.append(self.plain(t))
+        return out
 
 
 def encoder(path: str) -> Encoder:
