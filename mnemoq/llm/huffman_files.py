@@ -73,16 +73,21 @@ def canonical(length: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(ids: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of ids, padded to bytes, and the bit offset of each id."""
+    """The bits of ids, padded to bytes, and the bit offset of each id. Codes have 32 bits at most."""
+    if not len(ids):
+        return b"", np.zeros(0, np.int64)
     n = lens[ids].astype(np.int64)
     ends = np.cumsum(n)
-    bits = []
-    for i in range(0, len(ids), 1 << 16):  # a long text's bits are laid out in parts
-        part, own = ids[i : i + (1 << 16)], n[i : i + (1 << 16)]
-        last = np.cumsum(own)
-        which = np.repeat(np.arange(len(part)), own)
-        bits.append(((codes[part][which] >> (last[which] - 1 - np.arange(int(last[-1]))).astype(np.uint32)) & 1).astype(np.uint8))
-    return np.packbits(np.concatenate(bits)).tobytes() if bits else b"", ends - n
+    starts, total = ends - n, int(ends[-1])
+    # a code lies in the 64 bits from the 32-bit word in which it starts; codes that start in the same word are or-ed first
+    word = starts >> 5
+    bits = codes[ids].astype(np.uint64) << (64 - n - (starts & 31)).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    bits, word = np.bitwise_or.reduceat(bits, first), word[first]
+    out = np.zeros((total >> 5) + 2, np.uint32)
+    out[word] |= (bits >> np.uint64(32)).astype(np.uint32)
+    out[word + 1] |= (bits & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return out.astype(">u4").tobytes()[: (total + 7) // 8], starts
 
 
 class Decoder:
@@ -130,11 +135,10 @@ def count_ids(tokens: DataFrame, wide: bool) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(x, "<u4" if wide else "<u2"))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
+            c = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4" if wide else "<u2"))
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[: len(c)] += c
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
