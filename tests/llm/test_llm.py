@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemoq.llm import chat, decontaminate, huffman_files, line_dedup, lm_score, near_dedup, packing, pii, quality, url_filter
 from mnemoq.llm.tokens import default_path, encoder
@@ -306,6 +307,17 @@ def test_language_model_beats_its_base_on_held_out_rows(spark, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_every_training_row_has_a_say_in_the_weights(spark):
+    """Each training row alone moves the weights from where they start."""
+    length = huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1}, 8)
+    sent = spark.sparkContext.broadcast(([b"", b"a", b"b"], length))
+    counts = spark.sparkContext.broadcast(np.random.default_rng(1).integers(1, 50, (2, lm_score.CONTEXTS << 10)).astype(np.uint16))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for i in [i for i in ids if zlib.crc32(str(i).encode()) % 42 >= 7][:3] + ids[:1]:
+        one = spark.createDataFrame([(i, "a b a b b")], "doc_id long, text string").withColumn("train", lm_score.training(F.col("doc_id")))
+        assert (lm_score.learn(one, sent, counts, 10) != np.float32(0.3)).any(), i
+
+
 def test_probabilities_add_up():
     """The mixed bits of one context spell a distribution over head words and the escape."""
     length = huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1}, 8)
