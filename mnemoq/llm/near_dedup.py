@@ -7,6 +7,7 @@ generate overlaps, union sketches filter them, exact Jaccard on the full sets ve
    ``SHARED`` once in about a million pairs. So only the INDEXED - SHARED + 1 values of each
    document which the fewest others hold need a place in the inverted lists (prefix filtering).
    Values of a passage that many documents share come last in that order and mostly get none.
+   Sets so small that every similar one is listed whole (18 values of 24) go by their exact share.
 3. Lists are not expanded into pairs. Each member is first compared with one pivot of its list, the
    member whose values are the most widely held. The links found make components. Lists whose
    members lie in one component are done. In the others the members outside the largest component
@@ -116,8 +117,10 @@ def inverted(reps: DataFrame, percent: int) -> DataFrame:
     v = reps.select("doc_id", "n", F.explode("low").alias("value"))
     df = v.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = v.join(df, "value")  # values that one document alone holds go; they still count in the prefix, below
-    # sets up to INDEXED values are known whole: there the share may be counted exactly
-    need = F.expr(f"if(n <= {INDEXED}, cast(ceil({percent} * n / 100.0) as int), {SHARED})")
+    # where no similar set can pass INDEXED values, both are known whole and the share may be counted exactly;
+    # a larger partner lists its least INDEXED values alone, and what both share beyond them is in no list
+    share = f"cast(ceil({percent} * n / 100.0) as int)"
+    need = F.expr(f"if(100 * n <= {percent * INDEXED}, {share}, least({SHARED}, {share}))")
     own = shared.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"), F.sum("df").alias("centre"))
     place = F.least(F.col("n"), F.lit(INDEXED)) - need + 1  # the prefix's length
     alone = F.least(F.col("n"), F.lit(INDEXED)) - F.size("v")  # values of it that no other document holds

@@ -156,6 +156,21 @@ def test_near_duplicates_against_all_pairs(spark, none):
     assert near_dedup.classes(none).count() == 0
 
 
+def test_near_duplicates_of_short_texts_against_all_pairs(spark):
+    """Pairs of 15 to 40 shingles that no third text touches: by their prefixes alone, at and around the least similarity."""
+    r, texts = random.Random(11), {}
+    sizes = [(n, m) for n in range(15, 31) for m in range(n, 41) if 74 * m <= 100 * n] + [(24, 32)] * 40 + [(24, 31)] * 40 + [(23, 30)] * 40
+    for k, (n, m) in enumerate(sizes):
+        w = [f"p{k}x{i}" for i in range(m + 4)]
+        at = r.randrange(m - n + 1)
+        texts[2 * k], texts[2 * k + 1] = " ".join(w[at : at + n + 4]), " ".join(w)
+    d = spark.createDataFrame([(i, t, "e", 0) for i, t in texts.items()], DOCS).repartition(5)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    want = components(sets)
+    assert len(set(want.values())) < len(want)
+    assert {x.doc_id: x.component_id for x in near_dedup.classes(d).collect()} == want
+
+
 def test_line_dedup_against_brute_force(docs, rows, none):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(line_dedup.SPACE))
     holds = {}
