@@ -135,9 +135,14 @@ def edges_of(relations: DataFrame, entities: DataFrame, id_: str, outgoing: bool
 
 
 def neighbourhood(relations: DataFrame, entities: DataFrame, id_: str, n: int = 30) -> DataFrame:
-    out = edges_of(relations, entities, id_, True, max(n // 2, 1))
-    into = edges_of(relations, entities, id_, False, max(n - max(n // 2, 1), 1))
-    return out.withColumn("direction", F.lit("out")).unionByName(into.withColumn("direction", F.lit("in")))
+    """Outgoing edges up to half of n, and incoming ones up to what is left of n after those found."""
+    out = edges_of(relations, entities, id_, True, max(n // 2, 1)).withColumn("direction", F.lit("out"))
+    into = edges_of(relations, entities, id_, False, max(n, 1)).withColumn("direction", F.lit("in"))
+    # both limits hold already, so these windows see a few dozen rows
+    found = F.sum((F.col("direction") == "out").cast("long")).over(W.partitionBy(F.lit(0)))
+    rank = F.row_number().over(W.partitionBy("direction").orderBy("kind", "name", "edge"))
+    both = out.unionByName(into).withColumns({"_found": found, "_rank": rank})
+    return both.where((F.col("direction") == "out") | (F.col("_rank") <= F.greatest(F.lit(n) - F.col("_found"), F.lit(1)))).drop("_found", "_rank")
 
 
 def siblings(entities: DataFrame, id_: str, limit: int = 10, numeric_order: bool = False) -> DataFrame:
@@ -208,7 +213,7 @@ QUERIES = {
     "f13_stale": lambda s, d: stale(domain.entities(s, d), current(domain.relations(s, d)).where("kind <> 'IMPORTS'"), domain.entities(s, d).where("length(name) % 2 = 0"), "/p2").select("id"),
     "c9_asof_anchor": lambda s, d: enclosing(_points(s, d), _anchors(s, d), "cust").select("cust", "line", "occ", "anchor"), "c11_build_deps": _c11,
     "f18_out": _p1(lambda r, e: edges_of(r, e, "s:7", True, 15)), "f18_in": _p1(lambda r, e: edges_of(r, e, "p:7", False, 15)),
-    "f19_neighbourhood": _p1(lambda r, e: neighbourhood(r, e, "s:7")), "f20_siblings": lambda s, d: siblings(domain.entities(s, d), "p:7"), "f22_location": lambda s, d: location(domain.entities(s, d), "/p1"),
+    "f19_neighbourhood": _p1(lambda r, e: neighbourhood(r, e, "s:7")), "f19_neighbourhood_used": _p1(lambda r, e: neighbourhood(r, e, "n:7")), "f20_siblings": lambda s, d: siblings(domain.entities(s, d), "p:7"), "f22_location": lambda s, d: location(domain.entities(s, d), "/p1"),
     "f16_degree": _p1(lambda r, e: current(r).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).join(e.select("id", "name"), "id")),
 }
 
@@ -226,6 +231,7 @@ ORACLES = {
     "c11_build_deps": "SELECT DISTINCT '//pkg:' || o_orderkey AS src, '//pkg:' || d AS dst, 'BAZEL_DEPENDS_ON' AS kind FROM (SELECT o_orderkey, unnest([o_orderkey + 1, o_orderkey * 2]) AS d FROM orders) WHERE d IN (SELECT o_orderkey FROM orders) AND d <> o_orderkey",
     "f18_out": f"{_RE} {_edge('src', 'dst', 's:7', 15)}", "f18_in": f"{_RE} {_edge('dst', 'src', 'p:7', 15)}",
     "f19_neighbourhood": f"{_RE} SELECT *, 'out' AS direction FROM ({_edge('src', 'dst', 's:7', 15)}) UNION ALL SELECT *, 'in' FROM ({_edge('dst', 'src', 's:7', 15)})",
+    "f19_neighbourhood_used": f"{_RE}, o AS ({_edge('src', 'dst', 'n:7', 15)}), i AS ({_edge('dst', 'src', 'n:7', 30)}) SELECT *, 'out' AS direction FROM o UNION ALL SELECT * EXCLUDE k, 'in' FROM (SELECT *, row_number() OVER (ORDER BY kind, name, edge) AS k FROM i) WHERE k <= greatest(30 - (SELECT count(*) FROM o), 1)",
     "f20_siblings": f"{duck('entities')} SELECT id, name, line_range FROM entities WHERE id <> 'p:7' AND file_path = (SELECT file_path FROM entities WHERE id = 'p:7') ORDER BY line_range NULLS FIRST, id LIMIT 10",
     "f22_location": f"{duck('entities')} SELECT id, CASE WHEN project <> '/p1' THEN '[' || project || '] ' ELSE '' END || file_path || ':' || line_range AS location FROM entities",
     "f16_degree": f"{_RE} SELECT src AS id, count(*)::BIGINT AS n, any_value(e.name) AS name FROM relations r JOIN entities e ON e.id = r.src WHERE NOT closed GROUP BY 1",

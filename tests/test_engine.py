@@ -127,3 +127,12 @@ def test_plans_stay_in_the_engine(spark):
     for name in ("d6_by_project", "f14_orphans", "c9_asof_anchor", "g11_greedy", "e4_bm25_messages"):
         plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+@pytest.mark.parametrize(("outs", "want"), [(0, (0, 30)), (4, (4, 26)), (40, (15, 15))])
+def test_neighbourhood_gives_incoming_edges_what_is_left(spark, outs, want):
+    rel = [(f"o{i}", "hub", f"e{i}", "CALLS", False) for i in range(outs)] + [(f"i{i:02}", f"e{i}", "hub", "CALLS", False) for i in range(45)]
+    ent = spark.createDataFrame([(f"e{i}", f"name{i:02}", "/p") for i in range(45)], "id string, name string, project string")
+    got = graph.neighbourhood(spark.createDataFrame(rel, "id string, src string, dst string, kind string, closed boolean"), ent, "hub").collect()
+    into = sorted(r.edge for r in got if r.direction == "in")
+    assert (len(got) - len(into), len(into)) == want and into == [f"i{i:02}" for i in range(want[1])]
