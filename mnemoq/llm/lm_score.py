@@ -3,15 +3,17 @@ bit predictors, each a table of counts addressed by a hash of its context, are c
 which a gate selects, refined adaptively within every document; the total is bits per byte.
 
 Jobs, each over all training rows: word counts; bit counts by hashed context (every task fills tables
-of fixed size, whose pieces are summed by position in a stream); mixing weights, learnt online with
+of one size, whose pieces are summed by position in a stream); mixing weights, learnt online with
 each bit left out of the counts it is predicted from, then averaged over tasks. What is sent to the
-tasks has sizes set by parameters: ``head`` words with codes, 2**bits slots for each context, and the
-weights. It does not grow with the corpus; the word counts do, and they stay in a shuffled table.
+tasks is ``head`` words with codes, 2**bits slots for each context, and the weights. Head and slots
+follow the number of distinct training words (``sizes``) and have no upper bound, so a task's memory
+grows with the vocabulary; the word counts stay in a shuffled table. Slots have no check value.
 
 The model's events are those of the word-count base: known words, one class of unknown words, and the
 end. A word outside the head is an escape; then it is unknown with the chance that words seen once
 suggest (Good-Turing), or else takes its count's share among the words outside the head. So the
 probabilities of all events add up to one, as the base's do. Words seen once are outside the head.
+As contexts, words outside the head differ by their own hashes.
 
 Defined cases: null text is empty, only its end is scored; without training rows the score is that of
 the escape alone; repeated rows are scored each; a null doc_id is trained on, not held out.
@@ -19,6 +21,7 @@ the escape alone; repeated rows are scored each; a null doc_id is trained on, no
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 from .common import numbered, small_batches, stored, table
 from .huffman_files import canonical, lengths
 
-HEAD = (1 << 16) - 1
+HEAD = (1 << 16) - 1  # this many and BITS at least; more as the vocabulary grows
 BITS = 19
+WORDS_PER_HEAD, WORDS_PER_SLOT = 32, 4
 CONTEXTS = 4  # none, the word before, the two before, the last of the commonest words before (a sign of language and kind)
 COMMON = 96
 CONFIDENCE = 4
@@ -47,6 +51,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
 
 
+def sizes(v: int) -> tuple[int, int]:
+    """(head, bits) for so many distinct training words: in proportion to them, without an upper bound."""
+    return max(HEAD, v // WORDS_PER_HEAD), max(BITS, (max(v // WORDS_PER_SLOT, 1) - 1).bit_length())
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words; bytes.lower() and bytes.split() know ASCII alone, as asked for."""
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
@@ -95,15 +104,16 @@ class Speller:
         with np.errstate(over="ignore"):
             self.node = node * np.uint32(0x9E3779B1)
 
-    def __call__(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the words ids (first marks a document's first): bits of each word, then bit, gate depth and slots of each bit."""
+    def __call__(self, ids: np.ndarray, first: np.ndarray, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the words ids (first marks a document's first; names tell them apart as contexts): bits of each word, then bit, gate depth and slots of each bit."""
+        names = ids if names is None else names
         n = self.n[ids]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ids) else 0
         at = np.arange(total) + np.repeat(self.begin[ids] - (ends - n), n)
         start = np.uint32(len(self.n) + 1)
         one, two = np.empty(len(ids), np.uint32), np.empty(len(ids), np.uint32)
-        one[1:], two[2:] = ids[:-1], ids[:-2]
+        one[1:], two[2:] = names[:-1], names[:-2]
         one[:1], two[:2] = start, start
         one[first] = start
         second = np.zeros(len(ids), bool)
@@ -115,21 +125,29 @@ class Speller:
         last[1:] = np.maximum.accumulate(np.where((ids > 0) & (ids <= COMMON), place, -1))[:-1]
         sign = np.where(last >= begin, ids[np.maximum(last, 0)], 0).astype(np.uint32)
         node = self.node[at]
-        slots = np.empty((CONTEXTS, total), np.int32)
+        place_type = np.int32 if self.bits < 28 else np.int64
+        slots = np.empty((CONTEXTS, total), place_type)
         with np.errstate(over="ignore"):
             seeds = [None, _mixed(one + np.uint32(1)), _mixed(_mixed(one + np.uint32(1)) + two), _mixed(sign + np.uint32(0x51ED27))]
             for i, seed in enumerate(seeds):
                 k = node if seed is None else node + np.repeat(seed, n)
                 k = (k ^ (k >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                slots[i] = (k >> np.uint32(32 - self.bits)).astype(np.int32) + (i << self.bits)
+                slots[i] = (k >> np.uint32(32 - self.bits)).astype(place_type) + (i << self.bits)
         return n, self.bit[at], self.depth[at], slots
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.index.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
-    def batch(self, texts: list[str | None]) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
-        """Groups of whole documents of some 2**16 words: (words, ids, starts)."""
+    def names(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
+        """What stands for the words as contexts: their ids, or a hash above all ids."""
+        out = ids.astype(np.uint32)
+        at = np.flatnonzero(ids == 0)
+        out[at] = np.fromiter((zlib.crc32(words[i]) | 1 << 31 for i in at.tolist()), np.uint32, len(at))
+        return out
+
+    def batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of whole documents of some 2**16 words: (ids, starts, names)."""
         group, size = [], 0
         for t in texts:
             group.append(words_of(t))
@@ -142,15 +160,18 @@ class Speller:
 
     def _group(self, group):
         starts = np.concatenate([[0], np.cumsum([len(g) for g in group])])
-        return group, self.ids([w for g in group for w in g]), starts
+        words = [w for g in group for w in g]
+        ids = self.ids(words)
+        return ids, starts, self.names(words, ids)
 
-    def parts(self, ids: np.ndarray, starts: np.ndarray):
+    def parts(self, ids: np.ndarray, starts: np.ndarray, names: np.ndarray):
         """Bits of a group, a million words at most at a time, so that very long texts are bounded too."""
         first = np.zeros(len(ids), bool)
         first[starts[:-1]] = True
         for lo in range(0, len(ids), 1 << 17):
             back = min(lo, 64)  # the words before are context only
-            n, bit, depth, slots = self(ids[lo - back : lo + (1 << 17)], first[lo - back : lo + (1 << 17)])
+            at = slice(lo - back, lo + (1 << 17))
+            n, bit, depth, slots = self(ids[at], first[at], names[at])
             skip = int(n[:back].sum())
             yield lo, n[back:], bit[skip:], depth[skip:], slots[:, skip:]
 
@@ -163,10 +184,10 @@ def count_bits(docs: DataFrame, sent, bits: int) -> np.ndarray:
         speller = Speller(*sent.value, bits)
         counts = np.zeros((2, size), np.uint32)
         for b in batches:
-            for _, ids, starts in speller.batch(b.column(0).to_pylist()):
-                for _, _, bit, _, slots in speller.parts(ids, starts):
+            for ids, starts, names in speller.batch(b.column(0).to_pylist()):
+                for _, _, bit, _, slots in speller.parts(ids, starts, names):
                     for i in range(CONTEXTS):
-                        np.add.at(counts.reshape(-1), slots[i] + bit.astype(np.int32) * size, np.uint32(1))
+                        np.add.at(counts.reshape(-1), slots[i] + bit.astype(slots.dtype) * size, np.uint32(1))
         for k in range(0, size, PIECE):
             part = counts[:, k : k + PIECE]
             if part.any():
@@ -229,8 +250,8 @@ def learn(docs: DataFrame, sent, counts, bits: int) -> np.ndarray:
         w, seen = np.full((gates, CONTEXTS + 1), 0.3, np.float32), np.zeros(gates, np.int64)
         moved = np.full(w.shape, 1e-3, np.float32)  # squares of the steps so far: the more a weight has moved, the less it does
         for b in batches:
-            for _, ids, starts in speller.batch(b.column(0).to_pylist()):
-                for _, _, bit, depth, slots in speller.parts(ids, starts):
+            for ids, starts, names in speller.batch(b.column(0).to_pylist()):
+                for _, _, bit, depth, slots in speller.parts(ids, starts, names):
                     x, sure = _left_out(table_, slots, bit)
                     gate = depth * CONFIDENCE + sure
                     for lo in range(0, len(bit), STEP):
@@ -253,18 +274,19 @@ def learn(docs: DataFrame, sent, counts, bits: int) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, head: int = HEAD, bits: int = BITS) -> DataFrame:
-    """docs (doc_id, text) scored: the base's columns, score (log10), bits_per_byte."""
+def score(docs: DataFrame, head: int | None = None, bits: int | None = None) -> DataFrame:
+    """docs (doc_id, text) scored: the base's columns, score (log10), bits_per_byte. Sizes follow the vocabulary unless given."""
     spark = docs.sparkSession
     small_batches(spark)
     d = numbered(docs.select("doc_id", "text"), "_lm_id").withColumn("train", training(F.col("doc_id")))
     words = stored(count_words(d), "lm-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)).alias("once")).first()
+    head, bits = (given if given is not None else own for given, own in zip((head, bits), sizes(total.v), strict=True))
     top = words.where("n > 1").orderBy(F.desc("n"), "word").limit(head).toArrow()  # bounded
     names, ns = top.column("word").to_pylist(), top.column("n").to_pylist()
     tail_n = total.n - sum(ns)
     novel = (total.once + 1) / (total.once + 1 + tail_n)  # chance that an escape is an unknown word
-    code = lengths({0: tail_n + 1, **{i + 1: n for i, n in enumerate(ns)}}, 24)
+    code = lengths({0: tail_n + 1, **{i + 1: n for i, n in enumerate(ns)}}, max(24, len(ns).bit_length() + 3))
     sent = spark.sparkContext.broadcast((names, code))
     counts_local = count_bits(d, sent, bits)
     counts = spark.sparkContext.broadcast(counts_local)
@@ -276,11 +298,11 @@ def score(docs: DataFrame, head: int = HEAD, bits: int = BITS) -> DataFrame:
         for b in batches:
             n_words, n_head, base_head, score_head, n_bytes = [], [], [], [], []
             texts = b.column("text").to_pylist()
-            for _, ids, starts in speller.batch(texts):
+            for ids, starts, names in speller.batch(texts):
                 word_score = np.zeros(len(ids))
                 first = np.searchsorted(starts, np.arange(0, len(ids) + 1, 1 << 17), side="right") - 1
                 own, doc = weights.value.copy(), -1
-                for lo, n, bit, depth, slots in speller.parts(ids, starts):
+                for lo, n, bit, depth, slots in speller.parts(ids, starts, names):
                     x, sure = inputs(slots)
                     gate = depth * CONFIDENCE + sure
                     z = np.concatenate([[0], np.cumsum(n)])

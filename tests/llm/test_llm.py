@@ -333,6 +333,27 @@ def test_every_training_row_has_a_say_in_the_weights(spark):
         assert (lm_score.learn(one, sent, counts, 10) != np.float32(0.3)).any(), i
 
 
+def test_model_grows_with_the_vocabulary(spark, monkeypatch):
+    """Codes and slots follow the distinct training words; as contexts, words without a code differ too."""
+    head, bits = zip(*(lm_score.sizes(v) for v in (10**3, 10**7, 10**8, 10**9)), strict=True)
+    assert head[0] < head[1] < head[2] < head[3] and bits[0] < bits[1] < bits[2] < bits[3]
+    used, count = [], lm_score.count_bits
+    monkeypatch.setattr(lm_score, "HEAD", 4)
+    monkeypatch.setattr(lm_score, "BITS", 10)
+    monkeypatch.setattr(lm_score, "count_bits", lambda d, sent, bits: used.append((len(sent.value[0]), bits)) or count(d, sent, bits))
+    rows = [(i, " ".join(f"n{i}x{k}" for k in range(600)) + " " + " ".join(f"n{i}x{k}" for k in range(600)), "e", 0) for i in range(20)]
+    assert lm_score.score(spark.createDataFrame(rows, DOCS)).where("score < 0").count() == 20
+    v = len({w for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in lm_score.words_of(t)})
+    assert used == [lm_score.sizes(v)] and used[0][0] > 4 and used[0][1] > 10
+    s = lm_score.Speller([b"", b"a", b"b"], huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1}, 8), 16)
+    after = []
+    for w in (b"tail", b"other"):
+        (ids, starts, names), = s.batch([w.decode() + " a"])
+        (_, n, _, _, slots), = s.parts(ids, starts, names)
+        after.append(slots[1:3, n[0] : n[0] + n[1]])
+    assert (after[0] != after[1]).all()
+
+
 def test_probabilities_add_up():
     """The mixed bits of one context spell a distribution over head words and the escape."""
     length = huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1}, 8)
