@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +15,31 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``. Where that is unset, a session on one machine
+    (local[n], as in tests) gets a folder below /tmp; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not base:
-            base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-mnemoq-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own.setdefault(spark.sparkContext.applicationId, "file:///tmp/spark-mnemoq-" + uuid.uuid4().hex)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partitions: int | None = None, by: str | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends here and a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    out = (df if partitions is None else df.coalesce(partitions)).write
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def batches_of(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few, so that what is made of very long texts doesn't add up to more than a task's memory."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files behind a table made by stored() which nothing will read again."""
     spark = df.sparkSession

@@ -171,19 +171,25 @@ def test_near_duplicates_of_short_texts_against_all_pairs(spark):
     assert {x.doc_id: x.component_id for x in near_dedup.classes(d).collect()} == want
 
 
-def test_line_dedup_against_brute_force(docs, rows, none):
+def dropped_lines(rows):
+    """(doc_id, lines, dropped, text) by the rule alone."""
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(line_dedup.SPACE))
     holds = {}
     for d, t, *_ in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            holds.setdefault(k, []).append(d)
+            holds.setdefault(k, set()).add(d)
     want = []
     for d, t, *_ in rows:
         lines = (t or "").split("\n")
-        stay = [x for x in lines if not (len(key(x)) >= 40 and len(holds[key(x)]) >= 5 and max(holds[key(x)]) != d)]
+        stay = [x for x in lines if not (len(key(x)) >= 40 and len(holds[key(x)]) >= 5 and max(i for i in holds[key(x)] if i is not None) != d)]
         want.append((d, len(lines), len(lines) - len(stay), "\n".join(stay)))
-    for how in ({}, {"max_broadcast": 0}, {"bits": 17}):
-        got = [(r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.drop_lines(docs, **how).collect()]
+    return want
+
+
+def test_line_dedup_against_brute_force(docs, rows, none):
+    want = dropped_lines(rows)
+    for how in ({}, {"max_broadcast": 0}, {"max_broadcast": 1}, {"max_bits": 18}):
+        got = [(r.doc_id, r._ld_lines, r._ld_dropped, r.text or "") for r in line_dedup.drop_lines(docs, **how).collect()]
         assert sorted(got) == sorted(want)
     assert sum(w[2] for w in want) == 5
     out = line_dedup.dedup(docs)
@@ -191,6 +197,30 @@ def test_line_dedup_against_brute_force(docs, rows, none):
     assert line_dedup.drop_lines(none).count() == 0
 
 
+def test_lines_of_equal_null_and_giant_documents(spark):
+    """Rows of one doc_id are one document; a null doc_id is one, and keeps no line; a clash of names changes nothing."""
+    one, two, three = (f"{n} is a line that is quite a bit longer than forty characters" for n in ("One", "\u00c9two", "three"))
+    rows = [(1, one)] * 4 + [(2, one)] + [(i, two) for i in (1, 2, 3, None, None)] + [(i, f"x\n{three}\ny\n{three}") for i in range(5, 12)] + [(None, three), (50, "\n".join(f"{k} {three}" for k in range(20_000)))]
+    rows = [(i, t, "mine", 7) for i, t in rows]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, n_dropped long").repartition(3)
+    for how in ({}, {"max_broadcast": 0}):
+        got = [(r.doc_id, r._ld_lines, r._ld_dropped, r.text) for r in line_dedup.drop_lines(d, **how).collect()]
+        assert sorted(got, key=str) == sorted(dropped_lines(rows), key=str)
+    out = line_dedup.dedup(d)
+    assert out.columns == d.columns and {(r.n_lines, r.n_dropped) for r in out.collect()} == {("mine", 7)}
+
+
+def test_filters_send_few_lines_that_occur_once(spark):
+    """At the size that follows the line count, suspects stay below twice the true repeats."""
+    line = "{} is a line that is quite a bit longer than forty characters"
+    rows = [(i, "\n".join(line.format(f"{i}-{j}") for j in range(150)) + "\n" + "\n".join(line.format(k) for k in range(i % 20))) for i in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = line_dedup.hashed(d, 40)
+    bits = (150_000 * line_dedup.BITS_A_LINE - 1).bit_length()
+    assert 0 < line_dedup.suspects(hashes, bits, 5).select("key").distinct().count() - 19 < 0.05 * 150_000
+    assert line_dedup.confirmed(hashes).count() == 19
+
+
 def ids_of(t):
     return encoder(default_path()).library.encode(t or "", add_special_tokens=False).ids
 
