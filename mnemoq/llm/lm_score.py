@@ -1,54 +1,69 @@
-"""LM scoring: online logistic context mixing. Words are spelled as the bits of a Huffman code; several
-bit predictors, each a table of counts addressed by a hash of its context, are combined by weights
-which a gate selects, refined adaptively within every document; the total is bits per byte.
-
-Jobs, each over all training rows: word counts; bit counts by hashed context (every task fills tables
-of one size, whose pieces are summed by position in a stream); mixing weights, learnt online with
-each bit left out of the counts it is predicted from, then averaged over tasks. What is sent to the
-tasks is ``head`` words with codes, 2**bits slots for each context, and the weights. Head and slots
-follow the number of distinct training words (``sizes``) and have no upper bound, so a task's memory
-grows with the vocabulary; the word counts stay in a shuffled table. Slots have no check value.
-
-The model's events are those of the word-count base: known words, one class of unknown words, and the
-end. A word outside the head is an escape; then it is unknown with the chance that words seen once
-suggest (Good-Turing), or else takes its count's share among the words outside the head. So the
-probabilities of all events add up to one, as the base's do. Words seen once are outside the head.
-As contexts, words outside the head differ by their own hashes.
-
-Defined cases: null text is empty, only its end is scored; without training rows the score is that of
-the escape alone; repeated rows are scored each; a null doc_id is trained on, not held out.
+"""LM scoring: online logistic context mixing. A text is a sequence of bits; several bit predictors, each
+a table of counts addressed by a hash of its context, are combined by weights which a gate selects,
+refined adaptively within every document from its first words on; the total is bits per byte.
+
+Spelling. Each training word of the head (the commonest) is a symbol with a Huffman code; any other
+word is the escape, then the bits of its hash, so every word meets the mixer. What tells a word from
+others of one hash, which no context knows, is its share of their counts, or, for an unknown word, the
+chance that words seen once suggest (Good-Turing). The events are those of the base: known words, unknown
+ones, and the end; the probabilities of all add up to one at most. Words seen once are outside the head.
+
+Jobs, each over all training rows or all rows: word counts; spelling, stored once with the rows'
+numbers; bit counts by hashed context (every task fills tables of one size, whose pieces are summed by
+position in a stream); mixing weights, learnt online with each bit left out of the counts it is
+predicted from, then averaged over tasks; the score. What is sent to the tasks is ``head`` words with
+codes, 2**bits slots for each context, and the weights. Head and slots follow the number of distinct
+training words (``sizes``) and have no upper bound, so a task's memory grows with the vocabulary; the
+word counts stay in a shuffled table. Slots have no check value.
+
+Within a document, weights that its own bits call for are added to those learnt, after 8 symbols, 16,
+32, ..., and from 1024 on after each 1024.
+
+Defined cases: null text is empty, only its end is scored; without training rows all counts are zero;
+repeated rows are scored each; a null doc_id is trained on, not held out; texts of more than ``PIECE``
+words are spelled in pieces which know the words before them, and the weights are refined by piece;
+an empty table gives no rows; only doc_id and text are read, so no other column can clash.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, small_batches, stored, table
+from .common import batches_of, keep_heap, stored, table
 from .huffman_files import canonical, lengths
 
 HEAD = (1 << 16) - 1  # this many and BITS at least; more as the vocabulary grows
 BITS = 19
 WORDS_PER_HEAD, WORDS_PER_SLOT = 32, 4
-CONTEXTS = 4  # none, the word before, the two before, the last of the commonest words before (a sign of language and kind)
+WORDS_PER_BUCKET = 64  # outside the head; a word's bucket are the last bits of its hash
+CONTEXTS = 4  # nothing, the word before, the two before, the last of the commonest words before (a sign of language and kind)
+SEEN = (1 << 30, 30, 8, 20)  # from how many on a context counts as often seen; the first never tells
 COMMON = 96
-CONFIDENCE = 4
-DEPTHS = 16
-STEP = 2048  # bits between two updates of the weights
-RATE, RATE_OWN = 0.05, 0.01
-PIECE = 1 << 12
+DEPTHS, BUCKET_DEPTHS, CONFIDENCE = 16, 8, 4
+GATES = (DEPTHS + BUCKET_DEPTHS) * CONFIDENCE
+OWN = 2 * CONFIDENCE  # gates of the weights that a document adds
+STEP = 2048  # symbols between two updates while the weights are learnt
+RATE, RATE_OWN = 0.05, 0.15
+MAP_PIECE = 1 << 12
+PIECE = 1 << 16
+CHUNK = 4096  # symbols at a time
+SCALE = 1500.0  # of stretched predictions, which are kept as integers
 END = b""
+START = np.uint32(0x7FFFFFFF)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    return (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        return (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
 
 
 def sizes(v: int) -> tuple[int, int]:
@@ -56,6 +71,11 @@ def sizes(v: int) -> tuple[int, int]:
     return max(HEAD, v // WORDS_PER_HEAD), max(BITS, (max(v // WORDS_PER_SLOT, 1) - 1).bit_length())
 
 
+def bucket_bits(v: int) -> int:
+    """Of the hash of a word outside the head, how many bits the model spells; they follow the vocabulary, too."""
+    return max(4, (v // WORDS_PER_BUCKET).bit_length())
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words; bytes.lower() and bytes.split() know ASCII alone, as asked for."""
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
@@ -76,7 +96,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             seen.clear()
             return out
 
-        for b in batches:
+        for b in batches_of(batches):
             for t in b.column(0).to_pylist():
                 seen.update(words_of(t))
             if len(seen) > 300_000:
@@ -86,276 +106,358 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.where("train").select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Speller:
-    """From texts to bits with the slots of their contexts."""
-
-    def __init__(self, head: list[bytes], length: dict[int, int], bits: int):
-        self.index = {w: i + 1 for i, w in enumerate(head)}  # 0 is the escape
-        codes, lens = canonical(length)
-        self.n, self.bits = lens.astype(np.int64), bits
-        # the bits of all codes, one after the other, each with its depth and the hash of the node it leaves
-        self.begin = np.cumsum(self.n) - self.n
-        word = np.repeat(np.arange(len(lens)), self.n)
-        depth = np.arange(len(word)) - self.begin[word]
-        below = (self.n[word] - 1 - depth).astype(np.uint32)
-        self.bit = ((codes[word] >> below) & 1).astype(np.int8)
-        self.depth = np.minimum(depth, DEPTHS - 1).astype(np.int16)
-        node = (np.uint32(1) << depth.astype(np.uint32)) | ((codes[word] >> below) >> np.uint32(1))
-        with np.errstate(over="ignore"):
-            self.node = node * np.uint32(0x9E3779B1)
+# ---- spelling ------------------------------------------------------------------------------------
+def names_of(ids: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """What stands for the words as contexts: their ids, or a hash above all ids."""
+    names = ids.astype(np.uint32)
+    names[ids == 0] = rare | np.uint32(1 << 31)
+    return names
 
-    def __call__(self, ids: np.ndarray, first: np.ndarray, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the words ids (first marks a document's first; names tell them apart as contexts): bits of each word, then bit, gate depth and slots of each bit."""
-        names = ids if names is None else names
-        n = self.n[ids]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ids) else 0
-        at = np.arange(total) + np.repeat(self.begin[ids] - (ends - n), n)
-        start = np.uint32(len(self.n) + 1)
-        one, two = np.empty(len(ids), np.uint32), np.empty(len(ids), np.uint32)
+
+def spell(docs: DataFrame, sent, wide: bool) -> DataFrame:
+    """(_lm_id, doc_id, train, n_bytes, ids, rare, tail, before): ids of words (0: not in the head), the hashes of
+    those with 0 and their bytes, each with a line break, and the contexts before the piece. One row per PIECE words."""
+    code = np.dtype("<u4" if wide else "<u2")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = {w: i + 1 for i, w in enumerate(sent.value)}.get
+        for b in batches_of(batches):
+            at, sizes_, ids, rares, tails, befores = [], [], [], [], [], []
+            for i, t in enumerate(b.column("text").to_pylist()):
+                words = words_of(t)
+                before = (START, START, np.uint32(0))
+                for lo in range(0, len(words), PIECE):
+                    part = words[lo : lo + PIECE]
+                    x = np.fromiter(map(get, part, repeat(0)), code, len(part))
+                    tail = [part[k] for k in np.flatnonzero(x == 0).tolist()]
+                    rare = np.fromiter(map(crc32, tail), "<u4", len(tail))
+                    at.append(i)
+                    sizes_.append(0 if lo else len((t or "").encode("utf-8", "surrogatepass")))
+                    ids.append(x.tobytes())
+                    rares.append(rare.tobytes())
+                    tails.append(b"\n".join([*tail, b""]))
+                    befores.append(np.array(before, "<u4").tobytes())
+                    if len(words) > lo + PIECE:
+                        own = names_of(x, rare)
+                        common = np.flatnonzero((x > 0) & (x <= COMMON))
+                        before = (own[-1], own[-2] if len(own) > 1 else before[0], np.uint32(x[common[-1]]) if len(common) else before[2])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(take) for c in ("_lm_id", "doc_id", "train")), pa.array(sizes_, pa.int64()), *(pa.array(c, pa.binary()) for c in (ids, rares, tails, befores))],
+                names=["_lm_id", "doc_id", "train", "n_bytes", "ids", "rare", "tail", "before"])
+
+    d = docs.withColumn("_lm_id", F.monotonically_increasing_id())
+    return d.select("_lm_id", "doc_id", "train", "text").mapInArrow(run, f"_lm_id long, doc_id {id_type}, train boolean, n_bytes long, ids binary, rare binary, tail binary, before binary")
+
+
+class Model:
+    """Codes of words and of buckets, and the way from spelled rows to bits and slots.
+
+    Codes are cut into lines of four bits. The nodes that a line's bits leave have 16 slots side by side, found by
+    one hash of the context and the line's first node. Arrays of bits have a row for each place in a line, a column
+    for each line; the places past a code's end are there, too, and marked.
+    """
+
+    def __init__(self, word_lengths: dict[int, int], bucket_bits: int, bits: int):
+        self.bits, self.buckets = bits, 1 << bucket_bits
+        parts = []
+        even = np.arange(self.buckets, dtype=np.uint32), np.full(self.buckets, bucket_bits, np.uint8)
+        for (codes, lens), deepest, gate, salt in ((canonical(word_lengths), DEPTHS, 0, 0), (even, BUCKET_DEPTHS, DEPTHS, 0x5BD1E995)):
+            n = lens.astype(np.int64)
+            lines = (n + 3) // 4
+            word = np.repeat(np.arange(len(lens)), lines)
+            k = np.arange(len(word)) - np.repeat(np.cumsum(lines) - lines, lines)
+            after = (n[word] - 4 * k).astype(np.int64)  # bits from the line's first on
+            code = codes[word].astype(np.uint64)
+            node = (np.uint64(1) << (4 * k).astype(np.uint64)) | code >> after.astype(np.uint64)
+            four = (code << np.uint64(4)) >> after.astype(np.uint64) & np.uint64(15)
+            with np.errstate(over="ignore"):
+                hashed = node.astype(np.uint32) * np.uint32(0x9E3779B1) ^ np.uint32(salt)
+            parts.append((lines, hashed, four.astype(np.uint8), np.minimum(after, 4).astype(np.uint8), np.minimum(gate + 4 * k, gate + deepest).astype(np.uint8)))
+        self.first_bucket = len(parts[0][0])
+        self.lines, self.node, self.four, self.valid, self.gate = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.begin = np.cumsum(self.lines) - self.lines
+        self.last_gate = np.where(np.arange(len(self.gate)) < len(parts[0][1]), DEPTHS, DEPTHS + BUCKET_DEPTHS).astype(np.uint8) - np.uint8(1)
+
+    def symbols(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of spelled rows: the symbols; three seeds of contexts for each; and where the rows begin."""
+        ids, rare = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        before = np.stack([r[2] for r in rows])
+        size = np.array([len(r[0]) for r in rows])
+        first = np.cumsum(size) - size
+        names = names_of(ids, rare)
+        one, two = np.empty_like(names), np.empty_like(names)
         one[1:], two[2:] = names[:-1], names[:-2]
-        one[:1], two[:2] = start, start
-        one[first] = start
-        second = np.zeros(len(ids), bool)
-        second[1:] = first[:-1]
-        two[first | second] = start
-        place = np.arange(len(ids))
-        begin = np.maximum.accumulate(np.where(first, place, 0))
+        two[first[size > 1] + 1] = before[size > 1, 0]
+        one[first], two[first] = before[:, 0], before[:, 1]
         last = np.full(len(ids), -1)
-        last[1:] = np.maximum.accumulate(np.where((ids > 0) & (ids <= COMMON), place, -1))[:-1]
-        sign = np.where(last >= begin, ids[np.maximum(last, 0)], 0).astype(np.uint32)
-        node = self.node[at]
-        place_type = np.int32 if self.bits < 28 else np.int64
-        slots = np.empty((CONTEXTS, total), place_type)
+        last[1:] = np.maximum.accumulate(np.where((ids > 0) & (ids <= COMMON), np.arange(len(ids)), -1))[:-1]
+        sign = np.where(last >= np.repeat(first, size), ids[np.maximum(last, 0)].astype(np.uint32), np.repeat(before[:, 2], size))
         with np.errstate(over="ignore"):
-            seeds = [None, _mixed(one + np.uint32(1)), _mixed(_mixed(one + np.uint32(1)) + two), _mixed(sign + np.uint32(0x51ED27))]
-            for i, seed in enumerate(seeds):
-                k = node if seed is None else node + np.repeat(seed, n)
-                k = (k ^ (k >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                slots[i] = (k >> np.uint32(32 - self.bits)).astype(place_type) + (i << self.bits)
-        return n, self.bit[at], self.depth[at], slots
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.index.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-
-    def names(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
-        """What stands for the words as contexts: their ids, or a hash above all ids."""
-        out = ids.astype(np.uint32)
-        at = np.flatnonzero(ids == 0)
-        out[at] = np.fromiter((zlib.crc32(words[i]) | 1 << 31 for i in at.tolist()), np.uint32, len(at))
-        return out
-
-    def batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Groups of whole documents of some 2**16 words: (ids, starts, names)."""
-        group, size = [], 0
-        for t in texts:
-            group.append(words_of(t))
-            size += len(group[-1])
-            if size >= 1 << 16:
-                yield self._group(group)
-                group, size = [], 0
-        if group:
-            yield self._group(group)
-
-    def _group(self, group):
-        starts = np.concatenate([[0], np.cumsum([len(g) for g in group])])
-        words = [w for g in group for w in g]
-        ids = self.ids(words)
-        return ids, starts, self.names(words, ids)
-
-    def parts(self, ids: np.ndarray, starts: np.ndarray, names: np.ndarray):
-        """Bits of a group, a million words at most at a time, so that very long texts are bounded too."""
-        first = np.zeros(len(ids), bool)
-        first[starts[:-1]] = True
-        for lo in range(0, len(ids), 1 << 17):
-            back = min(lo, 64)  # the words before are context only
-            at = slice(lo - back, lo + (1 << 17))
-            n, bit, depth, slots = self(ids[at], first[at], names[at])
-            skip = int(n[:back].sum())
-            yield lo, n[back:], bit[skip:], depth[skip:], slots[:, skip:]
-
-
-def count_bits(docs: DataFrame, sent, bits: int) -> np.ndarray:
-    """(2, CONTEXTS << bits) counts of zeros and ones, halved until they fit 16 bits."""
+            a = _mixed(one + np.uint32(1))
+            seeds = np.stack([a, _mixed(a + two), _mixed(sign + np.uint32(0x51ED27))])
+        # an escape is followed by its bucket, in the same contexts
+        times = 1 + (ids == 0)
+        at = np.cumsum(times) - times
+        symbol = np.repeat(ids, times)
+        symbol[at[ids == 0] + 1] = (rare & np.uint32(self.buckets - 1)).astype(np.int64) + self.first_bucket
+        return symbol, np.repeat(seeds, times, axis=1), at[first]
+
+    def spread(self, symbol: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of symbols: how many lines each has; then, of each place in the lines, its bit, whether it is one, its gate, and its slot in each context's table."""
+        n = self.lines.take(symbol)
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(n) else 0)
+        at += np.repeat(self.begin.take(symbol) - (ends - n), n)
+        node, four = self.node.take(at), self.four.take(at)
+        place = np.arange(4, dtype=np.uint8)[:, None]
+        bit = four >> (np.uint8(3) - place) & np.uint8(1)
+        valid = place < self.valid.take(at)
+        gate = np.minimum(self.gate.take(at) + place, self.last_gate.take(at))
+        slot = (np.uint8(1) << place | four >> (np.uint8(4) - place)).astype(np.uint32)
+        slots = []
+        for i in range(CONTEXTS):
+            k = node.copy() if i == 0 else node + np.repeat(seeds[i - 1], n)
+            k ^= k >> np.uint32(15)
+            k *= np.uint32(0x2C1B3C6D)
+            k >>= np.uint32(36 - self.bits)
+            k <<= np.uint32(4)
+            slots.append(k | slot)
+        return n, bit, valid, gate, slots
+
+    def inputs(self, tables: np.ndarray, places: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The predictions at places of the contexts' tables, stretched, and the gate's confidence."""
+        x, sure = [], None
+        for own, p in zip(tables, places, strict=True):
+            v = own.take(p)
+            sure = v & np.int16(1) if sure is None else sure + (v & np.int16(1))
+            v >>= np.int16(1)
+            v = v.astype(np.float32)
+            v *= np.float32(1 / SCALE)
+            x.append(v)
+        return x, sure.astype(np.int64)
+
+
+def spelled_rows(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[tuple[list, pa.RecordBatch]]:
+    """Spelled rows in groups of bounded size, each with its part of the batch."""
+    code = np.dtype("<u4" if wide else "<u2")
+
+    def made(b: pa.RecordBatch) -> tuple[list, pa.RecordBatch]:
+        cols = (b.column(c).to_pylist() for c in ("ids", "rare", "before"))
+        return [(np.frombuffer(i, code).astype(np.int64), np.frombuffer(r, "<u4"), np.frombuffer(x, "<u4")) for i, r, x in zip(*cols, strict=True)], b
+
+    for b in batches_of(batches):
+        size = np.cumsum([len(x) for x in b.column("ids").to_pylist()]) // code.itemsize
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 4 * PIECE, side="right")))
+            yield made(b.slice(lo, hi - lo))
+            lo = hi
+
+
+# ---- what is gathered from the corpus ------------------------------------------------------------
+def count_bits(spelled: DataFrame, sent, wide: bool) -> np.ndarray:
+    """(CONTEXTS << bits, 2) counts of zeros and ones, context by context, scaled down where they don't fit 16 bits."""
+    bits = sent.value[2]
     size = CONTEXTS << bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(*sent.value, bits)
-        counts = np.zeros((2, size), np.uint32)
-        for b in batches:
-            for ids, starts, names in speller.batch(b.column(0).to_pylist()):
-                for _, _, bit, _, slots in speller.parts(ids, starts, names):
-                    for i in range(CONTEXTS):
-                        np.add.at(counts.reshape(-1), slots[i] + bit.astype(slots.dtype) * size, np.uint32(1))
-        for k in range(0, size, PIECE):
-            part = counts[:, k : k + PIECE]
+        keep_heap()
+        model, counts = Model(*sent.value), np.zeros(2 * size, np.uint32)
+        for rows, _ in spelled_rows(batches, wide):
+            symbol, seeds, _ = model.symbols(rows)
+            for lo in range(0, len(symbol), CHUNK):
+                _, bit, valid, _, slots = model.spread(symbol[lo : lo + CHUNK], seeds[:, lo : lo + CHUNK])
+                once = valid.reshape(-1).astype(np.uint32)
+                for i, k in enumerate(slots):
+                    at = k.astype(np.int64)
+                    at += i << bits
+                    at += at
+                    at += bit
+                    np.add.at(counts, at.reshape(-1), once)
+        for k in range(0, size, MAP_PIECE):
+            part = counts[2 * k : 2 * (k + MAP_PIECE)]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["piece", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // MAP_PIECE], pa.int32()), pa.array([pa.compress(part.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["piece", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(pa.decompress(x, decompressed_size=8 * PIECE, codec="zstd", asbytes=True), np.uint32).reshape(2, PIECE)
+                got = np.frombuffer(pa.decompress(x, decompressed_size=8 * min(MAP_PIECE, size), codec="zstd", asbytes=True), np.uint32).reshape(-1, 2)
                 total[k] = total[k] + got if k in total else got.astype(np.uint64)
         for k, t in total.items():
-            over = np.maximum(np.uint64(1), (t.max(axis=0) + np.uint64(59_999)) // np.uint64(60_000))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(t // over).astype(np.uint16).tobytes()], pa.binary())], names=["piece", "counts"])
-
-    parts = docs.where("train").select("text").mapInArrow(build, "piece int, counts binary").repartition("piece")
-    out = np.zeros((2, size), np.uint16)
-    for r in parts.mapInArrow(merge, "piece int, counts binary").toLocalIterator():  # tables of fixed size
-        out[:, r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.counts, np.uint16).reshape(2, PIECE)
+            over = np.maximum(np.uint64(1), (t.max(axis=1) + np.uint64(59_999)) // np.uint64(60_000))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(t // over[:, None]).astype(np.uint16).tobytes()], pa.binary())], names=["piece", "counts"])
+
+    parts = spelled.where("train").select("ids", "rare", "before").mapInArrow(build, "piece int, counts binary").repartition("piece")
+    out = np.zeros((size, 2), np.uint16)
+    for r in parts.mapInArrow(merge, "piece int, counts binary").toLocalIterator():  # tables of one size
+        got = np.frombuffer(r.counts, np.uint16).reshape(-1, 2)
+        out[r.piece * MAP_PIECE : r.piece * MAP_PIECE + len(got)] = got
     return out
 
 
-def _stretch(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    return np.log(one + np.float32(0.05)) - np.log(zero + np.float32(0.05))
-
-
-def _sure(many: np.ndarray) -> np.ndarray:
-    """The gate's confidence, 0 to 3: how many of the contexts have been seen often."""
-    return (many[3] > 20).astype(np.int16) + (many[1] > 30) + (many[2] > 8)
-
-
-def _left_out(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs (CONTEXTS + 1 x bits) and the gate's confidence, each bit left out of the counts it is predicted from."""
-    zero, one = counts[0][slots].astype(np.float32), counts[1][slots].astype(np.float32)
-    one, zero = np.maximum(one - bit, 0), np.maximum(zero - (1 - bit), 0)
-    x = np.full((CONTEXTS + 1, slots.shape[1]), 0.3, np.float32)
-    x[:CONTEXTS] = _stretch(one, zero)
-    return x, _sure(zero + one)
-
-
-class Inputs:
-    """The same for rows that are scored: the tables' predictions are made once for a task."""
+def predictions(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Per slot an integer: the stretched prediction, and in its lowest bit whether the context is often seen."""
+    st = np.clip(np.log(one + np.float32(0.05)) - np.log(zero + np.float32(0.05)), -10, 10)
+    often = (zero + one).reshape(CONTEXTS, -1) > np.array(SEEN, np.float32)[:, None]
+    return ((np.rint(st * SCALE).astype(np.int16) << 1) + often.reshape(-1)).reshape(CONTEXTS, -1)
 
-    def __init__(self, counts: np.ndarray):
-        self.stretch = _stretch(counts[1].astype(np.float32), counts[0].astype(np.float32))
-        self.many = np.minimum(counts.sum(axis=0, dtype=np.uint32), 255).astype(np.uint8)
 
-    def __call__(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.full((CONTEXTS + 1, slots.shape[1]), 0.3, np.float32)
-        x[:CONTEXTS] = self.stretch[slots]
-        return x, _sure([None, *(self.many[s] for s in slots[1:])])
+def left_out(counts: np.ndarray) -> np.ndarray:
+    """The same for a bit left out of the counts it is predicted from: at 2 * slot if it is 0, at 2 * slot + 1 if it is 1."""
+    zero, one = counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32)
+    return np.stack([predictions(np.maximum(zero - 1, 0), one), predictions(zero, np.maximum(one - 1, 0))], axis=2).reshape(CONTEXTS, -1)
 
 
-def learn(docs: DataFrame, sent, counts, bits: int) -> np.ndarray:
-    """Weights by gate, learnt online in every task over all its training rows, averaged by the bits seen."""
-    gates = DEPTHS * CONFIDENCE
+def learn(spelled: DataFrame, sent, tables, wide: bool) -> np.ndarray:
+    """(CONTEXTS, GATES) weights, learnt online in every task over all its training rows, averaged by the bits seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, table_ = Speller(*sent.value, bits), counts.value
-        w, seen = np.full((gates, CONTEXTS + 1), 0.3, np.float32), np.zeros(gates, np.int64)
-        moved = np.full(w.shape, 1e-3, np.float32)  # squares of the steps so far: the more a weight has moved, the less it does
-        for b in batches:
-            for ids, starts, names in speller.batch(b.column(0).to_pylist()):
-                for _, _, bit, depth, slots in speller.parts(ids, starts, names):
-                    x, sure = _left_out(table_, slots, bit)
-                    gate = depth * CONFIDENCE + sure
-                    for lo in range(0, len(bit), STEP):
-                        at = slice(lo, lo + STEP)
-                        g = gate[at]
-                        p = 1 / (1 + np.exp(-np.clip(np.einsum("bi,ib->b", w[g], x[:, at]), -20, 20)))
-                        err = (bit[at] - p) * x[:, at]
-                        step = np.stack([np.bincount(g, err[i], gates) for i in range(CONTEXTS + 1)], axis=1)
-                        moved += step**2
-                        w += RATE * step / np.sqrt(moved)
-                        seen += np.bincount(g, minlength=gates)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(gates)), pa.array(seen), *(pa.array(w[:, i].astype(np.float64) * seen) for i in range(CONTEXTS + 1))], names=["gate", "n", *(f"w{i}" for i in range(CONTEXTS + 1))])
-
-    cols = [f"w{i}" for i in range(CONTEXTS + 1)]
-    rows = docs.where("train").select("text").mapInArrow(run, "gate long, n long, " + ", ".join(f"{c} double" for c in cols)).groupBy("gate").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in cols)).collect()
-    out = np.full((gates, CONTEXTS + 1), 0.3, np.float32)
+        keep_heap()
+        model, table_ = Model(*sent.value), tables.value
+        w, seen = np.full((CONTEXTS, GATES), 0.3, np.float32), np.zeros(GATES)
+        moved = np.full(w.shape, 1e-3)  # squares of the steps so far: the more a weight has moved, the less it does
+        for rows, _ in spelled_rows(batches, wide):
+            symbol, seeds, _ = model.symbols(rows)
+            for lo in range(0, len(symbol), STEP):
+                _, bit, valid, gate, slots = model.spread(symbol[lo : lo + STEP], seeds[:, lo : lo + STEP])
+                x, g = model.inputs(table_, [k << np.uint32(1) | bit for k in slots])
+                g += CONFIDENCE * gate.astype(np.int64)
+                err = _surprise(bit, valid, sum(wi.take(g, mode="clip") * v for wi, v in zip(w, x, strict=True)))[1].reshape(-1)
+                g = g.reshape(-1)
+                step = np.stack([np.bincount(g, err * v.reshape(-1), GATES) for v in x])
+                moved += step**2
+                w += (RATE * step / np.sqrt(moved)).astype(np.float32)
+                seen += np.bincount(g, valid.reshape(-1), GATES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES)), pa.array(seen.astype(np.int64)), *(pa.array(wi.astype(np.float64) * seen) for wi in w)], names=["gate", "n", *cols])
+
+    cols = [f"w{i}" for i in range(CONTEXTS)]
+    rows = spelled.where("train").select("ids", "rare", "before").mapInArrow(run, "gate long, n long, " + ", ".join(f"{c} double" for c in cols)).groupBy("gate").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in cols)).collect()
+    out = np.full((CONTEXTS, GATES), 0.3, np.float32)
     for r in rows:  # a row for each gate
         if r.n:
-            out[r.gate] = [r[c] / r.n for c in cols]
+            out[:, r.gate] = [r[c] / r.n for c in cols]
     return out
 
 
-def score(docs: DataFrame, head: int | None = None, bits: int | None = None) -> DataFrame:
-    """docs (doc_id, text) scored: the base's columns, score (log10), bits_per_byte. Sizes follow the vocabulary unless given."""
+def _surprise(bit: np.ndarray, valid: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log of the probability given to the bits, what their predictions lack), from stretched predictions t; 0 where no bit is."""
+    sign = (valid.astype(np.int8) - 2 * (bit & valid).astype(np.int8)).astype(np.float32)
+    e = np.exp(np.clip(sign * t, -20, 20))
+    e1 = 1 + e
+    logs = np.log(e1)
+    logs *= -np.abs(sign)
+    e /= e1
+    e *= -sign
+    return logs, e
+
+
+def rounds(place: np.ndarray) -> np.ndarray:
+    """The round of refinement in which a document's symbol is: 8 symbols, 8, 16, 32, ..., then 1024 each."""
+    return np.where(place < 1024, np.maximum(np.frexp(place)[1] - 3, 0), 7 + place // 1024)
+
+
+def log_likelihoods(model: Model, table_: np.ndarray, weights: np.ndarray, rows: list) -> np.ndarray:
+    """Natural logs of the rows' probabilities. All rows of a round are looked at together, then each one's own weights move."""
+    symbol, seeds, first = model.symbols(rows)
+    size = np.diff([*first, len(symbol)])
+    row = np.repeat(np.arange(len(rows)), size)
+    turn = rounds(np.arange(len(symbol)) - np.repeat(first, size))
+    order = np.argsort(turn, kind="stable")
+    symbol, seeds, row, turn = symbol[order], seeds[:, order], row[order], turn[order]
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(turn)]
+    own = np.zeros((CONTEXTS, len(rows) * OWN), np.float32)
+    out = np.zeros(len(rows))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        grads, seen = np.zeros(own.shape), np.zeros(own.shape[1])
+        for a in range(lo, hi, CHUNK):
+            at = slice(a, min(a + CHUNK, hi))
+            n, bit, valid, gate, slots = model.spread(symbol[at], seeds[:, at])
+            x, g = model.inputs(table_, slots)
+            r = g + np.repeat(row[at] * OWN + CONFIDENCE * (symbol[at] >= model.first_bucket), n)
+            g += CONFIDENCE * gate.astype(np.int64)
+            logs, err = _surprise(bit, valid, sum((wi.take(g, mode="clip") + oi.take(r, mode="clip")) * v for wi, oi, v in zip(weights, own, x, strict=True)))
+            out += np.bincount(np.repeat(row[at], n), logs.sum(axis=0), len(rows))
+            if hi < len(turn):
+                r, err = r.reshape(-1), err.reshape(-1)
+                for i, v in enumerate(x):
+                    grads[i] += np.bincount(r, err * v.reshape(-1), own.shape[1])
+                seen += np.bincount(r, valid.reshape(-1), own.shape[1])
+        if hi < len(turn):
+            own += (RATE_OWN * grads / np.sqrt(seen + 1)).astype(np.float32)
+    return out
+
+
+# ---- jobs ----------------------------------------------------------------------------------------
+def fit(docs: DataFrame, head: int | None = None, bits: int | None = None):
+    """All that is gathered from training rows of docs (doc_id, text, train): the word counts' totals, the stored
+    rows, whether their ids are wide, the codes as sent, the head's counts, predictions, weights, and shares (word, n, share)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    d = numbered(docs.select("doc_id", "text"), "_lm_id").withColumn("train", training(F.col("doc_id")))
-    words = stored(count_words(d), "lm-words")
+    words = stored(count_words(docs), "lm-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)).alias("once")).first()
     head, bits = (given if given is not None else own for given, own in zip((head, bits), sizes(total.v), strict=True))
-    top = words.where("n > 1").orderBy(F.desc("n"), "word").limit(head).toArrow()  # bounded
+    top = words.where("n > 1").orderBy(F.desc("n"), "word").limit(head).toArrow()  # follows the vocabulary
     names, ns = top.column("word").to_pylist(), top.column("n").to_pylist()
-    tail_n = total.n - sum(ns)
-    novel = (total.once + 1) / (total.once + 1 + tail_n)  # chance that an escape is an unknown word
+    wide, tail_n = len(names) >= 1 << 16, total.n - sum(ns)
+    spelled = stored(spell(docs, spark.sparkContext.broadcast(names), wide), "lm-spelled")
     code = lengths({0: tail_n + 1, **{i + 1: n for i, n in enumerate(ns)}}, max(24, len(ns).bit_length() + 3))
-    sent = spark.sparkContext.broadcast((names, code))
-    counts_local = count_bits(d, sent, bits)
-    counts = spark.sparkContext.broadcast(counts_local)
-    weights = spark.sparkContext.broadcast(learn(d, sent, counts, bits))
-    known = spark.sparkContext.broadcast(np.log10(np.array([1, *(n + 1 for n in ns)]) / (total.n + total.v + 1)))
+    sent = spark.sparkContext.broadcast((code, bucket_bits(total.v), bits))
+    counts = count_bits(spelled, sent, wide)
+    for_learning = spark.sparkContext.broadcast(left_out(counts))
+    weights = learn(spelled, sent, for_learning, wide)
+    for_learning.unpersist()
+    scores = predictions(counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32))
+    # within its bucket a word outside the head has its count's share; an unknown one what is left for new words
+    novel = (total.once + 1) / (total.once + 1 + tail_n)
+    outside = (F.col("n") < ns[-1]) | ((F.col("n") == ns[-1]) & (F.col("word") > F.lit(names[-1]))) if ns else F.lit(True)
+    bucket = F.crc32("word").bitwiseAND((1 << bucket_bits(total.v)) - 1)
+    tail = words.where(outside).withColumn("bucket", bucket)
+    all_of = tail.groupBy("bucket").agg(F.sum("n").alias("all"))  # 2**bucket_bits rows
+    shares = tail.join(F.broadcast(all_of), "bucket").select("word", "n", ((1 - novel) * F.col("n") / F.col("all")).alias("share"))
+    return total, spelled, wide, sent, ns, scores, weights, shares, novel
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, inputs, base = Speller(*sent.value, bits), Inputs(counts.value), known.value
-        for b in batches:
-            n_words, n_head, base_head, score_head, n_bytes = [], [], [], [], []
-            texts = b.column("text").to_pylist()
-            for ids, starts, names in speller.batch(texts):
-                word_score = np.zeros(len(ids))
-                first = np.searchsorted(starts, np.arange(0, len(ids) + 1, 1 << 17), side="right") - 1
-                own, doc = weights.value.copy(), -1
-                for lo, n, bit, depth, slots in speller.parts(ids, starts, names):
-                    x, sure = inputs(slots)
-                    gate = depth * CONFIDENCE + sure
-                    z = np.concatenate([[0], np.cumsum(n)])
-                    logs = np.empty(len(bit))
-                    for k in range(int(first[lo >> 17]), len(starts) - 1):
-                        a, e = max(starts[k] - lo, 0), min(starts[k + 1] - lo, len(n))
-                        if a >= len(n):
-                            break
-                        if k != doc:
-                            own, doc = weights.value.copy(), k
-                        for i in range(int(z[a]), int(z[e]), STEP):
-                            at = slice(i, min(i + STEP, int(z[e])))
-                            g = gate[at]
-                            t = np.clip(np.einsum("bi,ib->b", own[g], x[:, at]), -20, 20)
-                            logs[at] = -np.log1p(np.exp(np.where(bit[at] == 1, -t, t)))
-                            if at.stop < z[e] or e == len(n):  # refined by what was just read
-                                err = (bit[at] - 1 / (1 + np.exp(-t))) * x[:, at]
-                                pace = RATE_OWN / np.sqrt(np.bincount(g, minlength=len(own)) + 1)
-                                for c in range(CONTEXTS + 1):
-                                    own[:, c] += pace * np.bincount(g, err[c], len(own))
-                    word_score[lo : lo + len(n)] = np.add.reduceat(logs, z[:-1]) if len(n) else 0
-                score_head += np.add.reduceat(word_score, starts[:-1]).tolist()
-                base_head += np.add.reduceat(np.where(ids > 0, base[ids], 0), starts[:-1]).tolist()
-                n_head += np.add.reduceat((ids > 0).astype(np.int64), starts[:-1]).tolist()
-                n_words += np.diff(starts).tolist()
-            n_bytes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column("_lm_id"), b.column("doc_id"), b.column("train"), *map(pa.array, (n_words, n_head, base_head, score_head, n_bytes))], names=["_lm_id", "doc_id", "train", "n_tokens", "n_head", "base_head", "score_head", "n_bytes"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    scored = d.select("_lm_id", "doc_id", "train", "text").mapInArrow(run, f"_lm_id long, doc_id {id_type}, train boolean, n_tokens long, n_head long, base_head double, score_head double, n_bytes long")
+def score(docs: DataFrame, head: int | None = None, bits: int | None = None) -> DataFrame:
+    """docs (doc_id, text) scored: the base's columns, score (log10), bits_per_byte. Sizes follow the vocabulary unless given."""
+    spark = docs.sparkSession
+    d = docs.select("doc_id", "text").withColumn("train", training(F.col("doc_id")))
+    total, spelled, wide, sent, ns, scores, weights, shares, novel = fit(d, head, bits)
+    mixing = spark.sparkContext.broadcast((scores, weights))
+    known = spark.sparkContext.broadcast(np.log10(np.array([1, *(n + 1 for n in ns)]) / (total.n + total.v + 1)))
 
-    def escaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_head = set(sent.value[0])
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
+        model, base = Model(*sent.value), known.value
+        for rows, b in spelled_rows(batches, wide):
+            n = [len(r[0]) for r in rows]
+            in_head = [int((r[0] > 0).sum()) for r in rows]
+            base_head = [float(base[r[0][r[0] > 0]].sum()) for r in rows]
+            logs = log_likelihoods(model, *mixing.value, rows)
+            yield pa.RecordBatch.from_arrays([b.column("_lm_id"), b.column("doc_id"), b.column("train"), b.column("n_bytes"), *map(pa.array, (n, in_head, base_head, logs))], names=["_lm_id", "doc_id", "train", "n_bytes", "n_tokens", "n_head", "base_head", "logs"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches):
             at, word, k = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                c = Counter([w for w in words_of(t) if w not in in_head])
+                c = Counter(t.split(b"\n")[:-1])
                 at += [i] * len(c)
                 word += c
                 k += c.values()
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(word, pa.binary()), pa.array(k, pa.int64())], names=["_lm_id", "word", "k"])
 
-    # words outside the head are rare, each of them: their join has no hot key
-    rest = d.select("_lm_id", "text").mapInArrow(escaped, "_lm_id long, word binary, k long").join(words, "word", "left")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    scored = spelled.mapInArrow(run, f"_lm_id long, doc_id {id_type}, train boolean, n_bytes long, n_tokens long, n_head long, base_head double, logs double")
+    # words outside the head are rare, each of them: their join has no hot key; equal words of a row were counted first
     c = F.coalesce("n", F.lit(0))
-    rest = rest.groupBy("_lm_id").agg(
-        F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("k_known"),
-        F.sum(F.col("k") * F.log10((c + 1) / F.lit(float(total.n + total.v + 1)))).alias("base_tail"),
-        F.sum(F.col("k") * F.log10(F.when(c > 0, (1 - novel) * c / F.lit(float(max(tail_n, 1)))).otherwise(novel))).alias("score_tail"),
-    )
-    out = scored.join(rest, "_lm_id", "left")
-    points = F.col("score_head") / F.lit(float(np.log(10))) + F.coalesce("score_tail", F.lit(0.0))
-    return out.select(
+    rest = spelled.select("_lm_id", "tail").where(F.length("tail") > 0).mapInArrow(rare, "_lm_id long, word binary, k long").join(shares, "word", "left")
+    rest = rest.groupBy("_lm_id").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("k_known"), F.sum(F.col("k") * F.log10((c + 1) / F.lit(float(total.n + total.v + 1)))).alias("base_tail"),
+                                      F.sum(F.col("k") * F.log10(F.coalesce("share", F.lit(novel)))).alias("share"))
+    own = scored.groupBy("_lm_id").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *(F.sum(x).alias(x) for x in ("n_bytes", "n_tokens", "n_head", "base_head", "logs")))
+    points = F.col("logs") / F.lit(float(np.log(10))) + F.coalesce("share", F.lit(0.0))
+    return own.join(rest, "_lm_id", "left").select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_head") + F.coalesce("k_known", F.lit(0))).alias("n_known"),
         F.lit(total.n).cast("long").alias("train_tokens"), (F.col("base_head") + F.coalesce("base_tail", F.lit(0.0))).alias("base_score"),
         points.alias("score"), F.when(F.col("n_bytes") > 0, -points / float(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"))

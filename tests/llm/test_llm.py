@@ -352,50 +352,133 @@ def test_language_model_beats_its_base_on_held_out_rows(spark, none):
     assert lm_score.score(none).count() == 0
 
 
+def spelled_row(words, index):
+    ids = np.array([index.get(w, 0) for w in words], np.int64)
+    return ids, np.array([zlib.crc32(w) for w, i in zip(words, ids) if not i], "<u4"), np.array([lm_score.START, lm_score.START, 0], "<u4")
+
+
+def small_model(bits=12):
+    return lm_score.Model(huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1, **{i: 1 + i % 5 for i in range(4, 40)}}, 12), 5, bits), {**{b"": 1, b"a": 2, b"b": 3}, **{b"h%d" % i: i for i in range(4, 40)}}
+
+
+def plain_bits(model, row):
+    """Bit by bit, in plain Python: (symbol's place, bit, gate, slots in the four tables)."""
+    m32, out = 0xFFFFFFFF, []
+
+    def mixed(h):
+        h = (h ^ h >> 16) * 0x85EBCA6B & m32
+        return (h ^ h >> 13) * 0xC2B2AE35 & m32
+
+    one, two, sign, place, rare = *map(int, row[2]), 0, list(map(int, row[1]))
+    for i in row[0].tolist():
+        name = i or rare[0] | 1 << 31
+        for symbol in [i] if i else [0, model.first_bucket + (rare.pop(0) & model.buckets - 1)]:
+            a = mixed((one + 1) & m32)
+            seeds = [0, a, mixed((a + two) & m32), mixed((sign + 0x51ED27) & m32)]
+            for line in range(model.begin[symbol], model.begin[symbol] + model.lines[symbol]):
+                slot = 1
+                for k in range(model.valid[line]):
+                    bit = int(model.four[line]) >> 3 - k & 1
+                    slots = []
+                    for s in seeds:
+                        h = (int(model.node[line]) + s) & m32
+                        h = (h ^ h >> 15) * 0x2C1B3C6D & m32
+                        slots.append(h >> 36 - model.bits << 4 | slot)
+                    out.append((place, bit, min(int(model.gate[line]) + k, int(model.last_gate[line])), slots))
+                    slot = 2 * slot | bit
+            place += 1
+        one, two, sign = name, one, i if 0 < i <= lm_score.COMMON else sign
+    return out
+
+
+def test_scores_and_counts_against_a_plain_loop(spark):
+    """The same sums as one bit after the other gives: counts of bits, and the score with weights refined by rounds."""
+    r, (model, index) = random.Random(4), small_model()
+    vocabulary = [*index][2:] + [b"rare%d" % i for i in range(30)]
+    rows = [spelled_row([r.choice(vocabulary) for _ in range(n)] + [b""], index) for n in [0, 1, 5, 7, 8, 9, 30, 200, 1500, *(r.randrange(1, 80) for _ in range(41))]]
+    code = (huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1, **{i: 1 + i % 5 for i in range(4, 40)}}, 12), 5, 12)
+    counts = np.zeros((lm_score.CONTEXTS << 12, 2), np.int64)
+    for row in rows:
+        for _, bit, _, slots in plain_bits(model, row):
+            for i, k in enumerate(slots):
+                counts[(i << 12) + k, bit] += 1
+    spelled = spark.createDataFrame([(a.astype("<u2").tobytes(), b.tobytes(), c.tobytes(), True) for a, b, c in rows], "ids binary, rare binary, before binary, train boolean").repartition(3)
+    got = lm_score.count_bits(spelled, spark.sparkContext.broadcast(code), False)
+    assert (got == counts).all()
+    tables = lm_score.predictions(got[:, 0].astype(np.float32), got[:, 1].astype(np.float32))
+    weights = np.random.default_rng(2).normal(0.3, 0.2, (lm_score.CONTEXTS, lm_score.GATES)).astype(np.float32)
+    want = []
+    for row in rows:
+        own, total, now, grads, seen = np.zeros((lm_score.CONTEXTS, lm_score.OWN)), 0.0, 0, np.zeros((lm_score.CONTEXTS, lm_score.OWN)), np.zeros(lm_score.OWN)
+        for place, bit, gate, slots in plain_bits(model, row):
+            turn = 7 + place // 1024 if place >= 1024 else max(place.bit_length() - 3, 0)
+            if turn != now:
+                own += lm_score.RATE_OWN * grads / np.sqrt(seen + 1)
+                grads[:], seen[:], now = 0, 0, turn
+            v = [int(tables[i][k]) for i, k in enumerate(slots)]
+            x, sure = np.array([(k >> 1) / lm_score.SCALE for k in v]), sum(k & 1 for k in v)
+            o = lm_score.CONFIDENCE * (gate >= lm_score.DEPTHS) + sure
+            p = 1 / (1 + math.exp(-float(np.clip((weights[:, lm_score.CONFIDENCE * gate + sure] + own[:, o]) @ x, -20, 20))))
+            total += math.log(p if bit else 1 - p)
+            grads[:, o] += (bit - p) * x
+            seen[o] += 1
+        want.append(total)
+    got = lm_score.log_likelihoods(model, tables, weights, rows)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+
+
 def test_every_training_row_has_a_say_in_the_weights(spark):
-    """Each training row alone moves the weights from where they start."""
-    length = huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1}, 8)
-    sent = spark.sparkContext.broadcast(([b"", b"a", b"b"], length))
-    counts = spark.sparkContext.broadcast(np.random.default_rng(1).integers(1, 50, (2, lm_score.CONTEXTS << 10)).astype(np.uint16))
-    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
-    for i in [i for i in ids if zlib.crc32(str(i).encode()) % 42 >= 7][:3] + ids[:1]:
-        one = spark.createDataFrame([(i, "a b a b b")], "doc_id long, text string").withColumn("train", lm_score.training(F.col("doc_id")))
-        assert (lm_score.learn(one, sent, counts, 10) != np.float32(0.3)).any(), i
+    """Each training row alone moves the weights from where they start; rows held out don't."""
+    model, index = small_model(10)
+    code = (huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1, **{i: 1 + i % 5 for i in range(4, 40)}}, 12), 5, 10)
+    sent = spark.sparkContext.broadcast(code)
+    tables = spark.sparkContext.broadcast(lm_score.left_out(np.random.default_rng(1).integers(1, 50, (lm_score.CONTEXTS << 10, 2)).astype(np.uint16)))
+    for i in range(6):
+        train = zlib.crc32(str(i).encode()) % 7 != 2
+        a, b, c = spelled_row([b"a", b"b", b"rare", b"a", b""], index)
+        one = spark.createDataFrame([(i, a.astype("<u2").tobytes(), b.tobytes(), c.tobytes())], "doc_id long, ids binary, rare binary, before binary").withColumn("train", lm_score.training(F.col("doc_id")))
+        assert (lm_score.learn(one, sent, tables, False) != np.float32(0.3)).any() == train, i
 
 
 def test_model_grows_with_the_vocabulary(spark, monkeypatch):
-    """Codes and slots follow the distinct training words; as contexts, words without a code differ too."""
-    head, bits = zip(*(lm_score.sizes(v) for v in (10**3, 10**7, 10**8, 10**9)), strict=True)
-    assert head[0] < head[1] < head[2] < head[3] and bits[0] < bits[1] < bits[2] < bits[3]
+    """Codes, slots and buckets follow the distinct training words; as contexts, words without a code differ too."""
+    for of in (lambda v: lm_score.sizes(v)[0], lambda v: lm_score.sizes(v)[1], lm_score.bucket_bits):
+        a = [of(v) for v in (10**3, 10**7, 10**8, 10**9)]
+        assert a[0] < a[1] < a[2] < a[3]
     used, count = [], lm_score.count_bits
     monkeypatch.setattr(lm_score, "HEAD", 4)
     monkeypatch.setattr(lm_score, "BITS", 10)
-    monkeypatch.setattr(lm_score, "count_bits", lambda d, sent, bits: used.append((len(sent.value[0]), bits)) or count(d, sent, bits))
+    monkeypatch.setattr(lm_score, "count_bits", lambda d, sent, wide: used.append((len(sent.value[0]) - 1, sent.value[2])) or count(d, sent, wide))
     rows = [(i, " ".join(f"n{i}x{k}" for k in range(600)) + " " + " ".join(f"n{i}x{k}" for k in range(600)), "e", 0) for i in range(20)]
     assert lm_score.score(spark.createDataFrame(rows, DOCS)).where("score < 0").count() == 20
     v = len({w for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in lm_score.words_of(t)})
     assert used == [lm_score.sizes(v)] and used[0][0] > 4 and used[0][1] > 10
-    s = lm_score.Speller([b"", b"a", b"b"], huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1}, 8), 16)
-    after = []
-    for w in (b"tail", b"other"):
-        (ids, starts, names), = s.batch([w.decode() + " a"])
-        (_, n, _, _, slots), = s.parts(ids, starts, names)
-        after.append(slots[1:3, n[0] : n[0] + n[1]])
-    assert (after[0] != after[1]).all()
+    model, index = small_model()
+    after = [model.symbols([spelled_row([w, b"a"], index)])[1][1:, -1] for w in (b"tail", b"other")]
+    assert (after[0][:1] != after[1][:1]).all()
 
 
 def test_probabilities_add_up():
-    """The mixed bits of one context spell a distribution over head words and the escape."""
-    length = huffman_files.lengths({0: 3, 1: 9, 2: 5, 3: 1}, 8)
-    s = lm_score.Speller([b"", b"a", b"b"], length, 10)
-    counts = np.random.default_rng(1).integers(0, 50, (2, lm_score.CONTEXTS << 10)).astype(np.uint16)
-    total = 0
-    for i in range(4):
-        n, bit, depth, slots = s(np.array([1, i]), np.array([True, False]))
-        x, _ = lm_score.Inputs(counts)(slots[:, n[0] :])
-        p = 1 / (1 + np.exp(-(0.3 * x).sum(axis=0)))
-        total += np.prod(np.where(bit[n[0] :] == 1, p, 1 - p))
-    assert abs(total - 1) < 1e-5
+    """The mixed bits of one context spell a distribution over head words and the escape's buckets."""
+    model, index = small_model()
+    counts = np.random.default_rng(1).integers(0, 50, (lm_score.CONTEXTS << 12, 2)).astype(np.float32)
+    tables, weights, total = lm_score.predictions(counts[:, 0], counts[:, 1]), np.full((lm_score.CONTEXTS, lm_score.GATES), 0.3, np.float32), 0
+    buckets = {}
+    for i in range(2000):
+        buckets.setdefault(zlib.crc32(b"t%d" % i) % 32, b"t%d" % i)
+    one = lm_score.log_likelihoods(model, tables, weights, [spelled_row([b"a"], index)])[0]
+    for w in [*index, *buckets.values()]:
+        total += math.exp(lm_score.log_likelihoods(model, tables, weights, [spelled_row([b"a", w], index)])[0] - one)
+    assert len(buckets) == 32 and abs(total - 1) < 1e-4
+
+
+def test_long_texts_and_strange_rows_are_scored(spark, monkeypatch):
+    """Texts longer than a piece, rows that repeat, null doc_ids, string doc_ids and columns that clash."""
+    long = text(8, 3 * lm_score.PIECE // 2)
+    rows = [("x1", long, 3), ("x1", long, 3), (None, "a b", 1), ("x2", None, 0), ("x3", "", 0)]
+    out = lm_score.score(spark.createDataFrame(rows, "doc_id string, text string, n_tokens int")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in out) == sorted((str(d), len((t or "").split()) + 1) for d, t, _ in rows)
+    assert len({r.score for r in out if r.doc_id == "x1"}) == 1 and all(r.score < 0 for r in out)
 
 
 def test_pipeline(spark):
