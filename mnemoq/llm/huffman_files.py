@@ -3,7 +3,8 @@ blocks that decode on their own, each with the bit offsets of regular checkpoint
 
 Steps: every text is encoded once into a table in the shared folder; ids are counted by task, then in
 all; one code is made from the counts (its size is the vocabulary's); rows are coded, dealt by ranges
-of doc_id and put together as blocks, in ascending order. A reader needs a block and the code alone.
+of doc_id and put together as blocks, in ascending order. The code's lengths and the parameters are
+written beside the blocks, so a reader in another process needs the path alone.
 
 A block is a row of a Parquet table, which any store that Spark reaches can hold: ``part`` and
 ``block`` (its place), ``start`` (ids in all blocks before it), the doc_ids, the ids of each document,
@@ -11,7 +12,8 @@ the bit offset at every ``every``-th id, and the bits. Decoding looks up ``limit
 table of 2**limit entries, for all checkpoints of a block side by side.
 
 Defined cases: null text is empty and is the end id alone; an empty table gives no blocks and no
-rows; rows of equal doc_id follow each other in the order of their coded bytes; a null doc_id comes first.
+rows; rows of equal doc_id follow each other in the order of their coded bytes; a null doc_id comes first;
+a doc_id that is no whole number is an error; only doc_id and text are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import forget, scratch, small_batches, stored, table
+from .common import batches_of, forget, scratch, stored, table
 from .tokens import default_path, encoder
 
 END = 2
@@ -122,7 +125,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         tail = np.array([end], enc.dtype).tobytes()
-        for b in batches:
+        for b in batches_of(batches):
             got = [x + tail for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // enc.dtype.itemsize for x in got], pa.int64()), pa.array(got, pa.binary())], names=["doc_id", "n", "ids"])
 
@@ -147,30 +150,51 @@ def count_ids(tokens: DataFrame, wide: bool) -> dict[int, int]:
 
 
 def _ranges(tokens: DataFrame, parts: int) -> list[int]:
-    """Bounds of doc_id between which about equally many ids lie; read from ids' counts alone."""
+    """Bounds of doc_id between which about equally many documents lie."""
     qs = tokens.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     return sorted({int(q) for q in qs})
 
 
-def write(docs: DataFrame, path: str | None = None, end: int = END, limit: int = LIMIT, every: int = EVERY, to: str | None = None) -> tuple[DataFrame, dict[int, int]]:
-    """Write the ids of docs in ascending doc_id order; returns the blocks as read back, and the code's lengths."""
+def ranged(tokens: DataFrame, bounds: list[int]) -> DataFrame:
+    """tokens with part: the number of bounds at or below the doc_id, looked up in the sorted bounds batch by batch; null is before all."""
+    sent = tokens.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id")
+            part = np.searchsorted(sent.value, ids.fill_null(-(2**63)).to_numpy(), side="right").astype(np.int32)
+            yield b.append_column("part", pa.array(part))
+
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("part", T.IntegerType())]))
+
+
+def save_code(spark: SparkSession, to: str, length: dict[int, int], limit: int, every: int, end: int) -> None:
+    """The code's lengths and the parameters, as a table beside the blocks: all that a reader needs to know."""
+    rows = pa.table({"symbol": pa.array(list(length), pa.int64()), "bits": pa.array(list(length.values()), pa.int32())})
+    spark.createDataFrame(rows, "symbol long, bits int").coalesce(1).withColumns({"limit": F.lit(limit), "every": F.lit(every), "end": F.lit(end)}).write.parquet(f"{to}/code")
+
+
+def load_code(spark: SparkSession, path: str) -> tuple[dict[int, int], int, int]:
+    """(lengths, limit, every) of the files at a path; a row for each id that occurs."""
+    rows = spark.read.parquet(f"{path}/code").collect()
+    return {r.symbol: r.bits for r in rows}, *((rows[0].limit, rows[0].every) if rows else (LIMIT, EVERY))
+
+
+def write(docs: DataFrame, path: str | None = None, end: int = END, limit: int = LIMIT, every: int = EVERY, to: str | None = None) -> str:
+    """Write the ids of docs in ascending doc_id order, as blocks and their code; returns the path, all that ``read`` needs."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = path or default_path()
     wide = encoder(path).dtype.itemsize == 4
     tokens = stored(encoded(docs, path, end), "token-ids")
     length = lengths(count_ids(tokens, wide), limit) if not tokens.isEmpty() else {}
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = _ranges(tokens, parts)
-    # the range of a row is the number of bounds at or below its doc_id
-    part = F.coalesce(F.expr(f"cast(aggregate(array({', '.join(f'{b}L' for b in bounds)}), 0, (n, b) -> n + if(doc_id >= b, 1, 0)) as int)"), F.lit(0)) if bounds else F.lit(0)
-    placed = tokens.withColumn("part", part)
-    sums = {r.part: r.n for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each range
+    sums = {r.part: r.n for r in ranged(tokens.select("doc_id", "n"), bounds).groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each range
     base, before = {}, 0
     for k in range(len(bounds) + 1):
         base[k] = before
         before += sums.get(k, 0)
-    sent = spark.sparkContext.broadcast((length, base))
+    sent = spark.sparkContext.broadcast((length, base, np.array(bounds, np.int64)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, lens = canonical(sent.value[0])
@@ -180,10 +204,12 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, limit: int =
                 y, at = pack(np.frombuffer(x, "<u4" if wide else "<u2"), codes, lens)
                 bits.append(y)
                 marks.append(at[::every].astype("<u4").tobytes() if len(y) < 1 << 28 else at[::every].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("n"), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], names=["part", "doc_id", "n", "bits", "marks"])
+            ids = b.column("doc_id")
+            part = np.searchsorted(sent.value[2], ids.fill_null(-(2**63)).to_numpy(), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), ids, b.column("n"), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], names=["part", "doc_id", "n", "bits", "marks"])
 
     schema = "part int, doc_id long, n long, bits binary, marks binary"
-    coded = placed.mapInArrow(code, schema).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "bits")
+    coded = tokens.mapInArrow(code, schema).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "bits")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, block, now = 0, 0, None
@@ -213,20 +239,22 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, limit: int =
 
     files = coded.mapInArrow(blocks, "part int, block int, start long, doc_ids array<long>, n_ids array<long>, checkpoints array<array<long>>, bits binary")
     to = to or scratch(spark, "huffman-blocks")
-    files.write.parquet(to)
+    files.write.parquet(f"{to}/blocks")
+    save_code(spark, to, length, limit, every, end)
     forget(tokens)
-    return spark.read.schema(files.schema).parquet(to), length
+    return to
 
 
-def read(blocks: DataFrame, length: dict[int, int], limit: int = LIMIT, every: int = EVERY, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from blocks alone. ids are left out on demand."""
-    sent = blocks.sparkSession.sparkContext.broadcast(length)
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files at a path alone. ids are left out on demand."""
+    blocks = spark.read.parquet(f"{path}/blocks")
+    length, limit, every = load_code(spark, path)
+    sent = spark.sparkContext.broadcast(length)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(sent.value, limit)
-        for b in batches:
+        for b in batches_of(batches, 16):
             for start, docs, ns, marks, bits in zip(*(b.column(c).to_pylist() for c in ("start", "doc_ids", "n_ids", "checkpoints", "bits")), strict=True):
                 at = np.array([x for m in marks for x in m], np.int64)
                 ids = decoder.read(bits, len(at) * every, at, every)
@@ -247,5 +275,4 @@ def read(blocks: DataFrame, length: dict[int, int], limit: int = LIMIT, every: i
 
 
 def op6_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, length = write(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return read(blocks, length, with_ids=False)
+    return read(spark, write(table(spark, sf_dir, "documents").select("doc_id", "text")), with_ids=False)

@@ -8,6 +8,7 @@ that offer no such cuts (white space doubled, or at either end of a line) are en
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 
@@ -54,6 +55,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        # the cuts below are those of this split and of no other; with any other one texts are encoded whole
+        split = parts["pre_tokenizer"] or {}
+        self.cuts = parts["normalizer"] is None and parts["model"]["type"] == "BPE" and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
@@ -90,7 +96,7 @@ class Encoder:
                 self.after_space.clear()
                 self.first.clear()
             try:
-                out.append(self.plain(t) if any(s in t for s in self.special) else self._by_parts(t) if t else b"")
+                out.append(self.plain(t) if not self.cuts or any(s in t for s in self.special) else self._by_parts(t) if t else b"")
             except NotAlone:
                 out.append(self.plain(t))
         return out
