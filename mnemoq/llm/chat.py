@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import batches_of, table
 
 MARKS = ("### System:", "### User:", "### Assistant:", "</turn>")
 TEMPLATE = (
@@ -209,12 +209,11 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE, marks: tupl
 
     ``first`` marks the first row of its conversation, as the task streams them.
     """
-    small_batches(conversations.sparkSession)
     c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template, marks)
-        for b in batches:
+        for b in batches_of(batches):
             ids, turns = b.column("conv_id"), b.column("turn")
             pieces = [render({"role": r, "text": t, "turn": n}) for r, t, n in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), turns.to_pylist(), strict=True)]
             rows = [[{"text": s, "mask": m} for s, m in p] for p in pieces]

@@ -59,11 +59,6 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(out, "numbered") if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else out
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, so that very long texts don't add up to more than a task's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def keep_heap() -> None:
     """Let this worker keep up to 256 MB of freed memory, so that arrays made again and again aren't paged in anew each time."""
     libc = ctypes.CDLL(None)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, small_batches, stored, table
+from .common import batches_of, forget, stored, table
 
 SHINGLE = 5
 PERCENT = 75
@@ -81,7 +81,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(shingle)
-        for b in batches:
+        for b in batches_of(batches):
             sets = [of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]),
@@ -235,7 +235,6 @@ def _tiles(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per document."""
-    small_batches(docs.sparkSession)
     base = stored(sketches(docs, shingle), "sketches")
     reps = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
     reps = stored(reps.where("doc_id is not null"), "reps")
@@ -265,7 +264,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(shingle)
-        for b in batches:
+        for b in batches_of(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t).tobytes() for t in b.column(1).to_pylist()])], names=["doc_id", "hashes"])
 
     return docs.mapInArrow(run, "doc_id long, hashes binary").dropDuplicates(["doc_id"])

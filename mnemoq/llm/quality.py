@@ -13,7 +13,12 @@ document at all, the ratio is 0 everywhere and the rules alone decide.
 
 Defined cases: null and blank texts have no words, fail the rules and have score 0. Labels without a
 document, null labels and repeated labels change nothing. Repeated rows each get their own result.
-Extra columns pass through ``judge``; working columns have the prefix ``_q_``.
+Very long texts are judged whole, an empty table gives no rows. Extra columns pass through ``judge`` and
+``keep_good`` as they are, whatever their names, but for the prefix ``_q_`` of all columns made here.
+
+The threshold: texts like the corpus as a whole have a ratio about 0, texts like the trusted ones more. At
+-40 millinats a text is less likely under the trusted multinomial by a factor of e**-0.04 an n-gram,
+e**-4 for a text of fifty words; the smoothing noise of rare buckets stays well above that.
 """
 
 from __future__ import annotations
@@ -61,7 +66,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_trusted:
 
 
 def judge(docs: DataFrame, scores: list[int], threshold: int = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept."""
+    """docs and _q_n_words, _q_word_chars, _q_n_symbols, _q_n_dup_lines, _q_n_repeat_words, _q_base_failed, _q_llr, _q_kept."""
     d = _grams(_words(docs), len(scores))
     d = d.withColumn("_q_lines", F.expr(r"filter(split(coalesce(text, ''), '\n', -1), l -> length(btrim(l, ' \t\n\u000b\f\r')) > 0)"))
     d = d.withColumn("_q_t", F.expr("slice(transform(_q_w, (w, i) -> xxhash64(w, get(_q_w, i + 1), get(_q_w, i + 2))), 1, greatest(size(_q_w) - 2, 0))"))
@@ -72,26 +77,26 @@ def judge(docs: DataFrame, scores: list[int], threshold: int = THRESHOLD, min_wo
     table_of = F.split(F.lit(",".join(map(str, scores))), ",").cast("array<int>")
     d = d.withColumn("_q_sum", F.aggregate("_q_g", F.lit(0).cast("long"), lambda a, g: a + F.get(table_of, g)))
     d = d.withColumns({
-        "n_words": F.size("_q_w").cast("long"),
-        "word_chars": F.length(F.array_join("_q_w", "")).cast("long"),
-        "n_symbols": F.expr(r"cast(regexp_count(coalesce(text, ''), '[#*$%&|<>]') as bigint)"),
-        "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(F.size(F.array_distinct(F.flatten(F.expr("transform(_q_r, i -> array(i, i + 1, i + 2))")))).cast("long"), F.lit(0).cast("long")),
-        "llr": F.when(F.size("_q_g") > 0, F.col("_q_sum") / F.size("_q_g")).otherwise(F.lit(0.0)),
+        "_q_n_words": F.size("_q_w").cast("long"),
+        "_q_word_chars": F.length(F.array_join("_q_w", "")).cast("long"),
+        "_q_n_symbols": F.expr(r"cast(regexp_count(coalesce(text, ''), '[#*$%&|<>]') as bigint)"),
+        "_q_n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
+        "_q_n_repeat_words": F.coalesce(F.size(F.array_distinct(F.flatten(F.expr("transform(_q_r, i -> array(i, i + 1, i + 2))")))).cast("long"), F.lit(0).cast("long")),
+        "_q_llr": F.when(F.size("_q_g") > 0, F.col("_q_sum") / F.size("_q_g")).otherwise(F.lit(0.0)),
     })
-    d = d.withColumn("n_repeat_words", F.greatest("n_repeat_words", F.lit(0).cast("long")))
-    d = d.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("_q_sum") >= F.size("_q_g").cast("long") * threshold))
+    d = d.withColumn("_q_n_repeat_words", F.greatest("_q_n_repeat_words", F.lit(0).cast("long")))
+    d = d.withColumn("_q_base_failed", (F.col("_q_n_words") < min_words) | (100 * F.col("_q_n_repeat_words") > 50 * F.col("_q_n_words")))
+    d = d.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_sum") >= F.size("_q_g").cast("long") * threshold))
     return d.drop("_q_w", "_q_g", "_q_lines", "_q_t", "_q_s", "_q_r", "_q_sum")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """docs without those that the rules or the ratio reject; columns as they were."""
     out = judge(docs, fit(docs, labels), **how)
-    return fenced(out, F.col("kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return fenced(out, F.col("_q_kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return out.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")])

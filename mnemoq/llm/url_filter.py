@@ -1,13 +1,15 @@
 """URL filters: a trie over reversed host labels, then path segments, broadcast to the tasks; among
-the entries that fit, the longest wins, between allow and block alike.
+the entries that fit, the longest wins, between allow and block alike: the one with the most characters
+in host and path together, and, of equally long ones, the one with the longer host.
 
 A rule (host, path) fits its host and all subdomains, for url paths that start with the rule's. Rules
 are a parameter of bounded size (``max_rules``), checked before they are broadcast; the urls stay
 where they are, so nothing is shuffled.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and the
-default verdict. Repeated rows each get a result. Of equal rules the last one given stands. Extra
-columns pass through ``judge``.
+default verdict. Very long urls are looked up whole. Repeated rows each get a result, an empty table none.
+Of equal rules the last one given stands. Extra columns pass through ``judge``; host, path, rule and verdict
+are replaced.
 """
 
 from __future__ import annotations
@@ -41,14 +43,15 @@ class Trie:
             node.setdefault(None, {})[(rest, "/" in path)] = (f"{host}{path}", verdict)
 
     def find(self, host: str, path: str) -> tuple[str | None, str | None]:
-        """The rule with the longest host that fits, and of its paths the longest; (None, None) if none fits."""
-        best, node = (None, None), self.root
-        best = self._path(node, path) or best
+        """The longest rule that fits, (None, None) if none does: on the way down the host's labels each node gives its longest path."""
+        node, best = self.root, self._path(self.root, path) or (None, None)
         for label in reversed(host.split(".")) if host else ():
             node = node.get(label)
             if node is None:
                 break
-            best = self._path(node, path) or best
+            rule = self._path(node, path)
+            if rule and (best[0] is None or len(rule[0]) >= len(best[0])):
+                best = rule
         return best
 
     @staticmethod
@@ -101,6 +104,6 @@ ORACLE = r"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
 r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(h, p, v)),
-m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+m AS (SELECT page_id, arg_max(h || p, 1000000 * length(h || p) + length(h)) AS rule, arg_max(v, 1000000 * length(h || p) + length(h)) AS v FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
 """
