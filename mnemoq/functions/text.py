@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemoq.sources import domain
@@ -12,16 +16,26 @@ MARK = "[compressed]"
 
 # fixed values: words that carry no topic
 STOPWORDS = (
-    "a an and are as at be been but by can could did do does for from had has have he her his how i if in into is it its just me my no not of on or our "
-    "she so than that the their them then there these they this to up was we were what when which who will with would you your"
+    "a an the and or but if then else is are was were "
+    "be been being have has had do does did of to in "
+    "on at by for with as this that these those it its "
+    "from into about over under than so not no yes i you "
+    "he she we they them us our your their my me him "
+    "her will would should could can may might must just "
+    "also very really"
 ).split()
-# fixed values: articles and fillers that brevity drops
-FILLERS = ["a", "an", "the", "just", "really", "very", "quite", "simply", "basically", "actually", "literally", "essentially", "perhaps", "maybe", "somewhat"]
+# fixed values: articles, then fillers, that brevity drops
+FILLERS = ["a", "an", "the", "just", "really", "very", "actually", "basically", "literally", "simply", "quite", "rather", "somewhat", "perhaps", "maybe"]
 
 # ---- lines ---------------------------------------------------------------------------------------
 ANSI = r"\x1b\[[0-9;?]*[a-zA-Z]"
 
 
+def once(value: Column, then) -> Column:
+    """then(value), with the value computed once, however often a lambda within looks at it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Lines as read one by one: a final line break opens no further line, carriage returns before a break go."""
     t = F.regexp_replace(F.regexp_replace(text, r"\r\n", "\n"), r"\n\z", "")
@@ -38,8 +52,10 @@ def strip_ansi(text: Column) -> Column:
 
 def dedup_runs(ls: Column) -> Column:
     """Each run of equal lines as its first line and, for longer runs, a count of the others."""
-    start = F.filter(F.transform(ls, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(ls, i - 1)), i)), lambda i: i.isNotNull())
-    return _runs(ls, start)
+    def starts(ls: Column) -> Column:
+        return F.filter(F.transform(ls, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(ls, i - 1)), i)), lambda i: i.isNotNull())
+
+    return once(ls, lambda ls: once(starts(ls), lambda start: _runs(ls, start)))
 
 
 def _runs(ls: Column, start: Column) -> Column:
@@ -92,8 +108,40 @@ def normalize(text: Column) -> Column:
 
 
 def strip_comments(text: Column) -> Column:
-    """Markup comments go; runs of blank lines become one."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"\n{3,}", "\n\n")
+    """Markup comments go; of blank lines in a row one stays, empty."""
+    ls = lines(F.regexp_replace(text, r"(?s)<!--.*?-->", ""))
+    blank = lambda x: F.regexp_like(x, F.lit(r"^\s*$"))
+    ls = once(ls, lambda ls: F.filter(ls, lambda x, i: ~(blank(x) & (i > 0) & blank(F.get(ls, i - 1)))))
+    return unlines(F.transform(ls, lambda x: F.when(blank(x), "").otherwise(x)))
+
+
+def drop_progress(text: Column) -> Column:
+    """Of a line that was written over, what was shown last; lines of bars, digits and marks alone go."""
+    bar = F.lit(r"^[\s#=>\-_.\d%/|]*$")
+    ls = F.transform(lines(text), lambda x: F.struct(F.contains(x, F.lit("\r")).alias("over"), F.substring_index(x, "\r", -1).alias("t")))
+    return F.transform(F.filter(ls, lambda x: ~F.regexp_like(x["t"], bar) | (~x["over"] & (F.trim(x["t"]) == ""))), lambda x: x["t"])
+
+
+def shorten_blobs(text: Column) -> Column:
+    """Runs of 80 or more characters of the base64 alphabet as their first and last 32 and their length."""
+    blob = r"[A-Za-z0-9+/=]{80,}"
+    short = F.transform(F.regexp_extract_all(text, F.lit(blob), F.lit(0)), lambda m: F.concat(F.left(m, F.lit(32)), F.lit("…["), F.length(m).cast("string"), F.lit("B]…"), F.right(m, F.lit(32))))
+    parts = F.zip_with(F.split(text, blob, -1), F.concat(short, F.array(F.lit(""))), lambda x, y: F.concat(x, y))
+    return F.when(F.regexp_like(text, F.lit(blob)), F.array_join(parts, "")).otherwise(text)
+
+
+def without_envelopes(text: Column) -> Column:
+    """Lines that are a tool call's or result's JSON go."""
+    return unlines(F.filter(lines(text), lambda x: ~F.regexp_like(x, F.lit(r'^\s*\{"type":"tool_(use|result)"'))))
+
+
+#: what is done to each kind of text before sentences are chosen
+KINDS = {
+    "generic": lambda t: t,
+    "tool_output": lambda t: unlines(dedup_runs(drop_progress(strip_ansi(t)))),
+    "session_message": lambda t: shorten_blobs(without_envelopes(t)),
+    "project_notes": strip_comments,
+}
 
 
 def sentences(text: Column) -> Column:
@@ -105,46 +153,101 @@ def words(text: Column) -> Column:
 
 
 def brevity(text: Column) -> Column:
-    """Without articles and fillers; marks close up to the word before them."""
-    toks = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_-]+|\S"), F.lit(0))
-    kept = F.filter(toks, lambda t: ~F.lower(t).isin(FILLERS))
-    return F.regexp_replace(F.array_join(kept, " "), r" (?=[.,;:!?)\]}])|(?<=[(\[{]) ", "")
+    """Line by line without articles and fillers; punctuation closes up to what is before it."""
+    def one(line: Column) -> Column:
+        toks = F.regexp_extract_all(line, F.lit(r"[\p{L}\p{N}_-]+|\S"), F.lit(0))
+        return F.regexp_replace(F.array_join(F.filter(toks, lambda t: ~F.lower(t).isin(FILLERS)), " "), r" (?=[!-/:-@\[-`{-~])", "")
 
+    return unlines(F.transform(lines(text), one))
 
-def scored(rows: DataFrame, id_: str = "id", text: str = "content") -> DataFrame:
-    """(id, idx, sentence, score, n_tokens): tf of a sentence's words in its document over the root of their number.
 
-    One shuffle, by document: the words' counts and the sentences' sums both fall within its partition.
-    A sentence's text travels with its first word only.
-    """
-    d = rows.select(id_, F.posexplode(sentences(F.col(text))).alias("idx", "_s"))
-    d = d.withColumn("_w", F.filter(words(F.col("_s")), lambda w: ~w.isin(STOPWORDS)))
-    x = d.select(id_, "idx", "_s", F.posexplode("_w").alias("_i", "_w"))
-    x = x.select(id_, "idx", F.when(F.col("_i") == 0, F.col("_s")).alias("sentence"), "_w").repartition(id_)
-    x = x.withColumn("_tf", F.count("*").over(W.partitionBy(id_, "_w")))
-    g = x.groupBy(id_, "idx").agg(F.max("sentence").alias("sentence"), F.round(F.sum("_tf") / F.sqrt(F.count("*")), 6).alias("score"))
-    return g.withColumn("n_tokens", n_tokens(F.col("sentence")))
+COUNTED = "array<struct<idx:int, total:bigint, n:int>>"
 
 
-def extract(rows: DataFrame, ratio: float, id_: str = "id", text: str = "content") -> DataFrame:
-    """(id, target, picked): sentences in document order, taken greedily by score until the target is reached.
+def _counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Of each text's sentences, as words parted by blanks: for those with any, the sum of the words' counts in all, and their number.
 
-    A sentence that would pass the target is skipped once something is taken; the walk ends at the target.
+    Column functions can only count by sorting and comparing neighbours in lambdas, which took five times as long.
     """
-    g = scored(rows, id_, text).groupBy(id_).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "idx", "sentence", "n_tokens"))).alias("s"))
-    g = rows.select(id_, F.greatest(F.floor(n_tokens(F.col(text)) * ratio), F.lit(32)).cast("long").alias("target")).join(g, id_)
-    state = "aggregate(s, struct(0L as run, cast(array() as array<struct<idx:int,sentence:string>>) as kept), (a, x) -> if(a.run >= target or (size(a.kept) > 0 and a.run + x.n_tokens > target), a, struct(a.run + x.n_tokens as run, concat(a.kept, array(struct(x.idx as idx, x.sentence as sentence))) as kept)), a -> array_sort(a.kept))"
-    return g.select(id_, "target", F.expr(state).alias("p")).select(id_, "target", F.expr("transform(p, x -> x.idx)").alias("picked"), F.expr("array_join(transform(p, x -> x.sentence), ' ')").alias("text"))
-
-
-def compress(rows: DataFrame, ratio: float = 0.5, id_: str = "id", text: str = "content") -> DataFrame:
-    """(id, text, sha256, original, compressed, ratio): marked texts pass as they are; empty ones become the mark alone."""
-    d = rows.select(id_, F.coalesce(text, F.lit("")).alias("_raw")).withColumn("_is", F.startswith("_raw", F.lit(MARK))).withColumn("content", normalize(F.col("_raw")))
-    e = extract(d.where("not _is"), ratio, id_, "content").select(id_, F.col("text").alias("_t"))
-    out = F.when(F.col("_is"), F.col("_raw")).when(F.col("content") == "", MARK + "\n").otherwise(F.concat(F.lit(MARK + "\n"), F.coalesce("_t", F.lit("")), F.lit("\n")))
-    j = d.join(e, id_, "left").withColumn("text", out)
+    kind = pa.list_(pa.struct([("idx", pa.int32()), ("total", pa.int64()), ("n", pa.int32())]))
+    for texts in batches:
+        out = []
+        for sentences_ in texts.to_pylist():
+            lists = [s.split() for s in sentences_ or ()]
+            count = Counter(chain.from_iterable(lists))
+            out.append([{"idx": i, "total": sum(map(count.__getitem__, ws)), "n": len(ws)} for i, ws in enumerate(lists) if ws])
+        yield pa.array(out, kind)
+
+
+def sentence_scores(sentences_: Column) -> Column:
+    """(idx, score) of the sentences that hold a word with a topic; the score is the sum of the words' counts in all
+    sentences over the root of their number. It falls within a row: nothing is shuffled."""
+    topics = F.transform(sentences_, lambda s: F.array_join(F.filter(words(s), lambda w: ~w.isin(STOPWORDS)), " "))
+    return F.transform(F.arrow_udf(_counted, COUNTED)(topics), lambda x: F.struct(x["idx"].alias("idx"), F.round(x["total"] / F.sqrt(x["n"]), 6).alias("score")))
+
+
+def with_scores(rows: DataFrame, text: str = "content") -> DataFrame:
+    """rows with _s (sentences) and _sc (their scores)."""
+    d = rows.withColumn("_s", F.coalesce(sentences(F.col(text)), F.array().cast("array<string>")))
+    return d.withColumn("_sc", sentence_scores(F.col("_s")))
+
+
+def scored(rows: DataFrame, id_: str = "id", text: str = "content") -> DataFrame:
+    """(id, idx, sentence, score, n_tokens), a row for each sentence that holds a word with a topic."""
+    # explode_outer: explode would have the scores made once more below it, to leave out rows that have none
+    each = F.transform("_sc", lambda x: F.struct(x["idx"].alias("idx"), F.get("_s", x["idx"]).alias("sentence"), x["score"].alias("score")))
+    d = with_scores(rows.select(id_, text), text).select(id_, F.explode_outer(each).alias("x")).where("x is not null")
+    return d.select(id_, "x.*").withColumn("n_tokens", n_tokens(F.col("sentence")))
+
+
+def with_extract(rows: DataFrame, target: Column, text: str) -> DataFrame:
+    """rows with _picked: the sentences, by number, taken greedily by score until the target is reached, in document
+    order, and _picks, their texts. A sentence that would pass the target is skipped once something is taken."""
+    d = with_scores(rows.withColumn("_target", target), text)
+    items = F.sort_array(F.transform("_sc", lambda x: F.struct((-x["score"]).alias("o"), x["idx"].alias("idx"), n_tokens(F.get("_s", x["idx"])).alias("n"))))
+    state = F.aggregate(
+        items, F.expr("struct(0L as run, cast(array() as array<int>) as kept)"),
+        lambda a, x: F.when((a["run"] >= F.col("_target")) | ((a["run"] > 0) & (a["run"] + x["n"] > F.col("_target"))), a).otherwise(F.struct((a["run"] + x["n"]).alias("run"), F.concat(a["kept"], F.array(x["idx"])).alias("kept"))),
+        lambda a: F.array_sort(a["kept"]))
+    return d.withColumn("_picked", state).withColumn("_picks", F.transform("_picked", lambda i: F.get("_s", i))).drop("_s", "_sc")
+
+
+def target_tokens(text: Column, ratio: float) -> Column:
+    return F.greatest(F.floor(n_tokens(text) * ratio), F.lit(32)).cast("long")
+
+
+def extract(rows: DataFrame, ratio: float, id_: str = "id", text: str = "content") -> DataFrame:
+    """(id, target, picked, text) of rows with any sentence to pick."""
+    d = with_extract(rows.select(id_, text), target_tokens(F.col(text), ratio), text)
+    d = d.select(id_, F.col("_target").alias("target"), F.col("_picked").alias("picked"), F.array_join("_picks", "\n").alias("text"))
+    # the number keeps the condition above what it looks at, which would be made twice otherwise
+    return d.withColumn("_n", F.monotonically_increasing_id()).where((F.size("picked") > 0) & (F.col("_n") >= 0)).drop("_n")
+
+
+def compress(rows: DataFrame, ratio: float = 0.5, id_: str = "id", text: str = "content", kind: str = "generic", brief: bool = False) -> DataFrame:
+    """(id, text, sha256, original, compressed, ratio): marked texts pass as they are; empty ones become the mark alone.
+    The sentences chosen are a line each. Everything falls within a row."""
+    d = rows.select(id_, F.coalesce(text, F.lit("")).alias("_raw")).withColumn("_is", F.startswith("_raw", F.lit(MARK)))
+    d = d.withColumn("_c", F.when(~F.col("_is"), KINDS[kind](normalize(F.col("_raw")))))
+    d = with_extract(d, target_tokens(F.col("_raw"), ratio), "_c")
+    body = unlines(F.coalesce("_picks", F.array().cast("array<string>")))
+    out = F.when(F.col("_is"), F.col("_raw")).when(n_tokens(F.col("_raw")) == 0, MARK + "\n").otherwise(F.concat(F.lit(MARK + "\n"), brevity(body) if brief else body))
     n, m = n_tokens(F.col("_raw")), n_tokens(F.col("text"))
-    return j.select(id_, "text", F.sha2(F.col("_raw").cast("binary"), 256).alias("sha256"), n.alias("original"), m.alias("compressed"), F.when(n > 0, F.round(m / n, 6)).otherwise(1.0).alias("ratio"))
+    return d.withColumn("text", out).select(id_, "text", F.sha2(F.col("_raw").cast("binary"), 256).alias("sha256"), n.alias("original"), m.alias("compressed"), F.when(n > 0, F.round(m / n, 6)).otherwise(1.0).alias("ratio"))
+
+
+def gated(messages: DataFrame, text: str = "content", least: int = 2000, ratio: float = 0.5) -> DataFrame:
+    """messages with stored: the text itself, or, from `least` tokens on, its compressed form, and whether it was. Texts marked already pass."""
+    big = (n_tokens(F.col(text)) >= least) & ~F.startswith(F.coalesce(text, F.lit("")), F.lit(MARK))
+    names = messages.columns
+    d = messages.withColumn("_c", F.when(big, KINDS["session_message"](normalize(F.col(text)))))
+    d = with_extract(d, target_tokens(F.col(text), ratio), "_c")
+    return d.select(*names, F.when(big, F.concat(F.lit(MARK + "\n"), unlines(F.coalesce("_picks", F.array().cast("array<string>"))))).otherwise(F.col(text)).alias("stored"), big.alias("was_compressed"))
+
+
+def sweep(stored: DataFrame, text: str = "content") -> DataFrame:
+    """What a later sweep still has to compress: rows over the gate that aren't marked, with their new text."""
+    return gated(stored, text).where("was_compressed")
 
 
 # ---- queries -------------------------------------------------------------------------------------
@@ -170,6 +273,12 @@ def _g11(s: SparkSession, d: str) -> DataFrame:
     return extract(_docs(s, d), 0.3).select("id", "target", F.array_join(F.transform("picked", lambda i: i.cast("string")), ",").alias("picked"))
 
 
+def _raw_docs(s: SparkSession, d: str) -> DataFrame:
+    """Documents with a progress bar, a line written over, a call's envelope and a long blob at their ends."""
+    more = F.concat(F.lit("\n[#####>   ] 42%\nold\rnew "), F.col("id"), F.lit('\nsame\nsame\n  {"type":"tool_use","x":1}\nblob '), F.repeat(F.lit("Ab0+"), (F.col("id").cast("int") % 40).cast("int")), F.lit(" end\n"))
+    return _docs(s, d).select("id", F.concat(F.coalesce("content", F.lit("")), more).alias("content"))
+
+
 def _d14(s: SparkSession, d: str) -> DataFrame:
     w = _docs(s, d).select("id", F.explode(words(F.col("content"))).alias("w")).groupBy("id", "w").agg(F.count("*").alias("tf"))
     return w.groupBy("w").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
@@ -180,7 +289,10 @@ QUERIES = {
     "g6_comments": lambda s, d: domain.read(s, d, "pages").select("page_id", F.sha2(strip_comments(F.col("html")).cast("binary"), 256).alias("sha")),
     "g7_sentences": lambda s, d: _docs(s, d).select("id", F.posexplode(sentences(F.col("content"))).alias("idx", "sentence")),
     "g10_scores": lambda s, d: scored(_docs(s, d)).select("id", "idx", "score"),
-    "g11_greedy": _g11, "g12_compress": lambda s, d: compress(_docs(s, d)).select("id", "sha256", "original", "compressed", "ratio"),
+    "g4_tool_output": lambda s, d: _raw_docs(s, d).select("id", F.sha2(KINDS["tool_output"](F.col("content")).cast("binary"), 256).alias("sha")),
+    "g5_session_message": lambda s, d: _raw_docs(s, d).select("id", F.sha2(KINDS["session_message"](F.col("content")).cast("binary"), 256).alias("sha")),
+    "g17_gate": lambda s, d: gated(_docs(s, d), least=300).select("id", "was_compressed", F.sha2(F.coalesce("stored", F.lit("")).cast("binary"), 256).alias("sha")),
+    "g11_greedy": _g11, "g12_compress": lambda s, d: compress(_docs(s, d)).select("id", "sha256", "original", "compressed", "ratio", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha")),
     "g13_brevity": lambda s, d: _docs(s, d).select("id", F.sha2(brevity(F.col("content")).cast("binary"), 256).alias("sha")),
     "g18_sha256": lambda s, d: _docs(s, d).select("id", F.sha2(F.col("content").cast("binary"), 256).alias("sha")),
     "d14_terms": _d14,
@@ -196,18 +308,42 @@ _NT = r"len(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]')):
 _SC = rf"""s AS (SELECT id, i - 1 AS idx, s[i] AS sentence FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, {_SENT} AS s FROM d))),
 w AS (SELECT id, idx, unnest(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}_]+')) AS w FROM s), k AS (SELECT * FROM w WHERE NOT list_contains({_STOP}, w)), tf AS (SELECT id, w, count(*) AS tf FROM k GROUP BY ALL),
 sc AS (SELECT id, idx::INT AS idx, round(sum(tf)::BIGINT / sqrt(count(*)), 6) AS score FROM k JOIN tf USING (id, w) GROUP BY id, idx)"""
+_RAW = "WITH d AS (SELECT doc_id::VARCHAR AS id, coalesce(text, '') || chr(10) || '[#####>   ] 42%' || chr(10) || 'old' || chr(13) || 'new ' || doc_id || chr(10) || 'same' || chr(10) || 'same' || chr(10) || '  {\"type\":\"tool_use\",\"x\":1}' || chr(10) || 'blob ' || repeat('Ab0+', doc_id % 40) || ' end' || chr(10) AS content FROM documents)"
+_FILL = "[" + ", ".join(f"'{w}'" for w in FILLERS) + "]"
+_NORM = r"(SELECT CASE WHEN t = '' THEN t ELSE t || chr(10) END FROM (SELECT regexp_replace(regexp_replace(regexp_replace({c}, '[ \t]+', ' ', 'g'), ' +(\n|\z)', '\1', 'g'), '\s+\z', '') AS t))"
+
+
+def _greedy(content: str, ratio: float) -> str:
+    """The choice of sentences one after the other, as a recursion; best has (id, target, picked, picks)."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS id, {content} AS content, text AS raw FROM documents), {_SC},
+t AS (SELECT id, greatest(floor({_NT.format(c="coalesce(raw, '')")} * {ratio}), 32)::BIGINT AS target FROM d),
+o AS (SELECT sc.id, sc.idx, {_NT.format(c="sentence")} AS n, row_number() OVER (PARTITION BY sc.id ORDER BY score DESC, sc.idx) AS r FROM sc JOIN s ON s.id = sc.id AND s.idx = sc.idx),
+f AS (SELECT t.id, target, 0::BIGINT AS r, 0::BIGINT AS run, []::INT[] AS kept FROM t WHERE id IN (SELECT id FROM o)
+UNION ALL SELECT f.id, target, o.r, CASE WHEN run >= target OR (run > 0 AND run + o.n > target) THEN run ELSE run + o.n END, CASE WHEN run >= target OR (run > 0 AND run + o.n > target) THEN kept ELSE list_append(kept, o.idx) END FROM f JOIN o ON o.id = f.id AND o.r = f.r + 1),
+b AS (SELECT id, any_value(target) AS target, list_sort(arg_max(kept, r)) AS kept FROM f GROUP BY id),
+best AS (SELECT b.id, any_value(target) AS target, array_to_string(any_value(kept), ',') AS picked, string_agg(sentence || chr(10), '' ORDER BY idx) AS picks FROM b JOIN s ON s.id = b.id AND list_contains(b.kept, s.idx::INT) GROUP BY b.id)"""
+
+
 _hq = lambda r: f"{_D}, {_LN} SELECT id, len(l)::INT AS before, len(r)::INT AS after, sha256(array_to_string(r, chr(10))) AS sha FROM (SELECT id, l, {r} AS r FROM l)"
 ORACLES = {
     "g3_normalize": rf"{_D} SELECT id, sha256(CASE WHEN t = '' THEN t ELSE t || chr(10) END) AS sha FROM (SELECT id, regexp_replace(regexp_replace(regexp_replace(coalesce(content, ''), '[ \t]+', ' ', 'g'), ' +(\n|\z)', '\1', 'g'), '\s+\z', '') AS t FROM d)",
-    "g6_comments": r"SELECT page_id, sha256(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '\n{3,}', chr(10) || chr(10), 'g')) AS sha FROM pages",
+    "g4_tool_output": rf"""{_RAW}, l AS (SELECT id, string_split(regexp_replace(replace(regexp_replace(content, '\x1b\[[0-9;?]*[a-zA-Z]', '', 'g'), chr(13) || chr(10), chr(10)), '\n\z', ''), chr(10)) AS l FROM d),
+x AS (SELECT id, i, string_split(l[i], chr(13)) AS p FROM (SELECT id, l, unnest(range(1, len(l) + 1)) AS i FROM l)), y AS (SELECT id, i, p[len(p)] AS t FROM x WHERE NOT regexp_full_match(p[len(p)], '[\s#=>\-_.\d%/|]*') OR (len(p) = 1 AND trim(p[1]) = '')),
+g AS (SELECT *, sum(b) OVER (PARTITION BY id ORDER BY i) AS g FROM (SELECT *, CASE WHEN t IS DISTINCT FROM lag(t) OVER (PARTITION BY id ORDER BY i) THEN 1 ELSE 0 END AS b FROM y)), r AS (SELECT id, g, any_value(t) AS t, count(*) AS n FROM g GROUP BY id, g)
+SELECT id, sha256(string_agg(t || CASE WHEN n > 1 THEN chr(10) || '  + ' || (n - 1) || ' more identical lines' ELSE '' END, chr(10) ORDER BY g) || chr(10)) AS sha FROM r GROUP BY id""",
+    "g5_session_message": rf"""{_RAW}, l AS (SELECT id, list_filter(string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\n\z', ''), chr(10)), lambda x: NOT regexp_matches(x, '^\s*\{{"type":"tool_(use|result)"')) AS l FROM d)
+SELECT id, sha256(regexp_replace(array_to_string(l, chr(10)) || chr(10), 'Ab0\+(Ab0\+){{19,}}', left(repeat('Ab0+', 8), 32) || '…[' || (4 * (id::INT % 40)) || 'B]…' || repeat('Ab0+', 8))) AS sha FROM l""",
+    "g6_comments": r"""WITH l AS (SELECT page_id, CASE WHEN t = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '\n\z', ''), chr(10)) END AS l FROM (SELECT page_id, regexp_replace(html, '<!--.*?-->', '', 'gs') AS t FROM pages)),
+x AS (SELECT page_id, i, CASE WHEN regexp_full_match(l[i], '\s*') THEN '' ELSE l[i] END AS x FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM l)), k AS (SELECT *, lag(x) OVER (PARTITION BY page_id ORDER BY i) AS was FROM x)
+SELECT page_id, sha256(coalesce(string_agg(x || chr(10), '' ORDER BY i), '')) AS sha FROM pages LEFT JOIN (SELECT * FROM k WHERE NOT (x = '' AND was IS NOT NULL AND was = '')) USING (page_id) GROUP BY page_id""",
     "g7_sentences": f"{_D} SELECT id, (i - 1)::INT AS idx, s[i] AS sentence FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, {_SENT} AS s FROM d))",
     "g10_scores": f"{_D}, {_SC} SELECT * FROM sc",
-    "g11_greedy": f"""WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS id, text AS content FROM documents), {_SC},
-t AS (SELECT id, greatest(floor({_NT.format(c="coalesce(content, '')")} * 0.3), 32)::BIGINT AS target FROM d),
-o AS (SELECT sc.id, sc.idx, {_NT.format(c="sentence")} AS n, row_number() OVER (PARTITION BY sc.id ORDER BY score DESC, sc.idx) AS r FROM sc JOIN s ON s.id = sc.id AND s.idx = sc.idx),
-f AS (SELECT t.id, target, 0::BIGINT AS r, 0::BIGINT AS run, []::INT[] AS kept FROM t WHERE id IN (SELECT id FROM o)
-UNION ALL SELECT f.id, target, o.r, CASE WHEN run >= target OR (len(kept) > 0 AND run + o.n > target) THEN run ELSE run + o.n END, CASE WHEN run >= target OR (len(kept) > 0 AND run + o.n > target) THEN kept ELSE list_append(kept, o.idx) END FROM f JOIN o ON o.id = f.id AND o.r = f.r + 1)
-SELECT id, any_value(target) AS target, array_to_string(list_sort(arg_max(kept, r)), ',') AS picked FROM f GROUP BY id""",
+    "g11_greedy": f"{_greedy('text', 0.3)} SELECT id, target, picked FROM best",
+    "g12_compress": f"""{_greedy(_NORM.format(c="coalesce(text, '')"), 0.5)}, e AS (SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS raw FROM documents),
+j AS (SELECT e.id, raw, CASE WHEN {_NT.format(c="raw")} = 0 THEN '{MARK}' || chr(10) ELSE '{MARK}' || chr(10) || coalesce(picks, '') END AS t FROM e LEFT JOIN best USING (id))
+SELECT id, sha256(raw) AS sha256, {_NT.format(c="raw")} AS original, {_NT.format(c="t")} AS compressed, CASE WHEN {_NT.format(c="raw")} > 0 THEN round({_NT.format(c="t")} / {_NT.format(c="raw")}, 6) ELSE 1.0 END AS ratio, sha256(t) AS text_sha FROM j""",
+    "g13_brevity": rf"""{_D}, {_LN.split(", l AS")[0]} SELECT id, sha256(CASE WHEN len(l) = 0 THEN '' ELSE array_to_string(list_transform(l, lambda x: regexp_replace(array_to_string(list_filter(regexp_extract_all(x, '[\p{{L}}\p{{N}}_-]+|[^\s]'), lambda t: NOT list_contains({_FILL}, lower(t))), ' '), ' ([!-/:-@\[-`{{-~])', '\1', 'g')), chr(10)) || chr(10) END) AS sha FROM l0""",
+    "g17_gate": f"""{_greedy(_NORM.format(c="coalesce(text, '')"), 0.5)} SELECT e.id, {_NT.format(c="raw")} >= 300 AS was_compressed, sha256(CASE WHEN {_NT.format(c="raw")} >= 300 THEN '{MARK}' || chr(10) || coalesce(picks, '') ELSE raw END) AS sha FROM (SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS raw FROM documents) e LEFT JOIN best USING (id)""",
     "g18_sha256": f"{_D} SELECT id, sha256(content) AS sha FROM d",
     "d14_terms": rf"{_D} SELECT w, count(*)::BIGINT AS df, sum(tf)::BIGINT AS n FROM (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+')) AS w FROM d) GROUP BY ALL) GROUP BY w",
     "h1_ansi": f"{_D} SELECT id, length(content)::INT AS n FROM d",
