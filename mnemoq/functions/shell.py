@@ -18,8 +18,7 @@ from mnemoq.sources import domain
 
 WRAPPER = "mnemoq run --"
 # fixed values: commands that only show what a pipe brings them
-SINKS = ("head", "tail", "less", "more", "cat", "wc")
-_KNOWN = {c for c, *_ in DISPATCH}
+SINKS = ("head", "tail", "less", "cat", "more", "bat")
 _ENV = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*=")
 
 
@@ -50,33 +49,51 @@ def has_meta(command: str) -> bool:
     return bare is None or len(bare) > 1 or "$(" in re.sub(r"'[^']*'", "", command)
 
 
-def words_of(command: str) -> list[str]:
-    """The words of a simple command without leading assignments; empty if it can't be read."""
+def _argv(segment: str) -> tuple[list[str], list[str]] | None:
+    """(assignments, words) of a simple command; None where it can't be read, runs elsewhere, or an assignment holds blanks."""
     try:
-        w = shlex.split(command)
+        words = shlex.split(segment)
     except ValueError:
-        return []
-    while w and _ENV.match(w[0]):
-        w.pop(0)
-    return w
+        return None
+    if not words or words[0] in ("sudo", "env"):
+        return None
+    prefix = []
+    while words and _ENV.match(words[0]):
+        if re.search(r"\s", words[0]):
+            return None
+        prefix.append(words.pop(0))
+    if words and words[0].startswith(("/", "./")):
+        words[0] = words[0].rpartition("/")[2] or words[0]
+    return (prefix, words) if words else None
+
+
+def filter_of(words: list[str]) -> str:
+    """The filter of a command's words, as ``commands.pick`` has it; options before git's subcommand are passed over."""
+    rest = words[1:]
+    while words[0] == "git" and rest and rest[0].startswith("-"):
+        rest = rest[2 if rest[0] in ("-C", "-c") else 1 :]
+    first, second = [*rest, "", ""][:2]
+    return next((name for c, a, b, name in DISPATCH if c == words[0] and a in ("", first) and b in ("", second)), "generic")
 
 
 def rewrite(command: str | None) -> str | None:
     """The command wrapped so that its output is filtered; None where it is left alone.
 
-    A simple known command is wrapped. Of a pipeline only the first part may be, and only if all others just show.
+    A simple command is wrapped where it has a filter of its own, its assignments before the wrapper. Of a pipeline
+    only the first part is, and only if all others just show what comes: what counts or searches must see the raw output.
     """
-    if not command or "<<" in command or command.startswith(WRAPPER):
+    if not command or "<<" in command or command.startswith("mnemoq ") or f" {WRAPPER} " in command:
         return None
     pipe = parts_of(command, "|")
     if pipe is None or any(has_meta(p) for p in pipe):
         return None
-    heads = [words_of(p) for p in pipe]
-    if any(not h for h in heads) or heads[0][0].rpartition("/")[2] not in _KNOWN:
+    read = [_argv(p) for p in pipe]
+    if any(r is None for r in read) or any(w[0] not in SINKS for _, w in read[1:]):
         return None
-    if any(h[0] not in SINKS for h in heads[1:]):
+    prefix, words = read[0]
+    if filter_of(words) == "generic":
         return None
-    return " | ".join([f"{WRAPPER} {pipe[0].strip()}", *[p.strip() for p in pipe[1:]]])
+    return " | ".join([" ".join([*prefix, WRAPPER, *map(shlex.quote, words)]), *[p.strip() for p in pipe[1:]]])
 
 
 def rewritten(command: Column) -> Column:
@@ -105,8 +122,8 @@ def hook_reply(decision: Column, reason: Column) -> Column:
 
 
 def _commands(s: SparkSession, d: str) -> DataFrame:
-    tools = F.array(*[F.lit(x) for x in ("git log", "FOO=1 cargo test", "ls -la | head", "cat x > y", "echo 'a | b'", "rg 'x|y' src | wc", "make && ls", "unknown")])
-    return domain.read(s, d, "part").select("p_partkey", F.concat(F.element_at(tools, (F.col("p_partkey") % 8).cast("int") + 1), F.lit(" "), F.regexp_replace("p_name", " ", "_")).alias("command"))
+    tools = F.array(*[F.lit(x) for x in ('git log', 'FOO=1 cargo test', 'ls -la | head', 'cat x > y', "echo 'a | b'", "rg 'x|y' src | wc", 'make && ls', 'unknown', "rg 'x|y' src | bat", 'git rebase', 'git -C /tmp status', '/usr/bin/grep -n', 'sudo git log', "A='b c' git log", 'cargo build || ls', 'gh pr list', 'gh pr merge', 'npm run')])
+    return domain.read(s, d, "part").select("p_partkey", F.concat(F.element_at(tools, (F.col("p_partkey") % 18).cast("int") + 1), F.lit(" "), F.regexp_replace("p_name", " ", "_")).alias("command"))
 
 
 QUERIES = {
@@ -116,7 +133,7 @@ QUERIES = {
 }
 _N = "list_max(list_filter(range(0, least(length(text), 98) + 1), lambda k: strlen(left(text, k)) <= 98))"
 ORACLES = {
-    "i1_rewrite": f"WITH c AS (SELECT p_partkey, p_partkey % 8 AS m, (['git log', 'FOO=1 cargo test', 'ls -la | head', 'cat x > y', 'echo ''a | b''', 'rg ''x|y'' src | wc', 'make && ls', 'unknown'])[p_partkey % 8 + 1] || ' ' || replace(p_name, ' ', '_') AS command FROM part) SELECT p_partkey, CASE WHEN m IN (0, 1, 2, 5) THEN '{WRAPPER} ' || command END AS rewritten FROM c",
+    "i1_rewrite": f"SELECT p_partkey, CASE p_partkey % 18 WHEN 0 THEN '{WRAPPER} git log ' || n WHEN 1 THEN 'FOO=1 {WRAPPER} cargo test ' || n WHEN 2 THEN '{WRAPPER} ls -la | head ' || n WHEN 8 THEN '{WRAPPER} rg ''x|y'' src | bat ' || n WHEN 10 THEN '{WRAPPER} git -C /tmp status ' || n WHEN 11 THEN '{WRAPPER} grep -n ' || n WHEN 15 THEN '{WRAPPER} gh pr list ' || n END AS rewritten FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS n FROM part)",
     "i8_hook_reply": """SELECT r_regionkey, '{"hookSpecificOutput":{"hookEventName":"PreToolUse","permissionDecision":"deny","permissionDecisionReason":"' || r_name || '"}}' AS reply FROM region""",
     "i9_truncate": f"SELECT doc_id::VARCHAR AS id, CASE WHEN strlen(text) <= 101 THEN strlen(text) ELSE strlen(left(text, {_N})) + 3 END::INT AS bytes, CASE WHEN strlen(text) <= 101 THEN length(text) ELSE {_N} + 1 END::INT AS chars FROM documents",
 }

@@ -35,12 +35,13 @@ def flatten(content: Column) -> Column:
 def parse(lines: DataFrame) -> DataFrame:
     """(id, session_id, cwd, role, content, ts) of (file, line_no, start, value), of either shape; the file's first line tells which."""
     e = lines.withColumn("e", F.from_json("value", EVENT)).where("e is not null")
-    one = e.where((F.col("e.type").isin("user", "assistant")) & F.col("e.sessionId").isNotNull() & ~F.coalesce("e.isSidechain", F.lit(False))).select(
-        F.col("e.uuid").alias("id"), F.col("e.sessionId").alias("session_id"), F.col("e.cwd").alias("cwd"), F.coalesce("e.message.role", "e.type").alias("role"), flatten(F.col("e.message.content")).alias("content"), F.col("e.timestamp").alias("ts"), "file", "line_no")
-    heads = e.where("e.type = 'session_meta'").groupBy("file").agg(F.min_by(F.struct("e.payload.id", "e.payload.cwd"), "line_no").alias("h"))
-    two = e.where("e.type = 'response_item' and e.payload.type = 'message'").join(heads, "file").select(
+    heads = e.groupBy("file").agg(F.min_by(F.struct("e.type", "e.payload.id", "e.payload.cwd"), "line_no").alias("h"))
+    e = e.join(heads, "file")
+    one = e.where((F.col("h.type").isNull() | (F.col("h.type") != "session_meta")) & (F.col("e.type").isin("user", "assistant")) & F.col("e.sessionId").isNotNull() & ~F.coalesce("e.isSidechain", F.lit(False))).select(
+        F.coalesce("e.uuid", F.concat("file", F.lit("#"), F.col("start").cast("string"))).alias("id"), F.col("e.sessionId").alias("session_id"), F.col("e.cwd").alias("cwd"), F.coalesce("e.message.role", "e.type").alias("role"), flatten(F.col("e.message.content")).alias("content"), F.col("e.timestamp").alias("ts"), "file", "line_no")
+    two = e.where("h.type = 'session_meta' and e.type = 'response_item' and e.payload.type = 'message' and e.payload.role in ('user', 'assistant')").select(
         F.concat(F.lit("codex-"), "h.id", F.lit("-"), F.col("start").cast("string")).alias("id"), F.col("h.id").alias("session_id"), F.col("h.cwd").alias("cwd"), F.col("e.payload.role").alias("role"), flatten(F.col("e.payload.content")).alias("content"), F.col("e.timestamp").alias("ts"), "file", "line_no")
-    return one.unionByName(two).where("content <> '' and id is not null")
+    return one.unionByName(two).where("content <> ''")
 
 
 def sessions(messages: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def new_rows(found: DataFrame, stored: DataFrame) -> DataFrame:
 def resume(now: DataFrame, log: DataFrame) -> DataFrame:
     """(path, start): where to read on; from the start for new, replaced or shortened files, null where nothing is new."""
     j = now.join(log.withColumnsRenamed({"inode": "_inode", "size": "_size", "offset": "_offset"}), "path", "left")
-    again = F.col("_offset").isNull() | (F.col("inode") != F.col("_inode")) | (F.col("size") < F.col("_offset"))
+    again = F.col("_offset").isNull() | (F.col("inode") != F.col("_inode")) | (F.col("size") < F.col("_offset")) | (F.col("size") < F.col("_size"))
     return j.select("path", F.when(again, 0).when(F.col("size") > F.col("_offset"), F.col("_offset")).cast("long").alias("start"))
 
 
@@ -90,7 +91,7 @@ def _json(s: SparkSession, d: str) -> DataFrame:
 def _log(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = domain.read(s, d, "customer")
     now = c.selectExpr("concat('/t/', c_custkey) as path", "c_nationkey as inode", "cast(c_custkey * 10 as bigint) as size")
-    log = c.where("c_custkey % 3 <> 0").selectExpr("concat('/t/', c_custkey) as path", "if(c_custkey % 5 = 0, -1, c_nationkey) as inode", "cast(c_custkey * 10 as bigint) as size", "cast(c_custkey * (9 + c_custkey % 3) as bigint) as offset")
+    log = c.where("c_custkey % 3 <> 0").selectExpr("concat('/t/', c_custkey) as path", "if(c_custkey % 5 = 0, -1, c_nationkey) as inode", "cast(c_custkey * if(c_custkey % 7 = 0, 11, 10) as bigint) as size", "cast(c_custkey * (9 + c_custkey % 3) as bigint) as offset")
     return now, log
 
 
@@ -111,7 +112,7 @@ _part = lambda view, title, text, o, w: f"SELECT project, {o} AS o, '## {title}'
 ORACLES = {
     "a7_parse_json": "SELECT conv_id || '-' || turn AS id, conv_id::VARCHAR AS session_id, role, sha256(CASE WHEN turn % 2 = 1 THEN text || chr(10) || '[thinking] so' ELSE text END) AS sha FROM conversations WHERE role IN ('user', 'assistant') AND (conv_id + turn) % 5 <> 0 AND (turn % 2 = 1 OR text <> '')",
     "a8_byte_offsets": "SELECT doc_id, i::INT AS line_no, (sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n)::BIGINT AS start FROM (SELECT doc_id, i - 1 AS i, strlen(l[i]) + 1 AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))",
-    "a10_resume": "SELECT '/t/' || c_custkey AS path, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey * 10 < c_custkey * (9 + c_custkey % 3) THEN 0 WHEN c_custkey * 10 > c_custkey * (9 + c_custkey % 3) THEN c_custkey * (9 + c_custkey % 3) END::BIGINT AS start FROM customer",
+    "a10_resume": "SELECT '/t/' || c_custkey AS path, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey * 10 < c_custkey * (9 + c_custkey % 3) THEN 0 WHEN c_custkey * 10 > c_custkey * (9 + c_custkey % 3) THEN c_custkey * (9 + c_custkey % 3) END::BIGINT AS start FROM customer",
     "a12_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1",
     "a13_first_session": "SELECT user_id, arg_min(event_type, event_id) AS event_type, arg_min(value, event_id) AS value FROM events GROUP BY 1",
     "b12_brief": f"""{domain.duck('bugs', 'context_items')}, p AS ({_part('bugs', 'Do not repeat', 'summary', 0, 'id % 4 = 0')} UNION ALL {_part('bugs', 'Open bugs', 'summary', 1, 'NOT resolved')} UNION ALL {_part('context_items', 'Decisions', 'left(content, 40)', 2, "kind = 'decision'")})
