@@ -2,6 +2,10 @@
 read again before the next one runs, so a lost executor costs a stage at most.
 
 Every stage but the last returns the columns of documents and works on all rows it is given.
+
+Defined cases, as in the operators: null and empty texts fail the rules and go; very long texts are whole; rows
+that are repeated are near copies, so that one doc_id's rows stay or go together; an empty table gives no rows;
+extra columns pass all stages but the last, but for names with the operators' prefixes (_q_, _ld_, _dc_, _nd_).
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: hashed likelihood ratios and tokenizer ids are beyond SQL; tests hold run() against a brute-force version
+#: hashed likelihood ratios and tokenizer ids are beyond SQL; tests hold each stage's operator against brute force, and run() against its stages' documents
 ORACLE_SQL = None
 
 
