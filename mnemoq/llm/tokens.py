@@ -36,19 +36,31 @@ class Parts(dict):
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise NotAlone
-        at = len(word)
-        while at and not word[at - 1].isalnum():
-            at -= 1
-        if 0 < at < len(word) and word[at - 1].isalpha() and not any(map(str.isspace, word[at:])):
-            ids = self[word[:at]] + self.owner.piece(word[at:])  # marks after a letter are a piece of their own
-        elif word.isalpha():
+        if word.isalpha():
             ids = self.owner.piece(self.before + word)
         else:
-            ids = self.owner.plain(self.before + word)
+            at = len(word)
+            while at and not word[at - 1].isalnum():
+                at -= 1
+            if 0 < at < len(word) and word[at - 1].isalpha() and not any(map(str.isspace, word[at:])):
+                ids = self[word[:at]] + self.owner.marks[word[at:]]  # marks after a letter are a piece of their own
+            else:
+                ids = self.owner.plain(self.before + word)
         self[word] = ids
         return ids
 
 
+class Marks(dict):
+    """From marks that follow a letter to their ids."""
+
+    def __init__(self, owner: Encoder):
+        self.owner = owner
+
+    def __missing__(self, marks: str) -> bytes:
+        ids = self[marks] = self.owner.piece(marks)
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str, keep: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
@@ -65,21 +77,28 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.keep = keep
-        self.after_space, self.first = Parts(self, " "), Parts(self, "")
+        self.after_space, self.first, self.marks = Parts(self, " "), Parts(self, ""), Marks(self)
         # byte-level models spell bytes that don't print as characters from 256 on, in the bytes' order
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.spelling = {b: 256 + i for i, b in enumerate(hidden)}
+        self.space = chr(self.spelling[ord(" ")])
         self.line_break = self.plain("\n")
 
     def piece(self, text: str) -> bytes:
         """The ids of a text that the split leaves whole, from the library's model alone: the split is the slower part."""
-        spelt = text.encode().decode("latin-1").translate(self.spelling)
-        return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if text.isascii() and text.isprintable():
+            spelt = text.replace(" ", self.space)
+        else:
+            spelt = text.encode().decode("latin-1").translate(self.spelling)
+        return self.packed([t.id for t in self.model.tokenize(spelt)])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def plain(self, text: str) -> bytes:
         """The library's ids of a text, as bytes."""
-        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def _by_parts(self, text: str) -> bytes:
         get, lines = self.after_space.__getitem__, []
@@ -92,9 +111,10 @@ class Encoder:
         """The ids of each text, little-endian."""
         out = []
         for t in texts:
-            if len(self.after_space) + len(self.first) > self.keep:
+            if len(self.after_space) + len(self.first) + len(self.marks) > self.keep:
                 self.after_space.clear()
                 self.first.clear()
+                self.marks.clear()
             try:
                 out.append(self.plain(t) if not self.cuts or any(s in t for s in self.special) else self._by_parts(t) if t else b"")
             except NotAlone:
