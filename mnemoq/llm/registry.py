@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, huffman_files, line_dedup, lm_score, near_dedup, packing, pii, quality, url_filter
+from . import chat, decontaminate, exact_dedup, huffman_files, line_dedup, lm_score, near_dedup, packing, periodic_runs, pii, quality, url_filter, whitening
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_pattern_packing": packing.op10_pattern_packing,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_chat_format": chat.ORACLE,
     "op9_url_filter": url_filter.ORACLE,
+    "op13_exact_dedup": exact_dedup.ORACLE,
 }
