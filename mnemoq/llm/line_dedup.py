@@ -16,11 +16,15 @@ a repeat are shuffled, for exact confirmation and for the choice of the occurren
 
 A map has BITS_A_LINE bits for each long line, so that about one once-only line in thirty is a
 suspect at every size. Where that is over 2**max_bits, the stored hashes are dealt into slices by
-prefix, and each slice goes through its own two filters of that size, one after the other.
+prefix, and each slice goes through its own two filters of that size, one after the other: its suspects are
+written down and its map is destroyed before the next one is made.
+
+"Exact" is the count, by key: keys are compared by 128 bits of MD5, not by their text.
 
 Defined cases: null or empty text is one empty line; very long texts are whole rows of lines, none is cut; short
 keys are never touched; rows of equal doc_id are one document, for the count and for the choice; a null
-doc_id is one document and never the one that keeps a line; an empty table gives no rows. Extra columns
+doc_id is one document and never the one that keeps a line; doc_id may be of any type that orders, and the largest
+is so in that order (of strings: by code points); an empty table gives no rows. Extra columns
 pass through ``dedup``, whatever their names (but for the prefix ``_ld_``); n_chars, if there, is counted anew.
 """
 
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,12 +132,13 @@ def twice_seen(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def suspects(hashes: DataFrame, bits: int, min_docs: int) -> DataFrame:
-    """(key, doc_id) of the keys whose bits are all set; of each key at most min_docs doc_ids, and the largest, a task."""
+def suspects(hashes: DataFrame, bits: int, min_docs: int) -> tuple[DataFrame, Broadcast]:
+    """(key, doc_id) of the keys whose bits are all set, of each key at most min_docs doc_ids, and the largest, a task; and
+    the map that was sent for it, to be destroyed once the rows are written."""
     sent = hashes.sparkSession.sparkContext.broadcast(twice_seen(hashes, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = sent.value, {}
+        bitmap, seen, kind = sent.value, {}, pa.null()
 
         def rows():
             keys, ids = [], []
@@ -140,11 +146,11 @@ def suspects(hashes: DataFrame, bits: int, min_docs: int) -> DataFrame:
                 keys += [k] * len(d)
                 ids += d
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc_id"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, kind)], names=["key", "doc_id"])
 
         for b in batches:
             lists, ids = b.column("keys"), b.column("doc_id")
-            flat = lists.flatten()
+            flat, kind = lists.flatten(), ids.type
             if not len(flat):
                 continue
             hit = np.flatnonzero(_has(bitmap, probes(_halves(flat), bits)))
@@ -159,15 +165,16 @@ def suspects(hashes: DataFrame, bits: int, min_docs: int) -> DataFrame:
                     had[had.index(m)] = d  # the largest so far gives way: as many are left, and the new one is largest
             if len(seen) > 200_000:
                 yield rows()
-        yield rows()
+        if seen:
+            yield rows()
 
-    return hashes.select("keys", "doc_id").mapInArrow(run, "key binary, doc_id long")
+    return hashes.select("keys", "doc_id").mapInArrow(run, T.StructType([T.StructField("key", T.BinaryType()), hashes.schema["doc_id"]])), sent
 
 
 def hashed(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, keys): the distinct keys of the documents' long lines, for documents that have any."""
     keys = F.array_distinct(F.filter(keys_of(F.col("text"), min_chars), lambda k: k.isNotNull()))
-    return fenced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), keys.alias("keys")), F.size("keys") > 0).select("doc_id", "keys")
+    return fenced(docs.select("doc_id", keys.alias("keys")), F.size("keys") > 0).select("doc_id", "keys")
 
 
 def confirmed(hashes: DataFrame, min_docs: int = MIN_DOCS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -181,10 +188,13 @@ def confirmed(hashes: DataFrame, min_docs: int = MIN_DOCS, max_bits: int = MAX_B
         by = F.expr(f"cast(conv(hex(substr(key, 13, 4)), 16, 10) as bigint) % {slices}").cast("int")  # the bits' numbers come from elsewhere
         dealt = stored(hashes.select("doc_id", F.explode("keys").alias("key")).select("doc_id", F.array("key").alias("keys"), by.alias("slice")), "line-slices", by="slice")
         parts = [dealt.where(F.col("slice") == s).select("doc_id", "keys") for s in range(slices)]
-    found = [suspects(p, min(bits, max_bits), min_docs) for p in parts]
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    out = None
+    for p in parts:
+        found, sent = suspects(p, min(bits, max_bits), min_docs)
+        if slices > 1:  # one map at a time: its suspects are written down before the next one is made
+            found = stored(found, "line-suspects")
+            sent.destroy()
+        out = found if out is None else out.union(found)
     pairs = out.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
     return pairs.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keep"), F.sum("n").alias("n")).where(F.col("docs") >= min_docs).select("key", "keep", "n")
 
@@ -201,7 +211,7 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         rest = keys.join(F.broadcast(spark.createDataFrame(hot.select(["key"]))), "key", "left_anti") if len(hot) else keys
         mine = hashes.select("doc_id", F.explode("keys").alias("key")).join(rest, "key").where(~F.col("doc_id").eqNullSafe(F.col("keep")))
         mine = mine.groupBy(F.col("doc_id").alias("_ld_doc")).agg(F.collect_set("key").alias("_ld_rare"))
-        base = base.join(mine, base["doc_id"].cast("long").eqNullSafe(mine["_ld_doc"]), "left").drop("_ld_doc")
+        base = base.join(mine, base["doc_id"].eqNullSafe(mine["_ld_doc"]), "left").drop("_ld_doc")
     else:
         base = base.withColumn("_ld_rare", F.lit(None).cast("array<binary>"))
     names = docs.columns
