@@ -2,21 +2,23 @@ r"""Chat formatting: a compiler for a sandboxed template language. A template is
 tree, constants are folded, and Python closures are generated that render the turns of a
 conversation and mark what the model is to generate.
 
-The language: text, ``{{ name }}`` (role, text, turn, with filters ``|esc`` ``|upper`` ``|trim``),
+The language: text, ``{{ name }}`` (role, text, turn, with filters ``|esc`` ``|name`` ``|upper`` ``|trim``),
 ``{% if name == "x" %} .. {% elif .. %} .. {% else %} .. {% endif %}`` and
 ``{% generation %} .. {% endgeneration %}``. There are no calls, attributes, loops or imports: a template
 can only read the fields of the turn it renders. Unknown names and unclosed blocks are errors when
 the template is compiled.
 
 ``|esc`` escapes reversibly: control strings (the marks of the template) and backslashes in texts get a
-backslash before their first character, so no text can close a turn.
+backslash before their first character, so no text can close a turn. ``|name`` is for roles, which a colon ends: it
+escapes colons, too.
 
 Spark deals the rows by conversation and sorts them by turn within the tasks; a task streams through
 its rows and holds one turn of its current conversation at a time, so a long conversation needs no
 more memory than a short one.
 
 Defined cases: null text is empty, null role is an empty string; null turns come first; turns that
-tie are ordered by role, then text; an empty table gives no rows; extra columns are ignored.
+tie are ordered by role, then text; repeated rows are turns of their own; very long texts are whole; an empty table
+gives no rows; only the four columns are read, so that others can't clash; conv_id may be of any type.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches_of, table
 
 MARKS = ("### System:", "### User:", "### Assistant:", "</turn>")
 TEMPLATE = (
-    '{% if role == "system" %}### System:{% elif role == "user" %}### User:{% elif role == "assistant" %}### Assistant:{% else %}### Role {{ role|esc }}:{% endif %} '
+    '{% if role == "system" %}### System:{% elif role == "user" %}### User:{% elif role == "assistant" %}### Assistant:{% else %}### Role {{ role|name }}:{% endif %} '
     '{% if role == "assistant" %}{% generation %}{{ text|esc }}{% endgeneration %}{% else %}{{ text|esc }}{% endif %}</turn>\n'
 )
 NAMES = ("role", "text", "turn")
@@ -80,7 +83,7 @@ def parse(template: str) -> list:
             if not v or v["name"] and v["name"] not in NAMES:
                 raise ValueError(f"not a value: {m['value']!r}")
             filters = tuple(v["filters"].split("|")[1:])
-            if bad := [f for f in filters if f not in ("esc", "upper", "trim")]:
+            if bad := [f for f in filters if f not in ("esc", "name", "upper", "trim")]:
                 raise ValueError(f"unknown filter: {bad[0]}")
             stack[-1][1].append(Value(v["name"], filters) if v["name"] else Value('"' + v["const"], filters))
             continue
@@ -148,7 +151,7 @@ def fold(nodes: list, filters: dict[str, Callable[[str], str]]) -> list:
 
 def compile_template(template: str, marks: tuple[str, ...] = MARKS) -> Callable[[dict], list[tuple[str, bool]]]:
     """A function from a turn (role, text, turn) to its pieces: (text, whether the model generates it)."""
-    filters: dict[str, Callable[[str], str]] = {"esc": escaper(marks), "upper": str.upper, "trim": str.strip}
+    filters: dict[str, Callable[[str], str]] = {"esc": escaper(marks), "name": lambda s: escaper(marks)(s).replace(":", r"\:"), "upper": str.upper, "trim": str.strip}
 
     def closure(nodes: list, mask: bool) -> Callable[[dict, list], None]:
         steps: list[Callable[[dict, list], None]] = []
@@ -194,7 +197,7 @@ def compile_template(template: str, marks: tuple[str, ...] = MARKS) -> Callable[
 
 
 def escaper(marks: tuple[str, ...]) -> Callable[[str], str]:
-    """A backslash before each backslash and before the first character of each mark; colons of roles too."""
+    """A backslash before each backslash and before the first character of each mark."""
     find = re.compile("|".join([r"\\", *map(re.escape, sorted(marks, key=len, reverse=True))]))
     return lambda s: find.sub(lambda m: "\\" + m[0], s)
 
@@ -220,7 +223,8 @@ def format_turns(conversations: DataFrame, template: str = TEMPLATE, marks: tupl
             yield pa.RecordBatch.from_arrays([ids, turns, pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("mask", pa.bool_())])))], names=["conv_id", "turn", "pieces"])
 
     dealt = c.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(run, "conv_id long, turn long, pieces array<struct<text:string,mask:boolean>>")
+    pieces = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("mask", T.BooleanType())]))
+    return dealt.mapInArrow(run, T.StructType([c.schema["conv_id"], c.schema["turn"], T.StructField("pieces", pieces)]))
 
 
 _TURN = re.compile(r"### (?P<role>(?:\\.|[^\\:])*): (?P<text>(?:\\.|[^\\])*?)</turn>\n", re.S)
@@ -237,7 +241,7 @@ def digest(formatted: DataFrame) -> DataFrame:
     """One row per conversation, from the rendered text alone: what was said is parsed out of it again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, rows, kind = None, [], pa.int64()
 
         def close():
             if now is not None:
@@ -245,6 +249,7 @@ def digest(formatted: DataFrame) -> DataFrame:
                 rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), total))
 
         for b in batches:
+            kind = b.column("conv_id").type
             for conv, pieces in zip(b.column("conv_id").to_pylist(), b.column("pieces").to_pylist(), strict=True):
                 if now is None or now[0] != conv:
                     close()
@@ -258,16 +263,18 @@ def digest(formatted: DataFrame) -> DataFrame:
                 now[4].update(learnt.encode())
                 now[5] += len(text)
             if len(rows) >= 1000:
-                yield _batch(rows)
+                yield _batch(rows, kind)
                 rows.clear()
         close()
-        yield _batch(rows)
+        if rows:
+            yield _batch(rows, kind)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
