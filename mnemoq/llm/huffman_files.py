@@ -11,7 +11,9 @@ A block is a row of a Parquet table, which any store that Spark reaches can hold
 the bit offset at every ``every``-th id, and the bits. Decoding looks up ``limit`` bits at a time in a
 table of 2**limit entries, for all checkpoints of a block side by side.
 
-Defined cases: null text is empty and is the end id alone; an empty table gives no blocks and no
+A code has ``limit`` bits at most, or as many as the distinct ids need, up to MOST_BITS.
+
+Defined cases: null text is empty and is the end id alone; very long texts are whole, each within one block; an empty table gives no blocks and no
 rows; rows of equal doc_id follow each other in the order of their coded bytes; a null doc_id comes first;
 a doc_id that is no whole number is an error; only doc_id and text are read, so no other column can clash.
 """
@@ -31,7 +33,8 @@ from .common import batches_of, forget, scratch, stored, table
 from .tokens import default_path, encoder
 
 END = 2
-LIMIT = 16
+LIMIT = 16  # bits of the longest code; more where a vocabulary needs more
+MOST_BITS = 25
 EVERY = 64
 BLOCK_IDS = 1 << 16
 
@@ -106,13 +109,16 @@ class Decoder:
     def read(self, bits: bytes, n_ids: int, marks: np.ndarray, every: int) -> np.ndarray:
         """The ids of a block; all checkpoints are decoded side by side, an id of each at a time."""
         data = np.frombuffer(bits + b"\0\0\0\0", np.uint8).astype(np.uint32)
+        wide = 24 if self.limit <= 17 else 32
         word = (data[:-3] << 16) | (data[1:-2] << 8) | data[2:-1]  # 24 bits from each byte on
+        if wide == 32:
+            word = (word << 8) | data[3:]
         out = np.zeros(len(marks) * every, np.uint32)
         at = marks.astype(np.int64).copy()
         mask = np.uint32((1 << self.limit) - 1)
         last = len(word) - 1
         for i in range(every):
-            look = (word[np.minimum(at >> 3, last)] >> (24 - self.limit - (at & 7)).astype(np.uint32)) & mask
+            look = (word[np.minimum(at >> 3, last)] >> (wide - self.limit - (at & 7)).astype(np.uint32)) & mask
             out[i::every] = self.symbol[look]
             at += self.length[look]
         return out[:n_ids]
@@ -186,7 +192,11 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, limit: int =
     path = path or default_path()
     wide = encoder(path).dtype.itemsize == 4
     tokens = stored(encoded(docs, path, end), "token-ids")
-    length = lengths(count_ids(tokens, wide), limit) if not tokens.isEmpty() else {}
+    counts = count_ids(tokens, wide)
+    limit = max(limit, (len(counts) - 1).bit_length())  # as many bits as the ids need
+    if limit > MOST_BITS:
+        raise ValueError(f"{len(counts)} distinct ids need codes of more than {MOST_BITS} bits")
+    length = lengths(counts, limit) if counts else {}
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = _ranges(tokens, parts)
     sums = {r.part: r.n for r in ranged(tokens.select("doc_id", "n"), bounds).groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each range
@@ -212,7 +222,7 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, limit: int =
     coded = tokens.mapInArrow(code, schema).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "bits")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, block, now = 0, 0, None
+        start, block, now, held = 0, 0, None, 0
 
         def flush():
             ids, ns, bits, marks, n_bits, part = now
@@ -225,10 +235,11 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, limit: int =
                 if now is None or now[5] != p:
                     if now is not None:
                         yield flush()
-                    start, block, now = sent.value[1][p], 0, [[], [], [], [], 0, p]
-                elif sum(now[1]) >= BLOCK_IDS:
+                    start, block, now, held = sent.value[1][p], 0, [[], [], [], [], 0, p], 0
+                elif held >= BLOCK_IDS:
                     yield flush()
-                    start, block, now = start + sum(now[1]), block + 1, [[], [], [], [], 0, p]
+                    start, block, now, held = start + held, block + 1, [[], [], [], [], 0, p], 0
+                held += n
                 now[0].append(d)
                 now[1].append(n)
                 now[2].append(y)
