@@ -6,18 +6,19 @@ candidate if the hash of its first two words is in the set of the windows' first
 candidate is a hit if its whole window, as text, is in the set of windows (an exact test, so no
 hash collision counts). All of it happens within the document's row: nothing is shuffled.
 
-The set is sent with the plan only up to ``max_set`` windows. Beyond that bound the candidates
-come from a join of hashed windows instead, with the same result.
+The set is sent with the plan as text only up to ``max_set`` windows. Beyond that bound two maps of hashes, of
+MAP_SLOTS bytes each, are sent: positions whose two words, then whole windows whose hash, have their byte set are
+candidates, still within the row. Only these, each window once a document, are joined with the windows' texts. A
+crowded map lets more candidates through; the result is the same.
 
 Defined cases: null text has no words, so no hit and is kept. An empty benchmark hits nothing. Items
 shorter than the window are one window; items without words are none. Repeated rows each get their
-own result. Extra columns pass through; working columns are named with the prefix ``_dc_``.
+own result. Very long texts are whole. Extra columns pass through, whatever their names; working columns are named with
+the prefix ``_dc_``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from .common import ascii_lower, fenced, numbered, sql_strings, stored, table
 
 WINDOW = 13
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_SET = 50_000
+MAX_SET = 50_000  # windows sent as literals
+MAP_SLOTS = 1 << 22  # bytes of each map sent beyond that
 
 
 def words(text: Column) -> Column:
@@ -65,34 +67,59 @@ def _hits_by_set(d: DataFrame, windows: DataFrame) -> DataFrame:
     return d.withColumn("_dc_hits", F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]))
 
 
-def _hits_by_join(d: DataFrame, windows: DataFrame) -> DataFrame:
-    """Adds _dc_hits where the benchmark is too large to send: hashed windows meet in a shuffle."""
-    grams = windows.select("window", "len").distinct()
+def _slot(h: Column, slots: int) -> Column:
+    """The number of a hash's byte in a map of so many slots, a power of two; from 1 on."""
+    return (h.bitwiseAND(F.lit(slots - 1)) + 1).cast("int")
+
+
+def _slots_of(hashes: DataFrame, slots: int) -> bytes:
+    """A byte for each slot, 1 where one of the hashes (column h) lies there."""
+    at = hashes.select(_slot(F.col("h"), slots).alias("at")).distinct().toArrow().column("at").to_pylist()  # slots at most
+    out = bytearray(slots)
+    for i in at:
+        out[i - 1] = 1
+    return bytes(out)
+
+
+def _hits_by_map(d: DataFrame, windows: DataFrame, slots: int = MAP_SLOTS) -> DataFrame:
+    """Adds _dc_hits where the windows are too many for literals: two maps of hashes, of bounded size, are sent instead; what
+    they let through meets the windows, as text, in a join."""
+    grams = windows.select("window", "len", "pair").distinct()
+    none = F.expr("cast(array() as array<struct<pos:int,len:int,window:string>>)")
     lens = sorted(r.len for r in grams.select("len").distinct().collect())
-    of = [
-        f"transform(sequence(1, size(_dc_w) - {n - 1}), i -> struct(xxhash64(array_join(slice(_dc_w, i, {n}), ' ')) as h, i as pos, {n} as len))"
-        for n in lens
-    ]
-    parts = [d.where(F.size("_dc_w") >= n).select("_dc_id", F.explode_outer(F.expr(e)).alias("g")).select("_dc_id", "g.*") for n, e in zip(lens, of, strict=True)]
-    if not parts:
-        return d.withColumn("_dc_hits", F.expr("cast(array() as array<struct<pos:int,len:int,window:string>>)"))
-    keys = grams.select(F.xxhash64("window").alias("h"), "len").distinct()
-    found = reduce(DataFrame.unionByName, parts).join(keys, ["h", "len"], "left_semi").groupBy("_dc_id").agg(F.collect_set(F.struct("pos", "len")).alias("_dc_at"))
-    full = d.join(found, "_dc_id", "left").withColumn(
-        "_dc_maybe", F.expr("coalesce(transform(_dc_at, a -> struct(a.pos, a.len, array_join(slice(_dc_w, a.pos, a.len), ' ') as window)), array())"))
-    at = full.select("_dc_id", F.explode("_dc_maybe").alias("m")).select("_dc_id", "m.*").join(grams, ["window", "len"], "left_semi")
-    good = at.groupBy("_dc_id").agg(F.collect_set(F.struct("pos", "len", "window")).alias("_dc_hits"))
-    return full.drop("_dc_at", "_dc_maybe").join(good, "_dc_id", "left").withColumn("_dc_hits", F.coalesce("_dc_hits", F.expr("cast(array() as array<struct<pos:int,len:int,window:string>>)")))
+    if not lens:
+        return d.withColumn("_dc_hits", none)
+    pairs, texts = (F.lit(bytearray(_slots_of(h, slots))) for h in (grams.where("len > 1").select(F.col("pair").alias("h")), grams.select(F.xxhash64("window").alias("h"))))
+
+    def among(sent: Column, h: Column) -> Column:
+        return F.substring(sent, _slot(h, slots), 1) == F.lit(bytearray(b"\x01"))
+
+    w = F.col("_dc_w")
+    d = d.withColumn("_dc_cand", F.filter(F.transform(w, lambda x, i: F.when(among(pairs, F.xxhash64(x, F.get(w, i + 1))), i + 1).otherwise(0)), lambda i: i > 0))
+
+    def windows_of(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.size(w)) if n == 1 else F.filter("_dc_cand", lambda i: i + (n - 1) <= F.size(w))
+        at = F.when(F.size(w) > 0, at).otherwise(F.expr("cast(array() as array<int>)"))
+        found = F.transform(at, lambda i: F.struct(i.cast("int").alias("pos"), F.lit(n).alias("len"), F.array_join(F.slice(w, i, n), " ").alias("window")))
+        return F.filter(found, lambda m: among(texts, F.xxhash64(m["window"])))
+
+    parts = [windows_of(n) for n in lens]
+    maybe = stored(fenced(d.select("_dc_id", F.concat(*parts).alias("_dc_maybe")), F.size("_dc_maybe") > 0).select("_dc_id", "_dc_maybe"), "bench-candidates")
+    # a document's equal windows are one row; a common window's partition is split by adaptive execution
+    met = maybe.select("_dc_id", F.explode(F.array_distinct(F.transform("_dc_maybe", lambda m: m["window"]))).alias("window")).join(grams.select("window").distinct(), "window", "left_semi")
+    good = met.groupBy("_dc_id").agg(F.collect_set("window").alias("_dc_good"))
+    hits = maybe.join(good, "_dc_id").select("_dc_id", F.filter("_dc_maybe", lambda m: F.array_contains("_dc_good", m["window"])).alias("_dc_hits"))
+    return d.drop("_dc_cand").join(hits, "_dc_id", "left").withColumn("_dc_hits", F.coalesce("_dc_hits", none))
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_set: int = MAX_SET) -> tuple[DataFrame, DataFrame]:
     """docs with _dc_id, _dc_w (words), _dc_hits (verified, every occurrence), _dc_n (words hit); and the windows."""
     windows = stored(benchmark_windows(benchmark, window), "bench-windows", 1)
     small = windows.limit(max_set + 1).count() <= max_set
-    # the join path reads the rows more than once and needs the same numbers each time
+    # the map's path reads the rows more than once and needs the same numbers each time
     d = docs.withColumn("_dc_id", F.monotonically_increasing_id()) if small else numbered(docs, "_dc_id")
     d = d.withColumn("_dc_w", words(F.col("text")))
-    d = (_hits_by_set if small else _hits_by_join)(d, windows)
+    d = (_hits_by_set if small else _hits_by_map)(d, windows)
     # words covered: walk the hits by position, counting what lies past the end of those before
     d = d.withColumn("_dc_n", F.expr(
         "aggregate(array_sort(transform(_dc_hits, h -> struct(h.pos, h.len))), struct(0 as e, 0 as n),"
