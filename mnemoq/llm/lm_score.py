@@ -67,8 +67,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def sizes(v: int) -> tuple[int, int]:
-    """(head, bits) for so many distinct training words: in proportion to them, without an upper bound."""
-    return max(HEAD, v // WORDS_PER_HEAD), max(BITS, (max(v // WORDS_PER_SLOT, 1) - 1).bit_length())
+    """(head, bits) for so many distinct training words: in proportion to them. Slots are numbered in 32 bits with one to
+    spare, so from 2**33 words on they don't get more; each then stands for more words."""
+    return max(HEAD, v // WORDS_PER_HEAD), min(31, max(BITS, (max(v // WORDS_PER_SLOT, 1) - 1).bit_length()))
 
 
 def bucket_bits(v: int) -> int:

@@ -45,7 +45,7 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_decontamination_against_brute_force(spark, docs, rows, none):
+def test_decontamination_against_brute_force(spark, docs, rows, none, monkeypatch):
     passage = " ".join(text(4, 60).split()[10:40])
     bench = spark.createDataFrame([(1, passage), (2, "Word"), (3, None), (4, "  "), (10, passage.upper())], "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -63,8 +63,10 @@ def test_decontamination_against_brute_force(spark, docs, rows, none):
                     hit |= set(range(k, k + n))
                     items |= grams[tuple(w[k : k + n])]
         want.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    for most in (50_000, 1):  # the set sent with the plan, and the join beyond its bound
+    for most in (50_000, 1):  # the set sent with the plan, and the maps beyond its bound
         assert sorted(map(tuple, decontaminate.report(docs, bench, max_set=most).collect())) == sorted(want)
+    monkeypatch.setattr(decontaminate._hits_by_map, "__defaults__", (8,))  # maps so small that nearly all passes them
+    assert sorted(map(tuple, decontaminate.report(docs, bench, max_set=1).collect())) == sorted(want)
     left = decontaminate.remove_documents(docs, bench)
     assert left.columns == docs.columns and left.count() == sum(not w[5] for w in want)
     assert decontaminate.report(decontaminate.remove_spans(docs, bench), bench).where("n_hit > 0").count() == 0
@@ -307,6 +309,26 @@ def test_lines_of_equal_null_and_giant_documents(spark):
     assert out.columns == d.columns and {(r.n_lines, r.n_dropped) for r in out.collect()} == {("mine", 7)}
 
 
+def test_lines_of_documents_named_by_strings(spark):
+    line = "a line of more than forty characters that is shared"
+    rows = [(str(i), f"{i}\n{line}") for i in range(6)] + [("doc-a", line), (None, line)]
+    d = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    for how in ({}, {"max_broadcast": 0}, {"max_bits": 18}):
+        got = {r.doc_id: r._ld_dropped for r in line_dedup.drop_lines(d, **how).collect()}
+        assert got == {d: int(d != "doc-a") for d, _ in rows}
+
+
+def test_slices_send_one_map_at_a_time(spark, monkeypatch):
+    rows = [(i, "\n".join(f"{j} is a line that is quite a bit longer than forty characters" for j in range(i % 7, 60))) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(line_dedup, "LEAST_BITS", 10)
+    made, whole = [], line_dedup.suspects
+    monkeypatch.setattr(line_dedup, "suspects", lambda *a: made.append(whole(*a)) or made[-1])
+    got = [(r.doc_id, r._ld_lines, r._ld_dropped, r.text) for r in line_dedup.drop_lines(d, max_bits=14).collect()]
+    assert sorted(got) == sorted(dropped_lines(rows)) and len(made) > 4
+    assert all(sent._jbroadcast is None or not sent._jbroadcast.isValid() for _, sent in made)
+
+
 def test_filters_send_few_lines_that_occur_once(spark):
     """At the size that follows the line count, suspects stay below twice the true repeats."""
     line = "{} is a line that is quite a bit longer than forty characters"
@@ -314,7 +336,7 @@ def test_filters_send_few_lines_that_occur_once(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     hashes = line_dedup.hashed(d, 40)
     bits = (150_000 * line_dedup.BITS_A_LINE - 1).bit_length()
-    assert 0 < line_dedup.suspects(hashes, bits, 5).select("key").distinct().count() - 19 < 0.05 * 150_000
+    assert 0 < line_dedup.suspects(hashes, bits, 5)[0].select("key").distinct().count() - 19 < 0.05 * 150_000
     assert line_dedup.confirmed(hashes).count() == 19
 
 
@@ -361,6 +383,23 @@ print("tokens", sum(r.n_tokens for r in huffman_files.read(spark, {path!r}).coll
     assert f"tokens {sum(len(ids_of(t)) + 1 for _, t, *_ in rows)}" in out.stdout, out.stderr[-2000:]
 
 
+def test_codes_follow_the_vocabulary():
+    """More ids than 2**16: codes grow, and blocks decode in words of 32 bits."""
+    r = np.random.default_rng(3)
+    for limit, n in ((16, 70_000), (17, 90_000), (16, 300_000)):
+        ids = np.concatenate([np.arange(n), r.integers(0, 50, 20_000)])
+        bits = max(limit, (n - 1).bit_length())
+        length = huffman_files.lengths(dict(zip(*(x.tolist() for x in np.unique(ids, return_counts=True)), strict=True)), bits)
+        packed, at = huffman_files.pack(ids, *huffman_files.canonical(length))
+        assert max(length.values()) <= bits and (huffman_files.Decoder(length, bits).read(packed, len(ids), at[::64], 64) == ids).all()
+
+
+def test_blocks_of_empty_texts_take_no_time_for_sums(spark):
+    d = spark.range(70_000).selectExpr("id AS doc_id", "cast(null AS string) AS text").coalesce(1)
+    out = huffman_files.read(spark, huffman_files.write(d)).agg(F.sum("n_tokens").alias("n"), F.max("start").alias("s")).first()
+    assert (out.n, out.s) == (70_000, 69_999)
+
+
 def test_code_lengths_are_least():
     r = random.Random(1)
     for n in (1, 2, 3, 20):
@@ -437,6 +476,19 @@ def test_chat_round_trip_and_mask(spark):
     assert got[2].n_turns == 1 and chat.digest(chat.format_turns(c.where("false"))).count() == 0
 
 
+def test_chat_of_any_roles_and_ids(spark):
+    r = random.Random(8)
+    bits = ["tool:search", "a:", ":", "\\", "\\:", "Role x", "System", "### User:", "</turn>", "\n", "é", " ", ""]
+    rows = [(f"c{r.randrange(6)}", i, "".join(r.choices(bits, k=r.randint(0, 3))), "".join(r.choices(bits, k=3))) for i in range(300)]
+    rows += [("c0", 7, "user", "x" * 400_000), ("c0", 7, "user", "x" * 400_000), ("c1", 3, "b", "tie"), ("c1", 3, "a", "tie")]  # long, repeated, tied
+    c = spark.createDataFrame([(*x, "clash") for x in rows], "conv_id string, turn long, role string, text string, pieces string").repartition(3)
+    got = {x.conv_id: x for x in chat.digest(chat.format_turns(c)).collect()}
+    for conv in {x[0] for x in rows}:
+        mine = sorted(x[1:] for x in rows if x[0] == conv)
+        assert got[conv].n_turns == len(mine)
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in mine).encode()).hexdigest()
+
+
 def test_templates_fold_constants_and_refuse_what_is_unsafe():
     f = chat.compile_template('{% if "a" == "a" %}x{{ "y"|upper }}{% else %}{{ text }}{% endif %}')
     assert f({"role": "", "text": "t", "turn": 0}) == [("xY", False)]
