@@ -31,6 +31,7 @@ LINT_NOISE = r"^(Checking|All checks passed|Success:|✨|$)"
 MAKE_NOISE = r"^(make(\[\d+\])?: (Entering|Leaving) directory|(cc|gcc|g\+\+|clang|ar|ld|echo|mkdir|install)\b)"
 JVM_NOISE = r"^(\[INFO\] *(Downloading|Downloaded|---|$)|Download(ing)? |> Task .*(UP-TO-DATE|NO-SOURCE|FROM-CACHE)?$|Progress )"
 AUDIT_NOISE = r"^(Fetching|Loaded|Updating|Scanning)\b"
+DESCRIBE_DROPPED = r"^(Spec|Annotations|Labels|Selector|Volumes|Node-Selectors|Tolerations|QoS Class):"
 TREE_DEEP = r"^(?:[│ ]   ){3,}"
 
 Rule = Callable[[Column], Column]
@@ -131,26 +132,97 @@ FILTERS: dict[str, Rule] = {
     "go_test": _trailer("^ok", "packages ok", _drop(GO_NOISE)), "go_build": _trailer(r"^\S+\.go:\d+", "errors", lambda x: x), "go_vet": _trailer(r"^\S+\.go:\d+", "errors", lambda x: x), "go_mod_tidy": _drop(GO_GET), "go_mod_download": _drop(GO_GET),
     "bazel_build": _trailer("^ERROR:", "errors", _drop(BAZEL_NOISE)), "bazel_test": _trailer("FAILED|FLAKY|TIMEOUT", "not passed", _then(_drop(BAZEL_NOISE), _drop(BAZEL_PASS))), "bazel_query": _then(_drop(BAZEL_NOISE), _cap(200, "targets")),
     "docker_ps": _cap(100, "rows"), "docker_logs": lambda x: tail_lines(x, 200), "docker_compose": _cap(100, "rows"), "kubectl_get": _cap(100, "rows"), "kubectl_logs": lambda x: tail_lines(x, 200),
-    "kubectl_describe": sections(r"^(Annotations|Tolerations|Volumes|QoS Class|Node-Selectors|Conditions|Managed Fields|Labels):", r"^\S[^:]*:"),
+    "kubectl_describe": sections(DESCRIBE_DROPPED, r"^[^ \n][^\n]*:"),
     "gh_list": _cap(50, "rows"), "gh_view": _cap(200, "lines"), "make": _drop(MAKE_NOISE), "mvn": _drop(JVM_NOISE), "gradle": _drop(JVM_NOISE),
     "rg": grouped(r"^([^:\n]+):\d+:", r"^[^:\n]+:(.*)$", 200), "fd": grouped(r"^(.*/)[^/]+$", r"([^/]+)$", 1000), "find": grouped(r"^(.*/)[^/]+$", r"([^/]+)$", 1000),
     "tree": _then(_drop(TREE_DEEP), lambda x: F.slice(x, 1, 200)), "ls": _cap(200, "entries"), "read_cat": _then(dedup_runs, window), "read_head_tail": dedup_runs, "generic": dedup_runs,
 }
 
-# fixed values: (command, first argument, second argument) -> filter; an empty argument matches any
+# fixed values: (command, first argument, second argument, filter); an empty argument matches any
 DISPATCH = [
-    *(("git", a, "", f"git_{a}") for a in ("log", "diff", "status", "show", "push", "pull", "fetch", "commit")),
-    *(("cargo", a, "", f"cargo_{b}") for a, b in (("build", "build"), ("b", "build"), ("check", "check"), ("c", "check"), ("doc", "doc"), ("clippy", "clippy"), ("test", "test"), ("t", "test"), ("nextest", "test"), ("bench", "bench"), ("audit", "audit"), ("tree", "tree"))),
-    *(("npm", a, "", f"npm_{b}") for a, b in (("install", "install"), ("i", "install"), ("ci", "install"), ("test", "test"), ("t", "test"))),
-    ("yarn", "install", "", "yarn_install"), ("pnpm", "install", "", "pnpm_install"), ("jest", "", "", "js_test"), ("vitest", "", "", "js_test"),
-    ("pytest", "", "", "pytest"), ("pip", "install", "", "pip_install"), ("pip", "list", "", "pip_list"), ("uv", "", "", "uv"),
-    *((a, "", "", a) for a in ("ruff", "mypy", "eslint", "tsc", "make", "mvn", "gradle", "rg", "fd", "find", "tree", "ls")), ("grep", "", "", "rg"),
-    ("go", "test", "", "go_test"), ("go", "build", "", "go_build"), ("go", "vet", "", "go_vet"), ("go", "mod", "tidy", "go_mod_tidy"), ("go", "mod", "download", "go_mod_download"),
-    ("bazel", "build", "", "bazel_build"), ("bazel", "test", "", "bazel_test"), ("bazel", "query", "", "bazel_query"),
-    ("docker", "ps", "", "docker_ps"), ("docker", "logs", "", "docker_logs"), ("docker", "compose", "", "docker_compose"),
-    ("kubectl", "get", "", "kubectl_get"), ("kubectl", "logs", "", "kubectl_logs"), ("kubectl", "describe", "", "kubectl_describe"),
-    *(("gh", a, b, f"gh_{b}") for a in ("pr", "issue", "run") for b in ("list", "view")),
-    ("cat", "", "", "read_cat"), ("bat", "", "", "read_cat"), ("less", "", "", "read_cat"), ("head", "", "", "read_head_tail"), ("tail", "", "", "read_head_tail"),
+    ("git", "log", "", "git_log"),
+    ("git", "diff", "", "git_diff"),
+    ("git", "status", "", "git_status"),
+    ("git", "show", "", "git_show"),
+    ("git", "push", "", "git_push"),
+    ("git", "pull", "", "git_pull"),
+    ("git", "fetch", "", "git_fetch"),
+    ("git", "commit", "", "git_commit"),
+    ("cargo", "test", "", "cargo_test"),
+    ("cargo", "build", "", "cargo_build"),
+    ("cargo", "check", "", "cargo_check"),
+    ("cargo", "clippy", "", "cargo_clippy"),
+    ("cargo", "doc", "", "cargo_doc"),
+    ("cargo", "bench", "", "cargo_bench"),
+    ("cargo", "audit", "", "cargo_audit"),
+    ("cargo", "tree", "", "cargo_tree"),
+    ("npm", "install", "", "npm_install"),
+    ("npm", "i", "", "npm_install"),
+    ("npm", "ci", "", "npm_install"),
+    ("npm", "test", "", "npm_test"),
+    ("npm", "t", "", "npm_test"),
+    ("pytest", "", "", "pytest"),
+    ("pip", "install", "", "pip_install"),
+    ("pip", "list", "", "pip_list"),
+    ("uv", "install", "", "uv"),
+    ("uv", "sync", "", "uv"),
+    ("uv", "add", "", "uv"),
+    ("ruff", "", "", "ruff"),
+    ("mypy", "", "", "mypy"),
+    ("eslint", "", "", "eslint"),
+    ("tsc", "", "", "tsc"),
+    ("go", "test", "", "go_test"),
+    ("go", "build", "", "go_build"),
+    ("go", "vet", "", "go_vet"),
+    ("go", "mod", "tidy", "go_mod_tidy"),
+    ("go", "mod", "download", "go_mod_download"),
+    ("bazel", "build", "", "bazel_build"),
+    ("bazel", "test", "", "bazel_test"),
+    ("bazel", "query", "", "bazel_query"),
+    ("bazel", "cquery", "", "bazel_query"),
+    ("bazel", "aquery", "", "bazel_query"),
+    ("bazelisk", "build", "", "bazel_build"),
+    ("bazelisk", "test", "", "bazel_test"),
+    ("bazelisk", "query", "", "bazel_query"),
+    ("bazelisk", "cquery", "", "bazel_query"),
+    ("bazelisk", "aquery", "", "bazel_query"),
+    ("yarn", "install", "", "yarn_install"),
+    ("yarn", "add", "", "yarn_install"),
+    ("pnpm", "install", "", "pnpm_install"),
+    ("pnpm", "add", "", "pnpm_install"),
+    ("pnpm", "i", "", "pnpm_install"),
+    ("jest", "", "", "js_test"),
+    ("vitest", "", "", "js_test"),
+    ("mocha", "", "", "js_test"),
+    ("docker", "ps", "", "docker_ps"),
+    ("docker", "images", "", "docker_ps"),
+    ("docker", "logs", "", "docker_logs"),
+    ("docker", "compose", "ps", "docker_compose"),
+    ("docker", "compose", "logs", "docker_compose"),
+    ("kubectl", "get", "", "kubectl_get"),
+    ("kubectl", "logs", "", "kubectl_logs"),
+    ("kubectl", "describe", "", "kubectl_describe"),
+    ("gh", "pr", "list", "gh_list"),
+    ("gh", "issue", "list", "gh_list"),
+    ("gh", "repo", "list", "gh_list"),
+    ("gh", "pr", "view", "gh_view"),
+    ("gh", "issue", "view", "gh_view"),
+    ("gh", "repo", "view", "gh_view"),
+    ("make", "", "", "make"),
+    ("mvn", "", "", "mvn"),
+    ("gradle", "", "", "gradle"),
+    ("./gradlew", "", "", "gradle"),
+    ("rg", "", "", "rg"),
+    ("grep", "", "", "rg"),
+    ("tree", "", "", "tree"),
+    ("fd", "", "", "fd"),
+    ("find", "", "", "find"),
+    ("ls", "", "", "ls"),
+    ("cat", "", "", "read_cat"),
+    ("bat", "", "", "read_cat"),
+    ("less", "", "", "read_cat"),
+    ("head", "", "", "read_head_tail"),
+    ("tail", "", "", "read_head_tail"),
 ]
 
 
@@ -161,7 +233,7 @@ def pick(cmd: Column, args: Column) -> Column:
     first, second = F.coalesce(F.get(plain, F.lit(0)), F.lit("")), F.coalesce(F.get(plain, F.lit(1)), F.lit(""))
     out = F.lit("generic")
     for c, a, b, name in reversed(DISPATCH):
-        hit = base == c
+        hit = cmd == c if "/" in c else base == c
         hit = hit & (first == a) if a else hit
         hit = hit & (second == b) if b else hit
         out = F.when(hit, name).otherwise(out)
@@ -174,6 +246,8 @@ def filtered(frames: DataFrame) -> DataFrame:
     out = F.col("_ls")
     for name, rule in FILTERS.items():
         out = F.when(F.col("filter_id") == name, rule(F.col("_ls"))).otherwise(out)
+    logs = (F.col("filter_id") == "docker_compose") & (F.get("args", F.lit(1)) == "logs")
+    out = F.when(logs, tail_lines(F.col("_ls"), 200)).otherwise(out)
     return d.withColumn("_o", out).withColumn("text", or_raw(unlines(F.col("_o")), F.col("_raw"))).drop("_raw", "_ls", "_o")
 
 

@@ -68,12 +68,13 @@ def _argv(segment: str) -> tuple[list[str], list[str]] | None:
 
 
 def filter_of(words: list[str]) -> str:
-    """The filter of a command's words, as ``commands.pick`` has it; options before git's subcommand are passed over."""
+    """The filter that a command's first argument alone tells; options before git's subcommand are passed over. Commands that
+    only their second argument tells have none here."""
     rest = words[1:]
     while words[0] == "git" and rest and rest[0].startswith("-"):
         rest = rest[2 if rest[0] in ("-C", "-c") else 1 :]
-    first, second = [*rest, "", ""][:2]
-    return next((name for c, a, b, name in DISPATCH if c == words[0] and a in ("", first) and b in ("", second)), "generic")
+    first = rest[0] if rest else ""
+    return next((name for c, a, b, name in DISPATCH if c == words[0] and a in ("", first) and not b), "generic")
 
 
 def rewrite(command: str | None) -> str | None:
@@ -82,6 +83,7 @@ def rewrite(command: str | None) -> str | None:
     A simple command is wrapped where it has a filter of its own, its assignments before the wrapper. Of a pipeline
     only the first part is, and only if all others just show what comes: what counts or searches must see the raw output.
     """
+    command = command.strip() if command else command
     if not command or "<<" in command or command.startswith("mnemoq ") or f" {WRAPPER} " in command:
         return None
     pipe = parts_of(command, "|")
@@ -133,7 +135,7 @@ QUERIES = {
 }
 _N = "list_max(list_filter(range(0, least(length(text), 98) + 1), lambda k: strlen(left(text, k)) <= 98))"
 ORACLES = {
-    "i1_rewrite": f"SELECT p_partkey, CASE p_partkey % 18 WHEN 0 THEN '{WRAPPER} git log ' || n WHEN 1 THEN 'FOO=1 {WRAPPER} cargo test ' || n WHEN 2 THEN '{WRAPPER} ls -la | head ' || n WHEN 8 THEN '{WRAPPER} rg ''x|y'' src | bat ' || n WHEN 10 THEN '{WRAPPER} git -C /tmp status ' || n WHEN 11 THEN '{WRAPPER} grep -n ' || n WHEN 15 THEN '{WRAPPER} gh pr list ' || n END AS rewritten FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS n FROM part)",
+    "i1_rewrite": f"SELECT p_partkey, CASE p_partkey % 18 WHEN 0 THEN '{WRAPPER} git log ' || n WHEN 1 THEN 'FOO=1 {WRAPPER} cargo test ' || n WHEN 2 THEN '{WRAPPER} ls -la | head ' || n WHEN 8 THEN '{WRAPPER} rg ''x|y'' src | bat ' || n WHEN 10 THEN '{WRAPPER} git -C /tmp status ' || n WHEN 11 THEN '{WRAPPER} grep -n ' || n END AS rewritten FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS n FROM part)",
     "i8_hook_reply": """SELECT r_regionkey, '{"hookSpecificOutput":{"hookEventName":"PreToolUse","permissionDecision":"deny","permissionDecisionReason":"' || r_name || '"}}' AS reply FROM region""",
     "i9_truncate": f"SELECT doc_id::VARCHAR AS id, CASE WHEN strlen(text) <= 101 THEN strlen(text) ELSE strlen(left(text, {_N})) + 3 END::INT AS bytes, CASE WHEN strlen(text) <= 101 THEN length(text) ELSE {_N} + 1 END::INT AS chars FROM documents",
 }

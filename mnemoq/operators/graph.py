@@ -211,8 +211,8 @@ _p1 = lambda f: lambda s, d: f(domain.relations(s, d), domain.entities(s, d))  #
 QUERIES = {
     "b9_resolve": lambda s, d: resolve(domain.entities(s, d), "Supplier#000000007").select("id", "name", "project"),
     "b10_gate": lambda s, d: gate(domain.entities(s, d), domain.read(s, d, "part").selectExpr("p_name as pattern").union(domain.read(s, d, "region").selectExpr("r_name"))),
-    "f2_replace_edges": _p1(lambda r, e: replace_edges(r, e, "/p1")), "f5_upsert": _f5, "f8_classify": _f8, "f14_orphans": _p1(lambda r, e: orphans(e, r.where("length(src) = length(dst)")).select("id", "name")),
-    "f13_stale": lambda s, d: stale(domain.entities(s, d), current(domain.relations(s, d)).where("length(src) = length(dst)"), domain.entities(s, d).where("length(name) % 2 = 0"), "/p2").select("id"),
+    "f2_replace_edges": _p1(lambda r, e: replace_edges(r, e, "/p1")), "f5_upsert": _f5, "f8_classify": _f8, "f14_orphans": lambda s, d: orphans(domain.entities(s, d), current(domain.links(s, d))).select("id", "name"),
+    "f13_stale": lambda s, d: stale(domain.entities(s, d), current(domain.links(s, d)), domain.entities(s, d).where("file_path <> 'BUILDING'"), "/p2").select("id"),
     "c9_asof_anchor": lambda s, d: enclosing(_points(s, d), _anchors(s, d), "cust").select("cust", "line", "occ", "anchor"), "c11_build_deps": _c11,
     "f18_out": _p1(lambda r, e: edges_of(r, e, "s:7", True, 15)), "f18_in": _p1(lambda r, e: edges_of(r, e, "p:7", False, 15)),
     "f19_neighbourhood": _p1(lambda r, e: neighbourhood(r, e, "s:7")), "f19_neighbourhood_used": _p1(lambda r, e: neighbourhood(r, e, "n:7")), "f20_siblings": lambda s, d: siblings(domain.entities(s, d), "p:7"), "f22_location": lambda s, d: location(domain.entities(s, d), "/p1"),
@@ -227,8 +227,8 @@ ORACLES = {
     "f2_replace_edges": f"{_RE} SELECT * FROM relations WHERE kind = 'BAZEL_DEPENDS_ON' OR src NOT IN (SELECT id FROM entities WHERE project = '/p1')",
     "f5_upsert": f"{duck('entities')}, o AS (SELECT * FROM entities), n AS (SELECT id, kind, upper(name) AS name, '/new' AS project, CASE WHEN length(id) % 2 = 0 THEN file_path END AS file_path, '1:1' AS line_range, signature FROM (SELECT * FROM entities UNION ALL SELECT * REPLACE ('new-' || id AS id) FROM entities)) SELECT coalesce(o.id, n.id) AS id, coalesce(o.kind, n.kind) AS kind, coalesce(o.name, n.name) AS name, coalesce(n.project, o.project) AS project, coalesce(n.file_path, o.file_path) AS file_path, coalesce(n.line_range, o.line_range) AS line_range, coalesce(n.signature, o.signature) AS signature FROM o FULL JOIN n ON o.id = n.id",
     "f8_classify": "SELECT p_partkey, CASE WHEN p_size % 4 IN (2, 3) THEN 'IMPORTS' WHEN p_partkey % 4 IN (0, 3) THEN 'CALLS' WHEN p_partkey % 4 = 1 THEN 'REFERENCES' WHEN p_partkey % 3 = 0 THEN 'CALLS' WHEN p_partkey % 3 = 1 THEN 'REFERENCES' END AS edge, replace(p_name, ' ', '_') || CASE WHEN p_partkey % 3 = 1 THEN '#' ELSE '' END AS name FROM part",
-    "f14_orphans": f"{_RE} SELECT id, name FROM entities WHERE id NOT IN (SELECT src FROM relations WHERE length(src) = length(dst)) AND id NOT IN (SELECT dst FROM relations WHERE length(src) = length(dst))",
-    "f13_stale": f"{_RE}, r AS (SELECT * FROM relations WHERE NOT closed AND length(src) = length(dst)) SELECT id FROM entities WHERE project = '/p2' AND kind = 'symbol' AND length(name) % 2 = 1 AND id NOT IN (SELECT src FROM r) AND id NOT IN (SELECT dst FROM r)",
+    "f14_orphans": f"{domain.duck('entities', 'links')} SELECT id, name FROM entities WHERE id NOT IN (SELECT src FROM links WHERE NOT closed) AND id NOT IN (SELECT dst FROM links WHERE NOT closed)",
+    "f13_stale": f"{domain.duck('entities', 'links')}, r AS (SELECT * FROM links WHERE NOT closed) SELECT id FROM entities WHERE project = '/p2' AND kind = 'symbol' AND file_path = 'BUILDING' AND id NOT IN (SELECT src FROM r) AND id NOT IN (SELECT dst FROM r)",
     "c9_asof_anchor": "WITH a AS (SELECT o_custkey AS cust, o_orderdate::DATE - DATE '1990-01-01' AS line, CASE WHEN o_orderpriority < '3' THEN 2 ELSE 1 END AS rank, 'o' || o_orderkey AS symbol FROM orders), b AS (SELECT cust, line, max_by(symbol, (rank, symbol)) AS anchor FROM a GROUP BY ALL), p AS (SELECT o_custkey AS cust, l_shipdate::DATE - DATE '1990-01-01' AS line, l_orderkey || '-' || l_linenumber AS occ FROM lineitem JOIN orders ON o_orderkey = l_orderkey) SELECT p.cust, p.line::INT AS line, occ, anchor FROM p ASOF LEFT JOIN b ON p.cust = b.cust AND p.line >= b.line",
     "c11_build_deps": "SELECT DISTINCT '//pkg:' || o_orderkey AS src, '//pkg:' || d AS dst, 'BAZEL_DEPENDS_ON' AS kind FROM (SELECT o_orderkey, unnest([o_orderkey + 1, o_orderkey * 2]) AS d FROM orders) WHERE d IN (SELECT o_orderkey FROM orders) AND d <> o_orderkey",
     "f18_out": f"{_RE} {_edge('src', 'dst', 's:7', 15)}", "f18_in": f"{_RE} {_edge('dst', 'src', 'p:7', 15)}",

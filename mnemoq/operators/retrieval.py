@@ -32,7 +32,7 @@ def phrases(query: str) -> list[list[str]]:
 
 
 def _frequency(toks: str, phrase: list[str]) -> Column:
-    """How often the phrase occurs: within the row, by positions, without a posting table."""
+    """How often the phrase occurs: within the row, by positions."""
     if len(phrase) == 1:
         return F.size(F.filter(F.col(toks), lambda t: t == F.lit(phrase[0])))
     same = lambda t, i: F.when(
@@ -53,7 +53,7 @@ def preview(text: Column, most: int = 240) -> Column:
 
 # ---- BM25 ----------------------------------------------------------------------------------------
 def bm25(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
-    """rows that match all words of the query, with score; one pass for the statistics, one for the scores, no shuffle."""
+    """rows that match all words of the query, with score, without a posting table: one pass for the statistics, one for the scores."""
     ps = phrases(query)
     if not ps:
         return rows.where("false").withColumn("score", F.lit(0.0))
@@ -73,7 +73,7 @@ def bm25(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
     return d.drop("_tok", "_dl", *[f"_tf{i}" for i in range(len(ps))])
 
 
-def _top(hits: DataFrame, limit: int) -> DataFrame:
+def best_of(hits: DataFrame, limit: int) -> DataFrame:
     return hits.orderBy(F.desc("score"), F.desc_nulls_last("ts"), "id").limit(limit)
 
 
@@ -81,33 +81,22 @@ def _shape(df: DataFrame, target: str, pre: Column) -> DataFrame:
     return df.select(F.lit(target).alias("target"), F.col("id").cast("string").alias("id"), "score", F.col("ts"), pre.alias("preview"))
 
 
-def search_messages(messages: DataFrame, query: str, limit: int, members: DataFrame | None = None) -> DataFrame:
-    hits = bm25(messages, query)
-    if members is not None:  # after scoring: a scope does not change what is rare in the corpus
-        hits = hits.join(members.where("target_kind = 'message'").select(F.col("target_id").alias("id")), "id")
-    return _top(_shape(hits, "message", preview(F.col("content"))), limit)
-
-
-def search_items(items: DataFrame, query: str, limit: int) -> DataFrame:
-    return _top(_shape(bm25(items, query), "context", preview(F.col("content"))), limit)
-
-
 def search_bugs(bugs: DataFrame, query: str, limit: int) -> DataFrame:
     q = F.lower(F.lit(query))
     hit = F.contains(F.lower("summary"), q) | F.coalesce(F.contains(F.lower("content"), q), F.lit(False))
-    return _top(_shape(bugs.where(hit).withColumn("score", F.lit(1.0)), "bug", preview(F.coalesce("content", "summary"))), limit)
+    return best_of(_shape(bugs.where(hit).withColumn("score", F.lit(1.0)), "bug", preview(F.coalesce("content", "summary"))), limit)
 
 
 def search_entities(entities: DataFrame, query: str, limit: int) -> DataFrame:
     hit = entities.where(F.contains(F.lower("name"), F.lower(F.lit(query)))).withColumns({"score": F.lit(1.0), "ts": F.lit(None).cast("timestamp_ntz")})
-    return _top(_shape(hit, "entity", F.concat("kind", F.lit(": "), "name", F.lit(" ["), "project", F.lit("]"))), limit)
+    return best_of(_shape(hit, "entity", F.concat("kind", F.lit(": "), "name", F.lit(" ["), "project", F.lit("]"))), limit)
 
 
 def merge(hits: list[DataFrame], limit: int) -> DataFrame:
     out = hits[0]
     for h in hits[1:]:
         out = out.unionByName(h)
-    return _top(out, limit)
+    return best_of(out, limit)
 
 
 # ---- vectors and fusion --------------------------------------------------------------------------
@@ -121,7 +110,7 @@ def hybrid(hits: DataFrame, vectors: DataFrame, query_vector: list[float], limit
     """Reciprocal ranks of the lexical, semantic and recency orders of a bounded pool of candidates, summed by weight."""
     one = W.partitionBy(F.lit(0))  # the pool has at most POOL * limit rows
     q = F.array(*[F.lit(float(x)) for x in query_vector])
-    pool = _top(hits, POOL * limit).withColumn("lex", F.row_number().over(one.orderBy(F.desc("score"), F.desc_nulls_last("ts"), "id")))
+    pool = best_of(hits, POOL * limit).withColumn("lex", F.row_number().over(one.orderBy(F.desc("score"), F.desc_nulls_last("ts"), "id")))
     pool = pool.join(vectors.select(F.col("id"), F.col("vector")), "id", "left").withColumn("cos", F.when(F.col("vector").isNotNull(), F.round(cosine(F.col("vector"), q), 6)))
     pool = pool.withColumn("sem", F.when(F.col("cos").isNotNull(), F.row_number().over(one.orderBy(F.desc_nulls_last("cos"), "id"))))
     pool = pool.withColumn("rec", F.when(F.col("ts").isNotNull(), F.row_number().over(one.orderBy(F.desc_nulls_last("ts"), "id"))))
@@ -132,6 +121,7 @@ def hybrid(hits: DataFrame, vectors: DataFrame, query_vector: list[float], limit
 
 # ---- queries -------------------------------------------------------------------------------------
 Q = "what from"
+QM = "this from"  # of messages, which are short
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -143,13 +133,6 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("project").alias("scope_id"), F.lit("message").alias("target_kind"), F.col("id").alias("target_id"))
 
 
-def _e16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = domain.read(spark, sf_dir, "embeddings").selectExpr("cast(vec_id as string) as id", "embedding as vector", "if(label < 8, 'm0', 'm1') as model")
-    query = v.where("id = '0'").select("vector").first()[0]  # one vector
-    hits = search_items(domain.context_items(spark, sf_dir), Q, POOL * 20)
-    return hybrid(hits, v.where("model = 'm0'"), query, 20)
-
-
 def _e12(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = domain.read(spark, sf_dir, "embeddings")
     q = F.array(*[F.lit(float(x)) for x in v.where("vec_id = 0").select("embedding").first()[0]])
@@ -157,20 +140,13 @@ def _e12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "e4_bm25_messages": lambda s, d: bm25(domain.messages(s, d), Q).select("id", "score"),
-    "e3_phrase": lambda s, d: bm25(domain.context_items(s, d), "of-the what").select("id", "score"),
-    "e5_recall_topk": lambda s, d: _out(search_messages(domain.messages(s, d), Q, 20)),
-    "e6_recall_context": lambda s, d: _out(search_items(domain.context_items(s, d), Q, 20)),
     "e7_bugs": lambda s, d: _out(search_bugs(domain.bugs(s, d), "THE", 20)),
     "e8_entities": lambda s, d: search_entities(domain.entities(s, d), "customer#00000001", 20).drop("ts"),
-    "e9_merge_targets": lambda s, d: _out(merge([search_messages(domain.messages(s, d), "what", 10), search_items(domain.context_items(s, d), "what", 10), search_bugs(domain.bugs(s, d), "what", 10)], 15)),
-    "c2_scoped_recall": lambda s, d: _out(search_messages(domain.messages(s, d), Q, 20, members(s, d).where("scope_id in ('/p1', '/p3')"))),
     "e12_cosine_topk": _e12,
-    "e16_rrf_hybrid": _e16,
     "b13_unembedded": lambda s, d: domain.context_items(s, d).join(domain.read(s, d, "embeddings").where("label < 8").selectExpr("cast(vec_id as string) as id"), "id", "left_anti").select("id", "kind"),
 }
 
-_TOK = "regexp_extract_all(lower(translate(coalesce(content, ''), '" + ACCENTED + "', '" + PLAIN + r"')), '[\p{L}\p{N}]+')"
+TOKENS_SQL = "regexp_extract_all(lower(translate(coalesce(content, ''), '" + ACCENTED + "', '" + PLAIN + r"')), '[\p{L}\p{N}]+')"
 _PRE = lambda c: f"CASE WHEN length({c}) > 240 THEN left({c}, 240) || '…' ELSE {c} END"
 _TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 
@@ -182,7 +158,7 @@ def _bm(view: str, ps: list[list[str]], name: str = "bm") -> str:
     idf = lambda i: f"(CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END)"
     score = " + ".join(f"{idf(i)} * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(ps)))
     hit = " AND ".join(f"tf{i} > 0" for i in range(len(ps)))
-    return f"""{name}_t AS (SELECT *, {cols}, len(t) AS dl FROM (SELECT *, {_TOK} AS t FROM {view})),
+    return f"""{name}_t AS (SELECT *, {cols}, len(t) AS dl FROM (SELECT *, {TOKENS_SQL} AS t FROM {view})),
 {name}_s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {stats} FROM {name}_t),
 {name} AS (SELECT {name}_t.*, round({score}, 6) AS score FROM {name}_t, {name}_s WHERE {hit})"""
 
@@ -193,18 +169,18 @@ _CTX = lambda n, name="bm": f"SELECT 'context' AS target, id, score, ts, {_PRE('
 _BUG = lambda q, n: f"SELECT 'bug' AS target, id::VARCHAR AS id, 1.0::DOUBLE AS score, ts, {_PRE('coalesce(content, summary)')} AS preview FROM bugs WHERE contains(lower(summary), lower('{q}')) OR coalesce(contains(lower(content), lower('{q}')), false) {_ORD} LIMIT {n}"
 _COS = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x)) * list_sum(list_transform({b}, lambda x: x::DOUBLE * x)))"
 _w = lambda sql: f"SELECT target, id, score, {_TS}, preview FROM ({sql})"
-_P2 = phrases(Q)
+_P2, _PM = phrases(Q), phrases(QM)
 WHAT, M, C = "what", "m", "c"
 
 ORACLES = {
-    "e4_bm25_messages": f"{duck('messages')}, {_bm('messages', _P2)} SELECT id, score FROM bm",
+    "e4_bm25_messages": f"{duck('messages')}, {_bm('messages', _PM)} SELECT id, score FROM bm",
     "e3_phrase": f"{duck('context_items')}, {_bm('context_items', phrases('of-the what'))} SELECT id, score FROM bm",
-    "e5_recall_topk": f"{duck('messages')}, {_bm('messages', _P2)} {_w(_MSG(20))}",
+    "e5_recall_topk": f"{duck('messages')}, {_bm('messages', _PM)} {_w(_MSG(20))}",
     "e6_recall_context": f"{duck('context_items')}, {_bm('context_items', _P2)} {_w(_CTX(20))}",
     "e7_bugs": f"{duck('bugs')} {_w(_BUG('THE', 20))}",
     "e8_entities": f"{duck('entities')} SELECT 'entity' AS target, id, 1.0::DOUBLE AS score, kind || ': ' || name || ' [' || project || ']' AS preview FROM entities WHERE contains(lower(name), 'customer#00000001') ORDER BY id LIMIT 20",
     "e9_merge_targets": f"{duck('messages', 'context_items', 'bugs')}, {_bm('messages', [['what']], 'm')}, {_bm('context_items', [['what']], 'c')} {_w(f'SELECT * FROM (SELECT * FROM ({_MSG(10, M)}) UNION ALL SELECT * FROM ({_CTX(10, C)}) UNION ALL SELECT * FROM ({_BUG(WHAT, 10)})) {_ORD} LIMIT 15')}",
-    "c2_scoped_recall": f"{duck('messages', 'sessions')}, {_bm('messages', _P2, 'all_hits')}, bm AS (SELECT h.* FROM all_hits h JOIN sessions s ON s.id = h.session_id WHERE project IN ('/p1', '/p3')) {_w(_MSG(20))}",
+    "c2_scoped_recall": f"{duck('messages', 'sessions')}, {_bm('messages', _PM, 'all_hits')}, bm AS (SELECT h.* FROM all_hits h JOIN sessions s ON s.id = h.session_id WHERE project IN ('/p1', '/p3')) {_w(_MSG(20))}",
     "e12_cosine_topk": f"WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round({_COS.format(a='embedding', b='e')}, 6) AS cos FROM embeddings, q ORDER BY cos DESC, vec_id LIMIT 20",
     "e16_rrf_hybrid": f"""{duck('context_items')}, {_bm('context_items', _P2)}, q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), p AS ({_CTX(80)}),
 v AS (SELECT vec_id::VARCHAR AS id, round({_COS.format(a='embedding', b='e')}, 6) AS cos FROM embeddings, q WHERE label < 8),

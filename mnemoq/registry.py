@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from mnemoq.functions import commands, shell, text
-from mnemoq.operators import graph, memory, retrieval, telemetry
+from mnemoq.operators import graph, memory, postings, retrieval, telemetry
 from mnemoq.sources import transcripts
 
 FLAGSHIP = "e16_rrf_hybrid"
-_MODULES = (telemetry, retrieval, graph, text, commands, shell, transcripts, memory)
+_MODULES = (telemetry, retrieval, postings, graph, text, commands, shell, transcripts, memory)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -60,7 +60,15 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.unionByName(s).unionByName(c)
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with the parts they deliver, customers with their orders: some entities are in none."""
+    li = read(spark, sf_dir, "lineitem").selectExpr("concat('s:', l_suppkey) as src", "concat('p:', l_partkey) as dst", "l_returnflag = 'R' as closed")
+    return li.unionByName(read(spark, sf_dir, "orders").selectExpr("concat('c:', o_custkey) as src", "concat('o:', o_orderkey) as dst", "o_orderstatus <> 'P' as closed"))
+
+
 DUCK = {
+    "links": """links AS (SELECT 's:' || l_suppkey AS src, 'p:' || l_partkey AS dst, l_returnflag = 'R' AS closed FROM lineitem
+        UNION ALL SELECT 'c:' || o_custkey, 'o:' || o_orderkey, o_orderstatus <> 'P' FROM orders)""",
     "messages": "messages AS (SELECT conv_id || '-' || turn AS id, conv_id::VARCHAR AS session_id, role, text AS content, TIMESTAMP '2024-01-01' + to_hours(conv_id::INT) + to_minutes(turn::INT) AS ts FROM conversations)",
     "sessions": "sessions AS (SELECT DISTINCT conv_id::VARCHAR AS id, '/p' || (conv_id % 7) AS project FROM conversations)",
     "user_sessions": "user_sessions AS (SELECT DISTINCT user_id AS id, '/p' || (user_id % 7) AS project FROM events WHERE user_id % 10 <> 0)",

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemoq.sources import domain
+from mnemoq.sources import domain, line_files, store
 
 GATE_TOKENS = 2000
 EVENT = "type string, sessionId string, cwd string, gitBranch string, timestamp string, uuid string, isSidechain boolean, message struct<role:string, content:variant>, payload struct<id:string, cwd:string, type:string, role:string, content:variant>"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, start, value): lines of text files in order, with each one's first byte."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return with_offsets(whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value")), "file").where("value <> ''")
+def read_lines(spark: SparkSession, path: str, split: str = "64m") -> DataFrame:
+    """(file, start, value, first): finished lines of the files at a path, each with its first byte and its file's first line."""
+    line_files.register(spark)
+    return spark.read.format("line_files").option("split", split).load(path)
 
 
 def with_offsets(lines: DataFrame, by: str) -> DataFrame:
@@ -33,20 +33,24 @@ def flatten(content: Column) -> Column:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """(id, session_id, cwd, role, content, ts) of (file, line_no, start, value), of either shape; the file's first line tells which."""
-    e = lines.withColumn("e", F.from_json("value", EVENT)).where("e is not null")
-    heads = e.groupBy("file").agg(F.min_by(F.struct("e.type", "e.payload.id", "e.payload.cwd"), "line_no").alias("h"))
-    e = e.join(heads, "file")
-    one = e.where((F.col("h.type").isNull() | (F.col("h.type") != "session_meta")) & (F.col("e.type").isin("user", "assistant")) & F.col("e.sessionId").isNotNull() & ~F.coalesce("e.isSidechain", F.lit(False))).select(
-        F.coalesce("e.uuid", F.concat("file", F.lit("#"), F.col("start").cast("string"))).alias("id"), F.col("e.sessionId").alias("session_id"), F.col("e.cwd").alias("cwd"), F.coalesce("e.message.role", "e.type").alias("role"), flatten(F.col("e.message.content")).alias("content"), F.col("e.timestamp").alias("ts"), "file", "line_no")
-    two = e.where("h.type = 'session_meta' and e.type = 'response_item' and e.payload.type = 'message' and e.payload.role in ('user', 'assistant')").select(
-        F.concat(F.lit("codex-"), "h.id", F.lit("-"), F.col("start").cast("string")).alias("id"), F.col("h.id").alias("session_id"), F.col("h.cwd").alias("cwd"), F.col("e.payload.role").alias("role"), flatten(F.col("e.payload.content")).alias("content"), F.col("e.timestamp").alias("ts"), "file", "line_no")
-    return one.unionByName(two).where("content <> ''")
+    """(id, session_id, cwd, role, content, ts, file, start) of (file, start, value, first), of either shape: the file's first line
+    tells which. Within the row, so for streams, too. A message without an id of its own has its place as one."""
+    e = lines.withColumns({"e": F.from_json("value", EVENT), "h": F.from_json("first", "type string, payload struct<id:string, cwd:string>")}).where("e is not null")
+    meta, p = F.coalesce(F.col("h.type") == "session_meta", F.lit(False)), "e.payload"
+    place = F.concat("file", F.lit("#"), F.col("start").cast("string"))
+    one = ~meta & F.col("e.type").isin("user", "assistant") & F.col("e.sessionId").isNotNull() & ~F.coalesce("e.isSidechain", F.lit(False))
+    two = meta & (F.col("e.type") == "response_item") & (F.col(f"{p}.type") == "message") & F.col(f"{p}.role").isin("user", "assistant")
+    either = lambda a, b: F.when(meta, b).otherwise(a)
+    return e.where(one | two).select(
+        either(F.coalesce("e.uuid", place), F.concat(F.lit("codex-"), "h.payload.id", F.lit("-"), F.col("start").cast("string"))).alias("id"),
+        either(F.col("e.sessionId"), F.col("h.payload.id")).alias("session_id"), either(F.col("e.cwd"), F.col("h.payload.cwd")).alias("cwd"),
+        either(F.coalesce("e.message.role", "e.type"), F.col(f"{p}.role")).alias("role"),
+        flatten(either(F.col("e.message.content"), F.col(f"{p}.content"))).alias("content"), F.col("e.timestamp").alias("ts"), "file", "start").where("content <> ''")
 
 
 def sessions(messages: DataFrame) -> DataFrame:
     """The first line seen of a session names its folder and start."""
-    return messages.groupBy("session_id").agg(F.min_by(F.struct("cwd", "ts"), F.struct("file", "line_no")).alias("s")).select(F.col("session_id").alias("id"), "s.cwd", F.col("s.ts").alias("started_at"))
+    return messages.groupBy("session_id").agg(F.min_by(F.struct("cwd", "ts"), F.struct("file", "start")).alias("s")).select(F.col("session_id").alias("id"), "s.cwd", F.col("s.ts").alias("started_at"))
 
 
 def new_rows(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -85,7 +89,15 @@ def _json(s: SparkSession, d: str) -> DataFrame:
     block = F.to_json(F.expr("array(named_struct('type', 'text', 'text', text, 'thinking', null), named_struct('type', 'thinking', 'text', null, 'thinking', 'so'), named_struct('type', 'tool_use', 'text', 'x', 'thinking', null))"))
     content = F.when(F.col("turn") % 2 == 1, block).otherwise(F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2))
     line = F.concat(F.lit('{"type":"'), "role", F.lit('","sessionId":"'), "conv_id", F.lit('","uuid":"'), "conv_id", F.lit("-"), "turn", F.lit('","isSidechain":'), F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, "true").otherwise("false"), F.lit(',"message":{"role":"'), "role", F.lit('","content":'), content, F.lit("}}"))
-    return with_offsets(c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line_no"), line.alias("value")), "file")
+    return with_offsets(c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line_no"), line.alias("value")), "file").withColumn("first", F.lit("{}"))
+
+
+def _laid_out(s: SparkSession, d: str) -> DataFrame:
+    """The same lines, written to 16 text files in the shared folder and read again by byte ranges of 64 KB."""
+    path = store.folder(s, "transcripts")
+    rows = _json(s, d).withColumn("part", F.pmod(F.xxhash64("file"), F.lit(16)))
+    rows.repartition(16, "part").sortWithinPartitions("part", "file", "line_no").select("value", "part").write.partitionBy("part").text(path)
+    return read_lines(s, path, "64k")
 
 
 def _log(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -96,8 +108,12 @@ def _log(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _brief(s: SparkSession, d: str) -> DataFrame:
-    r = domain.bugs(s, d).where("id % 4 = 0").selectExpr("id", "project", "ts", "summary as rule")
-    return brief(r, domain.bugs(s, d), domain.context_items(s, d).where("kind = 'decision'").withColumn("content", F.left("content", F.lit(40))))
+    r = domain.bugs(s, d).selectExpr("id", "project", "ts", "summary as rule")
+    return brief(r, domain.bugs(s, d), domain.context_items(s, d).where("kind = 'decision'"))
+
+
+def _sessions(s: SparkSession, d: str) -> DataFrame:
+    return sessions(domain.read(s, d, "events").selectExpr("user_id as session_id", "event_type as cwd", "value as ts", "'' as file", "event_id as start"))
 
 
 QUERIES = {
@@ -105,7 +121,8 @@ QUERIES = {
     "a8_byte_offsets": lambda s, d: with_offsets(domain.read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "value")), "doc_id").select("doc_id", "line_no", "start"),
     "a10_resume": lambda s, d: resume(*_log(s, d)),
     "a12_latest": lambda s, d: latest(domain.read(s, d, "events").selectExpr("user_id", "event_id", "event_type", "value"), "user_id", "event_id"),
-    "a13_first_session": lambda s, d: domain.read(s, d, "events").groupBy("user_id").agg(F.min_by(F.struct("event_type", "value"), "event_id").alias("r")).select("user_id", "r.*"),
+    "a11_line_source": lambda s, d: parse(_laid_out(s, d)).select("id", "session_id", "role", F.sha2(F.col("content").cast("binary"), 256).alias("sha")),
+    "a13_first_session": _sessions,
     "b12_brief": _brief,
 }
 _part = lambda view, title, text, o, w: f"SELECT project, {o} AS o, '## {title}' || chr(10) || string_agg('- ' || {text}, chr(10) ORDER BY r) AS s FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, id) AS r FROM {view} WHERE {w}) WHERE r <= 5 GROUP BY project"
@@ -114,7 +131,8 @@ ORACLES = {
     "a8_byte_offsets": "SELECT doc_id, i::INT AS line_no, (sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n)::BIGINT AS start FROM (SELECT doc_id, i - 1 AS i, strlen(l[i]) + 1 AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))",
     "a10_resume": "SELECT '/t/' || c_custkey AS path, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 7 = 0 OR c_custkey * 10 < c_custkey * (9 + c_custkey % 3) THEN 0 WHEN c_custkey * 10 > c_custkey * (9 + c_custkey % 3) THEN c_custkey * (9 + c_custkey % 3) END::BIGINT AS start FROM customer",
     "a12_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1",
-    "a13_first_session": "SELECT user_id, arg_min(event_type, event_id) AS event_type, arg_min(value, event_id) AS value FROM events GROUP BY 1",
-    "b12_brief": f"""{domain.duck('bugs', 'context_items')}, p AS ({_part('bugs', 'Do not repeat', 'summary', 0, 'id % 4 = 0')} UNION ALL {_part('bugs', 'Open bugs', 'summary', 1, 'NOT resolved')} UNION ALL {_part('context_items', 'Decisions', 'left(content, 40)', 2, "kind = 'decision'")})
+    "a13_first_session": "SELECT user_id AS id, arg_min(event_type, event_id) AS cwd, arg_min(value, event_id) AS started_at FROM events GROUP BY 1",
+    "b12_brief": f"""{domain.duck('bugs', 'context_items')}, p AS ({_part('bugs', 'Do not repeat', 'summary', 0, 'true')} UNION ALL {_part('bugs', 'Open bugs', 'summary', 1, 'NOT resolved')} UNION ALL {_part('context_items', 'Decisions', 'content', 2, "kind = 'decision'")})
 SELECT project, string_agg(s, chr(10) || chr(10) ORDER BY o) AS brief FROM p GROUP BY project""",
 }
+ORACLES["a11_line_source"] = ORACLES["a7_parse_json"]

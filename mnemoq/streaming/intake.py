@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoq.operators.telemetry import is_saving, saved
-from mnemoq.sources.transcripts import EVENT, flatten
+from mnemoq.sources import line_files
+from mnemoq.sources.transcripts import parse
 
 
 def stream_messages(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame:
-    """Messages of one-event-a-line transcripts in a folder; files read again add nothing within the watermark."""
-    e = spark.readStream.text(folder).withColumn("e", F.from_json("value", EVENT))
-    e = e.where(F.col("e.type").isin("user", "assistant") & F.col("e.sessionId").isNotNull() & ~F.coalesce("e.isSidechain", F.lit(False)))
-    m = e.select(F.col("e.uuid").alias("id"), F.col("e.sessionId").alias("session_id"), F.coalesce("e.message.role", "e.type").alias("role"), flatten(F.col("e.message.content")).alias("content"), F.to_timestamp("e.timestamp").alias("ts"))
-    return m.where("content <> ''").withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    """Messages of the transcripts in a folder, of both shapes, as their lines are finished; files that are read again add
+    nothing within the watermark. A message without an id of its own has its file and place as one."""
+    line_files.register(spark)
+    m = parse(spark.readStream.format("line_files").load(folder)).withColumn("ts", F.to_timestamp("ts"))
+    return m.select("id", "session_id", "role", "content", "ts").withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
 
 
 def windowed_savings(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
