@@ -7,32 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoq.functions.text import combine, dedup_runs, drop_matching, lines, or_raw, strip_ansi, tail_lines, truncate_lines, unlines, window
+from mnemoq.functions import automata
+from mnemoq.functions.text import KINDS, MARK, brevity, combine, dedup_runs, drop_matching, lines, n_tokens, normalize, or_raw, strip_ansi, tail_lines, target_tokens, truncate_lines, unlines, window, with_extract
 from mnemoq.sources import domain
 
 # ---- line filters --------------------------------------------------------------------------------
-# fixed values: what each tool prints while it works, at the start of a line
-CARGO_NOISE = r"^(Compiling|Checking|Downloading|Downloaded|Updating|Fresh|Finished|Running|Blocking|Locking|Adding|Documenting|Building)\b"
-CARGO_PASS = r"^(test .* \.\.\. ok$|PASS \[|running \d+ tests?$)"
+# fixed values: what git prints while it works, at the start of a line
 GIT_NOISE = r"^(remote: )?(Enumerating|Counting|Compressing|Receiving|Writing|Unpacking|Resolving|Delta compression|Total)\b"
-GIT_HINTS = r"^(\(use |Your branch is up to date|$)"
-GIT_MODES = r"^(create mode|delete mode|rename |copy |mode change)"
-PYTEST_NOISE = r"^(\S+ PASSED|\S+::\S+ PASSED|[.sx]+ *\[ *\d+%\]$|platform |rootdir:|plugins:|collected |cachedir:)"
-PIP_NOISE = r"^(Collecting|Downloading|Using cached|Requirement already|Installing collected|Preparing|Building wheel|Created wheel|Stored in|Getting requirements)"
-UV_NOISE = r"^(Resolved|Prepared|Downloading|Downloaded|Building|Audited|\+ )"
-NPM_NOISE = r"^(npm (warn|notice|http|timing)|⸩|\[\d+/\d+\]|idealTree|reify)"
-JS_NOISE = r"^(✓|✔|PASS |√)"
-YARN_NOISE = r"^(\[\d+/\d+\]|info |Progress:|Resolving|Packages:|\+{3,}|warning )"
-GO_NOISE = r"^(=== (RUN|PAUSE|CONT)|--- PASS|PASS$)"
-GO_GET = r"^go: (downloading|finding|extracting|added)"
-BAZEL_NOISE = r"^(Loading:|Analyzing:|INFO:|DEBUG:|\[\d+ / \d+\]|Computing main repo)"
-BAZEL_PASS = r"^\S+ +(\(cached\) )?PASSED"
-LINT_NOISE = r"^(Checking|All checks passed|Success:|✨|$)"
-MAKE_NOISE = r"^(make(\[\d+\])?: (Entering|Leaving) directory|(cc|gcc|g\+\+|clang|ar|ld|echo|mkdir|install)\b)"
-JVM_NOISE = r"^(\[INFO\] *(Downloading|Downloaded|---|$)|Download(ing)? |> Task .*(UP-TO-DATE|NO-SOURCE|FROM-CACHE)?$|Progress )"
-AUDIT_NOISE = r"^(Fetching|Loaded|Updating|Scanning)\b"
-DESCRIBE_DROPPED = r"^(Spec|Annotations|Labels|Selector|Volumes|Node-Selectors|Tolerations|QoS Class):"
-TREE_DEEP = r"^(?:[│ ]   ){3,}"
+GIT_HINTS = r"^(\(use |Your branch is up to date|no changes added to commit|$)"
 
 Rule = Callable[[Column], Column]
 
@@ -54,15 +36,6 @@ def _then(*rules: Rule) -> Rule:
     return run
 
 
-def _count(ls: Column, pattern: str) -> Column:
-    return F.size(F.filter(ls, lambda x: F.regexp_like(x, F.lit(pattern))))
-
-
-def _trailer(pattern: str, unit: str, rule: Rule) -> Rule:
-    """The rule, then a line with the number of input lines that match."""
-    return lambda ls: F.concat(rule(ls), F.when(_count(ls, pattern) > 0, F.array(F.concat(F.lit("["), _count(ls, pattern).cast("string"), F.lit(f" {unit}]")))).otherwise(F.array().cast("array<string>")))
-
-
 def git_log(ls: Column) -> Column:
     """A commit as its short hash and first subject line; the number of commits last."""
     at = lambda i: F.get(ls, i)
@@ -92,17 +65,6 @@ def git_diff(ls: Column) -> Column:
     return F.when(F.size(heads) == 0, ls).otherwise(F.transform(heads, one))
 
 
-def sections(drop: str, header: str) -> Rule:
-    """Without the sections whose header matches; a section runs to the next header."""
-    def run(ls: Column) -> Column:
-        state = F.aggregate(ls, F.struct(F.lit(False).alias("off"), F.array().cast("array<string>").alias("out")), lambda s, x: F.when(
-            F.regexp_like(x, F.lit(header)), F.struct(F.regexp_like(x, F.lit(drop)).alias("off"), F.when(F.regexp_like(x, F.lit(drop)), s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"))
-        ).otherwise(F.struct(s["off"].alias("off"), F.when(s["off"], s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"))))
-        return state["out"]
-
-    return run
-
-
 def grouped(key: str, rest: str, most: int) -> Rule:
     """Lines `key` + `rest` by key in first-seen order; a key with one line stays in line."""
     def run(ls: Column) -> Column:
@@ -120,22 +82,15 @@ def grouped(key: str, rest: str, most: int) -> Rule:
     return run
 
 
-_cargo = _then(_drop(CARGO_NOISE), dedup_runs)
-FILTERS: dict[str, Rule] = {
+#: what is done with the lines as a whole, after the filter's state table, if it has one
+SHAPES: dict[str, Rule] = {
     "git_log": git_log, "git_diff": git_diff, "git_show": git_diff, "git_status": _then(_drop(GIT_HINTS), _cap(200, "entries")),
-    "git_push": _drop(GIT_NOISE), "git_pull": _drop(GIT_NOISE), "git_fetch": _drop(GIT_NOISE), "git_commit": _drop(GIT_MODES),
-    "cargo_build": _trailer("^warning", "warnings", _cargo), "cargo_check": _trailer("^warning", "warnings", _cargo), "cargo_doc": _cargo, "cargo_clippy": _cargo,
-    "cargo_test": _trailer(r"\.\.\. ok$", "passed", _then(_drop(CARGO_NOISE), _drop(CARGO_PASS))), "cargo_bench": _drop(CARGO_NOISE), "cargo_audit": _drop(AUDIT_NOISE), "cargo_tree": _then(_drop(TREE_DEEP), _cap(200, "entries")),
-    "npm_install": _drop(NPM_NOISE), "npm_test": _drop(JS_NOISE), "js_test": _trailer(JS_NOISE, "passed", _drop(JS_NOISE)), "yarn_install": _drop(YARN_NOISE), "pnpm_install": _drop(YARN_NOISE),
-    "pytest": _trailer("PASSED", "passed", _drop(PYTEST_NOISE)), "pip_install": _drop(PIP_NOISE), "pip_list": _cap(200, "packages"), "uv": _drop(UV_NOISE),
-    **{k: _trailer("error", "errors", _drop(LINT_NOISE)) for k in ("ruff", "mypy", "eslint", "tsc")},
-    "go_test": _trailer("^ok", "packages ok", _drop(GO_NOISE)), "go_build": _trailer(r"^\S+\.go:\d+", "errors", lambda x: x), "go_vet": _trailer(r"^\S+\.go:\d+", "errors", lambda x: x), "go_mod_tidy": _drop(GO_GET), "go_mod_download": _drop(GO_GET),
-    "bazel_build": _trailer("^ERROR:", "errors", _drop(BAZEL_NOISE)), "bazel_test": _trailer("FAILED|FLAKY|TIMEOUT", "not passed", _then(_drop(BAZEL_NOISE), _drop(BAZEL_PASS))), "bazel_query": _then(_drop(BAZEL_NOISE), _cap(200, "targets")),
-    "docker_ps": _cap(100, "rows"), "docker_logs": lambda x: tail_lines(x, 200), "docker_compose": _cap(100, "rows"), "kubectl_get": _cap(100, "rows"), "kubectl_logs": lambda x: tail_lines(x, 200),
-    "kubectl_describe": sections(DESCRIBE_DROPPED, r"^[^ \n][^\n]*:"),
-    "gh_list": _cap(50, "rows"), "gh_view": _cap(200, "lines"), "make": _drop(MAKE_NOISE), "mvn": _drop(JVM_NOISE), "gradle": _drop(JVM_NOISE),
-    "rg": grouped(r"^([^:\n]+):\d+:", r"^[^:\n]+:(.*)$", 200), "fd": grouped(r"^(.*/)[^/]+$", r"([^/]+)$", 1000), "find": grouped(r"^(.*/)[^/]+$", r"([^/]+)$", 1000),
-    "tree": _then(_drop(TREE_DEEP), lambda x: F.slice(x, 1, 200)), "ls": _cap(200, "entries"), "read_cat": _then(dedup_runs, window), "read_head_tail": dedup_runs, "generic": dedup_runs,
+    "git_push": _drop(GIT_NOISE), "git_pull": _drop(GIT_NOISE), "git_fetch": _drop(GIT_NOISE),
+    "cargo_tree": _cap(200, "entries"), "tree": _cap(200, "entries"), "ls": _cap(200, "entries"), "pip_list": _cap(200, "packages"), "bazel_query": _cap(200, "targets"),
+    "docker_ps": _cap(100, "rows"), "docker_compose": _cap(100, "rows"), "kubectl_get": _cap(100, "rows"), "gh_list": _cap(50, "rows"),
+    "docker_logs": lambda x: tail_lines(x, 200), "kubectl_logs": lambda x: tail_lines(x, 200),
+    "fd": grouped(r"^(.*/)[^/]+$", r"([^/]+)$", 1000), "find": grouped(r"^(.*/)[^/]+$", r"([^/]+)$", 1000),
+    "read_cat": _then(dedup_runs, window), "read_head_tail": dedup_runs,
 }
 
 # fixed values: (command, first argument, second argument, filter); an empty argument matches any
@@ -231,24 +186,39 @@ def pick(cmd: Column, args: Column) -> Column:
     base = F.substring_index(cmd, "/", -1)
     plain = F.when(base == "git", F.regexp_extract_all(F.regexp_replace(F.concat_ws("\n", args), r"^(?:-[cC]\n[^\n]*\n|--[^\n]*\n)+", ""), F.lit(r"[^\n]+"), F.lit(0))).otherwise(args)
     first, second = F.coalesce(F.get(plain, F.lit(0)), F.lit("")), F.coalesce(F.get(plain, F.lit(1)), F.lit(""))
-    out = F.lit("generic")
-    for c, a, b, name in reversed(DISPATCH):
-        hit = cmd == c if "/" in c else base == c
-        hit = hit & (first == a) if a else hit
-        hit = hit & (second == b) if b else hit
-        out = F.when(hit, name).otherwise(out)
-    return out
+    table = F.create_map(*[F.lit(x) for c, a, b, name in DISPATCH for x in (f"{c}\n{a}\n{b}", name)])
+    at = lambda c, a, b: F.element_at(table, F.concat_ws("\n", c, a, b))
+    none = F.lit("")
+    return F.coalesce(at(cmd, none, none), at(cmd, first, none), at(base, first, second), at(base, first, none), at(base, none, none), F.lit("generic"))
 
 
 def filtered(frames: DataFrame) -> DataFrame:
-    """frames (cmd, args, stdout, stderr, exit_code) with filter_id and text; what a filter would empty is shown raw."""
+    """frames (cmd, args, stdout, stderr, exit_code) with filter_id and text. Lines go through the state table of their filter, then
+    through its shape; what that would empty is shown raw. Commands without a filter of their own are compressed."""
+    names = frames.columns
     d = frames.withColumn("filter_id", pick(F.col("cmd"), F.col("args"))).withColumn("_raw", combine(F.col("stdout"), F.col("stderr"))).withColumn("_ls", lines(strip_ansi(F.col("_raw"))))
+    d = automata.run(d)
     out = F.col("_ls")
-    for name, rule in FILTERS.items():
-        out = F.when(F.col("filter_id") == name, rule(F.col("_ls"))).otherwise(out)
-    logs = (F.col("filter_id") == "docker_compose") & (F.get("args", F.lit(1)) == "logs")
-    out = F.when(logs, tail_lines(F.col("_ls"), 200)).otherwise(out)
-    return d.withColumn("_o", out).withColumn("text", or_raw(unlines(F.col("_o")), F.col("_raw"))).drop("_raw", "_ls", "_o")
+    for name, rule in SHAPES.items():
+        if name == "docker_compose":
+            out = F.when((F.col("filter_id") == name) & (F.get("args", F.lit(1)) == "logs"), tail_lines(F.col("_ls"), 200)).otherwise(out)
+            out = F.when((F.col("filter_id") == name) & ~F.coalesce(F.get("args", F.lit(1)) == "logs", F.lit(False)), rule(F.col("_ls"))).otherwise(out)
+        else:
+            out = F.when(F.col("filter_id") == name, rule(F.col("_ls"))).otherwise(out)
+    other = F.col("filter_id") == "generic"
+    # numbers keep steps apart that are too much for one generated method together
+    shaped = unlines(F.when(F.col("_k") >= 0, F.col("_o")))
+    rest = d.where(~other).select(*names, "filter_id", "_raw", "_trailer", out.alias("_o"), F.monotonically_increasing_id().alias("_k"))
+    rest = rest.select(*names, "filter_id", "_raw", "_trailer", shaped.alias("_t"), F.monotonically_increasing_id().alias("_n"))
+    own = F.when(F.col("_trailer").isNull() & (F.col("_n") >= 0), or_raw(F.col("_t"), F.col("_raw"))).otherwise(F.concat("_t", "_trailer", F.lit("\n")))
+    rest = rest.select(*[F.col(f"`{c}`") for c in names], "filter_id", own.alias("text"))
+    d = d.where(other).select(*names, "filter_id", "_raw", F.monotonically_increasing_id().alias("_n"))
+    d = with_extract(d.withColumn("_g", F.when(F.col("_n") >= 0, KINDS["tool_output"](normalize(F.col("_raw"))))), target_tokens(F.col("_raw"), 0.5), "_g")
+    d = d.withColumn("_m", F.monotonically_increasing_id())
+    body = F.when(F.col("_m") >= 0, unlines(F.coalesce("_picks", F.array().cast("array<string>"))))
+    d = d.select(*names, "filter_id", "_raw", body.alias("_b"), F.monotonically_increasing_id().alias("_k"))
+    text = F.when((n_tokens(F.col("_raw")) > 0) & (F.col("_k") >= 0), F.concat(F.lit(MARK + "\n"), brevity(F.col("_b")))).otherwise(F.col("_raw"))
+    return rest.unionByName(d.select(*[F.col(f"`{c}`") for c in names], "filter_id", text.alias("text")))
 
 
 # ---- scalars -------------------------------------------------------------------------------------
@@ -291,6 +261,73 @@ def _patterns(s: SparkSession, d: str) -> DataFrame:
     return domain.read(s, d, "part").select("p_partkey", F.replace(F.element_at(shapes, (F.col("p_partkey") % 14).cast("int") + 1), F.lit("{n}"), F.regexp_replace("p_name", " ", "_")).alias("p"))
 
 
+#: planted outputs: (command, arguments, output, exit code) and the text that its filter must give; {n} is the row's number
+PLANTED: dict[str, tuple[str, str, str, int, str]] = {
+    "h16_cargo_build": ("cargo", "build", "   Compiling p{n} v0.1\nwarning: unused `v{n}`\n  --> src/a.rs:{n}:1\n   |\n 3 | let x;\n   = note: n\n\nwarning: 1 warning emitted\nerror[E0{n}]: bad\n  --> b.rs:2:1\n   |\n\n    Finished dev\n", 101,
+                        "warning: unused `v{n}`\n  --> src/a.rs:{n}:1\nwarning: 1 warning emitted\nerror[E0{n}]: bad\n  --> b.rs:2:1\n   |\n\n[2 warnings, 1 errors, exit 101]\n"),
+    "h16_cargo_check": ("cargo", "check", "    Checking a{n}\nwarning: w\n  --> x.rs:1:1\n  --> y.rs:1:1\nplain\n\nafter {n}\n", 0, "warning: w\n  --> x.rs:1:1\nafter {n}\n[1 warnings, 0 errors, exit 0]\n"),
+    "h17_cargo_clippy": ("cargo", "clippy", "warning: this {n}\n  --> a.rs:1:1\n  | body\n\n\nwarning: that\n", 0, "warning: this {n}\n  --> a.rs:1:1\n  | body\n\nwarning: that\n[2 warnings, 0 errors, exit 0]\n"),
+    "h18_cargo_test": ("cargo", "test", "running 4 tests\ntest a::b{n} ... ok\ntest a::c ... ignored\ntest a::d ... FAILED\n\n---- a::d stdout ----\nthread 'd' panicked at {n}\nstack backtrace:\n   0: x\n   1: y\n\nnote: run with `RUST_BACKTRACE=1`\nPASS [   0.005s] p q{n}\nFAIL [   0.100s] p r\ntest result: FAILED\n", 101,
+                       "running 4 tests\ntest a::d ... FAILED\n\n---- a::d stdout ----\nthread 'd' panicked at {n}\n\nFAIL [   0.100s] p r\ntest result: FAILED\n[tests 4 (passed 2, failed 2, ignored 1), exit 101]\n"),
+    "h19_cargo_bench": ("cargo", "bench", "     Running benches/b{n}\ntest b{n} ... bench: 5 ns/iter\ntest c ... bench: 6 ns/iter\n", 0, "test b{n} ... bench: 5 ns/iter\ntest c ... bench: 6 ns/iter\n[2 results, exit 0]\n"),
+    "h20_cargo_audit": ("cargo", "audit", "    Fetching advisory database from x\n    Scanning Cargo.lock\nID: R-{n}\n", 1, "ID: R-{n}\n[exit 1]\n"),
+    "h15_git_commit": ("git", "commit", "[main a{n}] m\n 2 files changed\n create mode 100644 x\n rename a => b{n}\n", 0, "[main a{n}] m\n 2 files changed\n[2 file-mode lines hidden]\n"),
+    "h22_npm_install": ("npm", "i", "added 3 packages\nadded 5 packages in 2s\n\nup to date, audited {n} packages\n", 0, "added 5 packages in 2s\nup to date, audited {n} packages\n[exit 0]\n"),
+    "h23_npm_test": ("npm", "t", "  ✓ works {n}\nPASS a.js\n  ✕ fails {n}\n", 1, "  ✕ fails {n}\n[exit 1]\n"),
+    "h24_pytest": ("pytest", "", "....x [ 50%]\nt.py::a{n} PASSED\nt.py::b FAILED\nE assert {n}\n", 1, "t.py::b FAILED\nE assert {n}\n[dropped 2 progress and passed lines, exit 1]\n"),
+    "h25_pip_install": ("pip", "install", "Collecting a{n}\n  Downloading a.whl\nSuccessfully installed a-{n}\n", 0, "Successfully installed a-{n}\n[dropped 2 progress lines, exit 0]\n"),
+    "h27_uv": ("uv", "sync", "Resolved 12 packages in 1ms\n + a==1\nwarning: {n}\n", 0, "warning: {n}\n[dropped 2 progress lines, exit 0]\n"),
+    "h28_ruff": ("ruff", "check", "All checks passed!\na.py:{n}: E1\n", 1, "a.py:{n}: E1\n[exit 1]\n"),
+    "h28_mypy": ("mypy", "", "Success: no issues found\na.py:{n}: error: x\nb.py:1: note: y\n", 1, "a.py:{n}: error: x\nb.py:1: note: y\n[1 errors, exit 1]\n"),
+    "h28_eslint": ("eslint", "src", "a.js\n  {n}:1  error  bad\n  2:1  warning  so, an error too\n", 1, "a.js\n  {n}:1  error  bad\n  2:1  warning  so, an error too\n[2 errors, 1 warnings, exit 1]\n"),
+    "h28_tsc": ("tsc", "", "Starting compilation in watch mode\na.ts({n},1): error TS2304: x\n", 2, "a.ts({n},1): error TS2304: x\n[1 errors, exit 2]\n"),
+    "h29_go_test": ("go", "test", "=== RUN   TestA{n}\n--- PASS: TestA (0.00s)\n--- FAIL: TestB{n} (0.00s)\npanic: x\ngoroutine 7 [running]:\nmain.f()\n\t/a.go:1\n\nexit\ngoroutine 8 [chan]:\ng()\nFAIL\tp/a{n}\t0.1s\nok  \tp/b\t0.2s\nok\tp/c\t0.2s\nPASS\n", 1,
+                    "--- FAIL: TestB{n} (0.00s)\npanic: x\nexit\nFAIL\tp/a{n}\t0.1s\nok  \tp/b\t0.2s\nok\tp/c\t0.2s\n[2 packages ok, 1 failed, exit 1]\n"),
+    "h30_go_build": ("go", "build", "# p{n}\na.go:1:2: undefined: x\nb.go:2:1: some error\nnote\n", 1, "# p{n}\na.go:1:2: undefined: x\nb.go:2:1: some error\nnote\n[2 errors, exit 1]\n"),
+    "h31_go_mod": ("go", "mod tidy", "go: downloading a v{n}\ngo: finding b\ngo: warning {n}\n", 0, "go: warning {n}\n[dropped 2 progress lines, exit 0]\n"),
+    "h32_bazel_build": ("bazelisk", "build", "Loading: 0\n[1,024 / 2,048] Compiling\nERROR: //a:{n} failed\nINFO: Build completed\n", 1, "ERROR: //a:{n} failed\nINFO: Build completed\n[1 errors, exit 1]\n"),
+    "h33_bazel_test": ("bazel", "test", "//a:x{n} PASSED in 1s\n//a:y FAILED in {n}s\n//a:z (cached) PASSED\n//a:f FLAKY\nsummary\n", 3, "//a:y FAILED in {n}s\n//a:f FLAKY\nsummary\n[2 passed, 2 failed targets, exit 3]\n"),
+    "h34_bazel_query": ("bazel", "aquery", "Loading: 1\n//a:{n}\n//b:c\n", 0, "//a:{n}\n//b:c\n"),
+    "h35_yarn": ("yarn", "add", "[1/4] Resolving packages\n[2/4] Fetching packages\nsuccess {n}\n", 0, "success {n}\n[dropped 2 progress lines, exit 0]\n"),
+    "h35_pnpm": ("pnpm", "i", "Progress: resolved 1\n...\ndependencies: {n}\n", 0, "dependencies: {n}\n[dropped 2 progress lines, exit 0]\n"),
+    "h36_js_test": ("mocha", "", "  ✓ a {n}\nPASS b\nok 1\nnot ok {n}\n", 1, "not ok {n}\n[dropped 3 pass lines, exit 1]\n"),
+    "h41_kubectl_describe": ("kubectl", "describe", "Name:   p{n}\nLabels: a=b\n        c=d\nAnnotations: x\nStatus: Running\nSpec:\n  y: z\nConditions:\n  Ready True {n}\nSelector: q\n  w\nOther:\n  kept\nQoS Class: Best\nEvents: none\n", 0,
+                             "Name:   p{n}\nStatus: Running\nConditions:\n  Ready True {n}\nOther:\n  kept\nEvents: none\n[describe trimmed, exit 0]\n"),
+    "h43_gh_view": ("gh", "pr view", "title {n}\n--\nann (2 days ago)\nc2\n--\nc3 {n}\n--\nc4\nbob (3 days ago)\nc5\n", 0, "title {n}\n--\nann (2 days ago)\nc2\n--\nc3 {n}\n[hid 2 comments]\n"),
+    "h44_make": ("make", "all", "make[1]: Entering directory '/a'\ngcc -c x{n}.c\nx.c:1: error {n}\n", 2, "x.c:1: error {n}\n[dropped 2 echo and folder lines, exit 2]\n"),
+    "h45_mvn": ("mvn", "package", "[INFO] Downloading from central: a\n[INFO] BUILD {n}\n", 0, "[INFO] BUILD {n}\n[dropped 1 download lines, exit 0]\n"),
+    "h45_gradle": ("./gradlew", "build", "> Task :compile{n}\nBUILD SUCCESSFUL {n}\n", 0, "BUILD SUCCESSFUL {n}\n[dropped 1 progress lines, exit 0]\n"),
+    "h46_rg": ("rg", "x src", "src/a{n}.rs:1:x\nb.rs:2:y\nsrc/a{n}.rs:3:z\nno match line\nurl\n", 0, "src/a{n}.rs:\n  1:x\n  3:z\nb.rs:2:y\nno match line\nurl\n"),
+    "h46_rg_context": ("grep", "-rnA2 x", "a.rs:{n}:x\na.rs-2-y\na.rs:3:z\n", 0, "a.rs:{n}:x\na.rs-2-y\na.rs:3:z\n"),
+    "h47_tree": ("tree", "", ".\n├── a{n}\n│   ├── b\n│   │   └── c\n│   │   │   └── d\n", 0, ".\n├── a{n}\n│   ├── b\n│   │   └── c\n[hid 1 entries below depth 3]\n"),
+    "h50_read_cat": ("cat", "-n src/a.py", "# head {n}\nx = {n}\n\n\n\n  # in\ny\ny\ny\n", 0, "x = {n}\n\ny\n  + 2 more identical lines\n"),
+    "h51_read_head": ("head", "-n 20 a.go", "// c\nfunc f{n}() {\n  // d\n}\n", 0, "func f{n}() {\n}\n"),
+    "h51_read_text": ("tail", "-n 5 notes.txt", "# kept {n}\n\n\n", 0, "# kept {n}\n\n  + 1 more identical lines\n"),
+    "h39_compose_logs": ("docker", "compose logs", "".join(f"l{i} {{n}}\n" for i in range(203)), 0, "… 3 earlier lines\n" + "".join(f"l{i} {{n}}\n" for i in range(3, 203))),
+    "h39_compose_ps": ("docker", "compose ps", "".join(f"r{i} {{n}}\n" for i in range(103)), 0, "".join(f"r{i} {{n}}\n" for i in range(100)) + "… 3 more rows\n"),
+    "h12_git_status": ("git", "status", "On branch b{n}\nYour branch is up to date with x\n  (use \"git add\")\n\n\tmodified: f{n}\n", 0, "On branch b{n}\n\tmodified: f{n}\n"),
+    "h14_git_push": ("git", "push", "Enumerating objects: {n}\nremote: Resolving deltas: 1\nTo x\n a..b main\n", 0, "To x\n a..b main\n"),
+    "h10_git_log": ("git", "log", "commit abcdef0{n}aaaa\nAuthor: a\n\n    Subject {n}\n\n    body\ncommit 1234567890ab\n\n    Second\n", 0, "abcdef0 Subject {n}\n1234567 Second\n2 commits\n"),
+    "h11_git_diff": ("git", "diff", "diff --git a/x{n} b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,3 @@\n-old {n}\n+new\n+more\n ctx\n", 1, "diff --git a/x{n} b/x\n@@ -1,2 +1,3 @@ +2 -1 :: -old {n}\n"),
+}
+
+
+def _planted(name: str):
+    cmd, args, out, code, _ = PLANTED[name]
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        p = domain.read(s, d, "part").select("p_partkey", F.lit(cmd).alias("cmd"), F.array(*[F.lit(a) for a in args.split()]).cast("array<string>").alias("args"),
+                                             F.replace(F.lit(out), F.lit("{n}"), F.col("p_partkey").cast("string")).alias("stdout"), F.lit("").alias("stderr"), F.lit(code).alias("exit_code"))
+        return filtered(p).select("p_partkey", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+    return run
+
+
+def _expected(name: str) -> str:
+    text = PLANTED[name][4].replace("'", "''").replace("\n", "' || chr(10) || '")
+    return f"SELECT p_partkey, sha256(replace('{text}', '{{n}}', p_partkey::VARCHAR)) AS sha FROM part"
+
+
 QUERIES = {
     "h10_filters": lambda s, d: filtered(_frames(s, d)).select("id", "filter_id", F.length("text").alias("chars")),
     "h9_group_prefix": lambda s, d: domain.context_items(s, d).select("id", F.size(grouped(r"^(\S+) ", r"^\S+ (.*)$", 100)(lines(F.col("content")))).alias("n")),
@@ -304,3 +341,6 @@ ORACLES = {
     "i11_fit_left": domain.duck("entities") + " SELECT id, CASE WHEN length(signature) > 12 THEN '…' || right(signature, 11) ELSE signature END AS fitted FROM entities",
     "i12_csv": domain.duck("bugs") + " SELECT id, CASE WHEN regexp_matches(summary, '[,\"\\n]') THEN '\"' || replace(summary, '\"', '\"\"') || '\"' ELSE summary END AS field FROM bugs",
 }
+
+for _name in PLANTED:
+    QUERIES[_name], ORACLES[_name] = _planted(_name), _expected(_name)

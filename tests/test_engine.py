@@ -100,11 +100,34 @@ def test_command_filters(spark):
     out = {r.i: r for r in commands.filtered(df).collect()}
     assert [out[i].filter_id for i in range(len(frames))] == [f[3] for f in frames]
     assert len(out[0].text) < 0.3 * len(log) and out[0].text.endswith("50 commits\n")
-    assert "Compiling" not in out[1].text and "[1 warnings]" in out[1].text
-    assert out[2].text == "go: downloading x\n"  # shown raw rather than empty
-    assert out[3].text == "a\n  + 2 more identical lines\n"
-    assert "+2 -1 :: -x" in out[4].text and out[5].text == "Name: x\nConditions:\n  Ready True\nStatus: ok\n"
-    assert out[6].text == "f (2)\n  1:a\n  3:c\ng:2:b\n"
+    assert out[1].text == "warning: unused\n[1 warnings, 0 errors, exit 0]\n"
+    assert out[2].text == "[dropped 1 progress lines, exit 0]\n"
+    assert out[3].text == "[compressed]\n+ 2 more identical lines\n"  # the article goes
+    assert "+2 -1 :: -x" in out[4].text and out[5].text == "Name: x\nConditions:\n  Ready True\nStatus: ok\n[describe trimmed, exit 0]\n"
+    assert out[6].text == "f:1:a\ng:2:b\nf:3:c\n"  # no path by its look
+
+
+def test_filters_shrink_what_tools_print(spark):
+    """How much is left of long, typical outputs; the lines that matter stay."""
+    cargo = "".join(f"   Compiling c{i} v0.1\n" for i in range(200)) + "".join(f"warning: w{i}\n  --> a.rs:{i}:1\n   |\n 9 | x\n   | ^\n   = note: n\n\n" for i in range(20)) + "error: bad\n  --> b.rs:1:1\n"
+    tests = "".join(f"test t{i} ... ok\n" for i in range(400)) + "---- t9 stdout ----\npanicked\nstack backtrace:\n" + "   0: f\n" * 90 + "\ntest result: FAILED\n"
+    rg = "".join(f"src/very/long/path/of/a/file{i % 6}.rs:{i}:match\n" for i in range(190))
+    cases = [("cargo", ["build"], cargo, 0.35, "error: bad"), ("cargo", ["test"], tests, 0.1, "panicked"), ("rg", ["match"], rg, 0.5, "189:match"), ("pytest", [], "a.py::t PASSED\n" * 300 + "E x\n", 0.05, "E x")]
+    out = commands.filtered(spark.createDataFrame([(i, c, a, o, "", 1) for i, (c, a, o, *_) in enumerate(cases)], "i int, cmd string, args array<string>, stdout string, stderr string, exit_code int")).collect()
+    for r in out:
+        _, _, raw, most, must = cases[r.i]
+        assert len(r.text) < most * len(raw) and must in r.text, r.filter_id
+
+
+def test_automata_hold_strange_frames(spark):
+    from mnemoq.functions import automata
+
+    frames = [(1, "cargo", ["build"], None, None, None), (2, "cat", None, "x\n", "", 0), (3, "rg", ["-l", "x"], "a\nb\n", "", 0), (4, "rg", ["x"], '{"a":1}\n', "", 0), (5, "rg", ["x"], "a.rs:" + "y" * 3000 + "\n", "", 0),
+              (6, "rg", ["x"], "".join(f"f{i % 3}.rs:{i}:m\n" for i in range(500)), "", 0), (7, "what", [], "", "", 0), (8, "gh", ["pr", "view"], "--\n" * 3, "", 0)]
+    got = {r.i: r.text for r in commands.filtered(spark.createDataFrame(frames, "i int, cmd string, args array<string>, stdout string, stderr string, exit_code int")).collect()}
+    assert got[1] == "[0 warnings, 0 errors, exit ?]\n" and got[2] == "x\n" and got[3] == "a\nb\n" and got[4] == '{"a":1}\n' and got[7] == "" and got[8] == "--\n" * 3
+    assert got[5] == "a.rs:" + "y" * 1000 + "…\n" and got[6].endswith("[300 more matches]\n") and got[6].count("\n") == 203
+    assert all(t.trailer is None or automata.fold(n, [], 0)[0] == [] for n, t in automata.TABLES.items())
 
 
 def test_transcripts_of_both_shapes(spark, tmp_path):

@@ -104,7 +104,8 @@ def test_windowed_savings_drop_late_rows(spark, tmp_path):
     src = tmp_path / "in"
 
     def put(rows):
-        spark.createDataFrame([("wrapped_cmd", "output_filter", "f", 1, a, b, None) for a, b, _ in rows], cols).withColumn("ts", F.to_timestamp(F.element_at(F.array(*[F.lit(t) for _, _, t in rows]), (F.monotonically_increasing_id() + 1).cast("int")))).coalesce(1).write.mode("append").parquet(str(src))
+        df = spark.createDataFrame([(a, b, t) for a, b, t in rows], "input_tokens long, output_tokens long, ts string").coalesce(1)
+        df.selectExpr("'wrapped_cmd' AS kind", "'output_filter' AS feature", "'f' AS filter_id", "1L AS session_id", "input_tokens", "output_tokens", "to_timestamp(ts) AS ts").write.mode("append").parquet(str(src))
 
     put([(100, 40, "2024-01-01 10:10:00")])
     q = intake.windowed_savings(spark.readStream.schema(cols).parquet(str(src))).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "c")).format("memory").queryName("sav").start()
