@@ -82,6 +82,25 @@ def by_project(e: DataFrame, sessions: DataFrame) -> DataFrame:
     return j.agg(*[F.sum(c).cast("long").alias(c) for c in ("n", "input_tokens", "output_tokens", "saved")])
 
 
+#: the totals of every_report, by the columns that they are grouped by
+REPORTS = ("filter", "project", "day", "week", "month")
+
+
+def every_report(e: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(report, key, n, input_tokens, output_tokens, saved): all savings by filter, project, day, week and month, and in all, from
+    one scan and one grouping with sets. Events are summed up by session, filter and day first, so that the join and the
+    sets work on those."""
+    d = F.to_date("ts")
+    s = e.where(is_saving()).groupBy("session_id", F.coalesce("filter_id", F.lit("-")).alias("filter"), d.alias("d")).agg(*_sums(), total_saved().alias("saved"))
+    s = s.join(sessions.withColumnRenamed("id", "session_id"), "session_id", "left").select(
+        "filter", F.coalesce("project", F.lit("?")).alias("project"), F.date_format("d", "yyyy-MM-dd").alias("day"), F.date_format(F.date_sub("d", F.dayofweek("d") - 1), "yyyy-MM-dd").alias("week"),
+        F.date_format("d", "yyyy-MM").alias("month"), "n", "input_tokens", "output_tokens", "saved")
+    g = s.groupingSets([[F.col(c)] for c in REPORTS] + [[]], *[F.col(c) for c in REPORTS]).agg(
+        *[F.sum(c).cast("long").alias(c) for c in ("n", "input_tokens", "output_tokens", "saved")], *[F.grouping(c).alias(f"_{c}") for c in REPORTS])
+    pick = lambda of: F.coalesce(*[F.when(F.col(f"_{c}") == 0, of(c)) for c in REPORTS], F.lit("all"))
+    return g.select(pick(F.lit).alias("report"), pick(F.col).alias("key"), "n", "input_tokens", "output_tokens", "saved").where("n is not null")
+
+
 def by_session(e: DataFrame) -> DataFrame:
     return e.where(is_saving()).groupBy(F.coalesce(F.col("session_id").cast("string"), F.lit("?")).alias("session")).agg(*_sums(), total_saved().alias("saved"))
 
@@ -156,6 +175,7 @@ QUERIES = {
     "d1_kind_feature": _q(by_kind_feature), "d2_by_item": _q(by_item), "d3_by_source": _q(by_source), "d4_summary": _q(summary),
     "d5_daily": _q(lambda e: by_time(e, "day")), "d5_weekly": _q(lambda e: by_time(e, "week")), "d5_monthly": _q(lambda e: by_time(e, "month")),
     "d6_by_project": lambda s, d: by_project(domain.tel_events(s, d), domain.user_sessions(s, d)), "d6_by_session": _q(by_session),
+    "d9_every_report": lambda s, d: every_report(domain.tel_events(s, d), domain.user_sessions(s, d)),
     "d7_history": _q(lambda e: history(e, 50)), "d8_series": _q(lambda e: daily_series(e, 7, "2024-01-20")), "d10_share": _q(shares), "d11_rollup": _q(item_totals), "d12_bars": _q(bars),
     "d16_avg_ratio": _q(filter_ratios), "d17_top_savings": _q(lambda e: top_savings(e, "2024-01-20")), "a34_metrics": _q(metrics), "d18_budget_running": _q(running_budget), "d19_levels": _q(budgets),
     "b2_saved": _q(lambda e: e.select("seq", F.when(is_saving(), saved()).alias("saved"))),
@@ -178,6 +198,9 @@ ORACLES = {
     "d3_by_source": f"{_E} SELECT *, {_P} FROM (SELECT {_SRC} AS source, {_A}, {_T} FROM tel_events WHERE {_S} GROUP BY 1)",
     "d4_summary": f"{_E} SELECT *, {_P} FROM (SELECT {_A}, {_T} FROM tel_events WHERE {_S})",
     "d5_daily": _time("strftime(ts, '%Y-%m-%d')"), "d5_weekly": _time("strftime(ts::DATE - dayofweek(ts)::INT, '%Y-%m-%d')"), "d5_monthly": _time("strftime(ts, '%Y-%m')"),
+    "d9_every_report": f"{duck('tel_events', 'user_sessions')}, s AS (SELECT t.*, project FROM tel_events t LEFT JOIN user_sessions u ON u.id = t.session_id WHERE {_S}) "
+    + " UNION ALL ".join(f"SELECT '{r}' AS report, {k} AS key, {_A}, {_T} FROM s GROUP BY ALL HAVING count(*) > 0" for r, k in (
+        ("filter", "coalesce(filter_id, '-')"), ("project", "coalesce(project, '?')"), ("day", "strftime(ts, '%Y-%m-%d')"), ("week", "strftime(ts::DATE - dayofweek(ts)::INT, '%Y-%m-%d')"), ("month", "strftime(ts, '%Y-%m')"), ("all", "'all'"))),
     "d6_by_project": f"{duck('tel_events', 'user_sessions')} SELECT coalesce(project, '?') AS project, {_A}, {_T} FROM tel_events LEFT JOIN user_sessions ON id = session_id WHERE {_S} GROUP BY 1",
     "d6_by_session": f"{_E} SELECT coalesce(session_id::VARCHAR, '?') AS session, {_A}, {_T} FROM tel_events WHERE {_S} GROUP BY 1",
     "d7_history": f"{_E} SELECT seq, kind, feature, coalesce(filter_id, '-') AS filter_id, input_tokens, output_tokens, {_V} AS saved FROM tel_events WHERE {_S} ORDER BY seq DESC LIMIT 50",

@@ -161,6 +161,13 @@ def test_plans_stay_in_the_engine(spark):
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
+def test_every_report_is_one_grouping(spark):
+    df = registry.QUERIES["d9_every_report"](spark, SMALL)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("Union") == 0
+    assert {r.report for r in df.collect()} == {*telemetry.REPORTS, "all"}
+
+
 @pytest.mark.parametrize(("outs", "want"), [(0, (0, 30)), (4, (4, 26)), (40, (15, 15))])
 def test_neighbourhood_gives_incoming_edges_what_is_left(spark, outs, want):
     rel = [(f"o{i}", "hub", f"e{i}", "CALLS", False) for i in range(outs)] + [(f"i{i:02}", f"e{i}", "hub", "CALLS", False) for i in range(45)]
