@@ -53,17 +53,31 @@ def enclosing(points: DataFrame, anchors: DataFrame, by: str) -> DataFrame:
     return both.where("_pt = 1").drop("_pt", "rank")
 
 
-def load(documents: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of symbol documents: relative_path, symbols[], occurrences[]."""
-    sym = documents.select("relative_path", F.explode("symbols").alias("s")).select("relative_path", "s.*")
-    kinds = sym.groupBy("symbol").agg(F.min("kind").alias("kind"))
+def symbol_kinds(symbols: DataFrame, externals: DataFrame | None) -> DataFrame:
+    """(symbol, kind): its last definition's kind, even where that has none; a symbol that is nowhere defined has the kind of
+    its first external row. Both are extremes of an order, so that a symbol that is in many documents is combined in the tasks."""
+    last = symbols.groupBy("symbol").agg(F.max_by(F.struct("kind"), "place").alias("k"))
+    if externals is None:
+        return last.select("symbol", "k.kind")
+    first = externals.groupBy("symbol").agg(F.min_by(F.struct("kind"), F.struct("part", "doc")).alias("x"))
+    return last.join(first, "symbol", "full_outer").select("symbol", F.coalesce("k", "x")["kind"].alias("kind"))
+
+
+def load(documents: DataFrame, project: str, externals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of symbol documents: relative_path, symbols[], occurrences[], and where there are several indexes
+    part and doc, which give their order (else paths do); externals are (part, doc, symbol, kind). A symbol that several
+    documents define is one entity: its first name, its last path, span and signature."""
+    order = [c for c in ("part", "doc") if c in documents.columns]
+    sym = documents.select(*order, "relative_path", F.posexplode("symbols").alias("i", "s")).select(F.struct(*order, "relative_path", "i").alias("place"), "relative_path", "s.*")
+    kinds = symbol_kinds(sym, externals)
     occ = documents.select("relative_path", F.posexplode("occurrences").alias("i", "o")).select("relative_path", "i", "o.*")
     is_def = F.col("symbol_roles").bitwiseAND(1) != 0
     where = occ.where(is_def).groupBy("relative_path", "symbol").agg(F.max_by("range", "i").alias("range"))
     name = F.when(F.coalesce(F.col("display_name"), F.lit("")) != "", F.col("display_name")).otherwise(display_name(F.col("symbol")))
-    ent = sym.join(where, ["relative_path", "symbol"], "left").select(
-        F.col("symbol").alias("id"), F.lit("symbol").alias("kind"), name.alias("name"), F.lit(project).alias("project"), F.col("relative_path").alias("file_path"),
-        F.when(F.col("range").isNotNull(), range_text(F.col("range"))).alias("line_range"), "signature")
+    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
+    ent = sym.join(where, ["relative_path", "symbol"], "left").withColumns({"name": name, "file_path": F.col("relative_path"), "line_range": F.when(F.col("range").isNotNull(), range_text(F.col("range")))})
+    ent = ent.groupBy(F.col("symbol").alias("id")).agg(F.min_by("name", "place").alias("name"), known("file_path"), known("line_range"), known("signature"))
+    ent = ent.select("id", F.lit("symbol").alias("kind"), "name", F.lit(project).alias("project"), "file_path", "line_range", "signature")
     line = F.get("range", F.lit(0)).alias("line")
     anchors = occ.where(is_def).join(kinds, "symbol", "left").where(F.col("kind").isin(*CALLABLE, *HOLDERS, *UNITS)).select("relative_path", line, F.when(F.col("kind").isin(*CALLABLE), 100).when(F.col("kind").isin(*HOLDERS), 50).otherwise(10).alias("rank"), "symbol")
     uses = occ.where(~is_def).select("relative_path", line, "symbol", "symbol_roles")
@@ -105,11 +119,25 @@ def stale(entities: DataFrame, relations: DataFrame, current: DataFrame, project
 def build_targets(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of build rules (name, rule_class, location, inputs[]): dependencies within the workspace."""
     at = r"^(.*):(\d+):[^:]*$"
-    ent = rules.select(F.col("name").alias("id"), F.lit("bazel_target").alias("kind"), F.substring_index("name", ":", -1).alias("name"), F.regexp_extract("location", at, 1).alias("file_path"), F.regexp_extract("location", at, 2).alias("line"))
+    ent = rules.select(F.col("name").alias("id"), F.lit("bazel_target").alias("kind"), target_name(F.col("name")).alias("name"), F.regexp_extract("location", at, 1).alias("file_path"), F.regexp_extract("location", at, 2).alias("line"))
     deps = rules.select(F.col("name").alias("src"), F.explode("inputs").alias("dst")).join(rules.select(F.col("name").alias("dst")), "dst", "left_semi").where("src <> dst").distinct()
     return ent, deps.select("src", "dst", F.lit("BAZEL_DEPENDS_ON").alias("kind"))
 
 
+def target_name(label: Column) -> Column:
+    """What follows a label's last colon, or else its last slash."""
+    return F.when(F.contains(label, F.lit(":")), F.substring_index(label, ":", -1)).otherwise(F.substring_index(label, "/", -1))
+
+
+def target_rows(rules: DataFrame, root: str) -> DataFrame:
+    """Rules of many projects (project, name, location) as entities to upsert: paths below ``root`` are relative to it; a
+    location that is no 'file:line:column' gives neither path nor line."""
+    at, below = r"^(.*):(\d+):[^:]*$", root.rstrip("/") + "/"
+    file, line = F.regexp_extract("location", at, 1), F.regexp_extract("location", at, 2)
+    path = F.when(F.startswith(file, F.lit(below)), F.substring(file, len(below) + 1, 1 << 30)).otherwise(file)
+    return rules.select(F.col("name").alias("id"), F.lit("bazel_target").alias("kind"), target_name(F.col("name")).alias("name"), "project", F.when(line != "", path).alias("file_path"), F.when(line != "", F.concat(line, F.lit(":"), line)).alias("line_range"))
+
+
 # ---- questions -----------------------------------------------------------------------------------
 def resolve(entities: DataFrame, symbol: str, most: int = 8) -> DataFrame:
     q = F.lit(symbol)

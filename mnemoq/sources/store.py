@@ -38,3 +38,10 @@ def commit(spark: SparkSession, path: str, schema: str, **values) -> int:
     names = [c.split()[0] for c in schema.split(", ")]
     spark.createDataFrame([(number, *[values[n] for n in names])], "commit long, " + schema).coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return number
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a new folder and read from there: what is read several times is made once, and a lost executor costs no more than a reading."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
