@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from mnemoq.functions import commands, shell, text
 from mnemoq.operators import graph, memory, postings, rendering, retrieval, telemetry
-from mnemoq.sources import symbol_index, transcripts
+from mnemoq.sources import sweep, symbol_index, transcripts, vectors
 
 FLAGSHIP = "e16_rrf_hybrid"
-_MODULES = (telemetry, retrieval, postings, graph, text, commands, shell, transcripts, memory, symbol_index, rendering)
+_MODULES = (telemetry, retrieval, postings, graph, text, commands, shell, transcripts, memory, symbol_index, rendering, vectors, sweep)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
