@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoq.functions import text
-from mnemoq.sources import store, sweep, vectors
+from mnemoq.sources import event_log, store, sweep, vectors
 
 ROWS = "target_kind string, target_id string, model string, vector array<float>"
 
@@ -80,3 +80,24 @@ def test_sweep_loses_and_repeats_nothing(spark, monkeypatch):
 def test_sweep_of_nothing(spark):
     path = sweep.create(spark.createDataFrame([], "rowid long, id string, content string"))
     assert sweep.step(spark, path, 4) is None and sweep.table(spark, path).count() == 0
+
+
+def test_a_batch_with_a_wrong_event_is_refused(spark):
+    path, schema = store.folder(spark, "events"), event_log.EVENT.split(", ", 1)[1]
+    row = lambda kind: ("s", kind, "recall", None, 1, 2, 3)
+    event_log.record(path, spark.createDataFrame([row("retrieve"), row("retrieve"), row("hook")], schema))
+    for bad in ("other", None):
+        with pytest.raises(ValueError, match="1 rows have an unknown kind"):
+            event_log.record(path, spark.createDataFrame([row("index"), row(bad)], schema))
+    got = event_log.events(spark, path).collect()
+    assert sorted(r.kind for r in got) == ["hook", "retrieve", "retrieve"] and len({r.id for r in got}) == 3
+    event_log.record(path, spark.createDataFrame([], schema))
+    assert event_log.events(spark, path).count() == 3
+
+
+def test_bugs_are_open_and_need_a_summary(spark):
+    path, schema = store.folder(spark, "bugs"), "project string, summary string, content string"
+    event_log.log_bugs(path, spark.createDataFrame([("/p", "one", None), ("/p", "two", "more")], schema))
+    with pytest.raises(ValueError):
+        event_log.log_bugs(path, spark.createDataFrame([("/p", None, "x")], schema))
+    assert sorted((r.summary, r.content, r.resolved) for r in event_log.bugs(spark, path).collect()) == [("one", None, False), ("two", "more", False)]
