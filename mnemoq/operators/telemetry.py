@@ -166,6 +166,62 @@ def running_budget(e: DataFrame, soft: int = SOFT, hard: int = HARD) -> DataFram
     return r.select("seq", "session_id", "used", level(F.col("used"), soft, hard).alias("level"))
 
 
+def given() -> Column:
+    """Whether a change of a budget sets limits."""
+    return F.col("soft").isNotNull() | F.col("hard").isNotNull()
+
+
+def valid() -> Column:
+    return F.coalesce((F.col("soft") > 0) & (F.col("soft") <= F.col("hard")), F.lit(False))
+
+
+def _limited(changes: DataFrame, over) -> DataFrame:
+    c = changes.where("session_id is not null")
+    last = F.max(F.when(given() & valid(), F.struct("seq", "soft", "hard")))
+    return c, {"used": over(F.sum(F.coalesce("tokens", F.lit(0)))).cast("long"), "_l": over(last), "refused": over(F.count_if(given() & ~valid()))}
+
+
+def _levels(rows: DataFrame, soft: int, hard: int, *names: str) -> DataFrame:
+    if not 0 < soft <= hard:
+        raise ValueError("limits must be 0 < soft <= hard")
+    r = rows.withColumns({"soft": F.coalesce("_l.soft", F.lit(soft)).cast("long"), "hard": F.coalesce("_l.hard", F.lit(hard)).cast("long")})
+    return r.select(*names, "used", "soft", "hard", level(F.col("used"), F.col("soft"), F.col("hard")).alias("level"), "refused")
+
+
+def limited_budgets(changes: DataFrame, soft: int = SOFT, hard: int = HARD) -> DataFrame:
+    """(session_id, used, soft, hard, level, refused) of changes (session_id, seq, tokens, soft, hard): the limits of the greatest
+    seq hold; wrong ones are refused and counted."""
+    c, sums = _limited(changes, lambda x: x)
+    return _levels(c.groupBy("session_id").agg(*[v.alias(k) for k, v in sums.items()]), soft, hard, "session_id")
+
+
+def running_limits(changes: DataFrame, soft: int = SOFT, hard: int = HARD) -> DataFrame:
+    """The same after every change, by seq: new limits take what was used before into account at once."""
+    w = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    c, sums = _limited(changes, lambda x: x.over(w))
+    return _levels(c.withColumns({k: v for k, v in sums.items() if k != "refused"}).withColumn("refused", F.lit(None)).drop("soft", "hard"), soft, hard, "seq", "session_id").drop("refused")
+
+
+# ---- histogram -----------------------------------------------------------------------------------
+# fixed values: upper bounds of the buckets, as metrics exporters have them by default
+BOUNDS = (0, 5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
+
+
+def histogram(e: DataFrame, value: str = "latency_ms", bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
+    """(kind, feature, bucket, n, total, least, most): values by bucket, of which the i-th ends with the i-th bound, bound included,
+    and the last one has what is above all; negative values count in the first, nulls nowhere."""
+    if list(bounds) != sorted(set(bounds)):
+        raise ValueError("bounds must rise")
+    v = F.col(value)
+    bucket = F.coalesce(*[F.when(v <= b, i) for i, b in enumerate(bounds)], F.lit(len(bounds)))
+    return e.where(v.isNotNull()).groupBy("kind", "feature", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(v).cast("long").alias("total"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def merged(histograms: DataFrame) -> DataFrame:
+    """Histograms of the same bounds, one after the other, as one."""
+    return histograms.groupBy("kind", "feature", "bucket").agg(*[F.sum(c).cast("long").alias(c) for c in ("n", "total")], F.min("least").alias("least"), F.max("most").alias("most"))
+
+
 # ---- queries -------------------------------------------------------------------------------------
 def _q(f):
     return lambda spark, sf_dir: f(domain.tel_events(spark, sf_dir))
