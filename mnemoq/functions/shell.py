@@ -49,6 +49,15 @@ def has_meta(command: str) -> bool:
     return bare is None or len(bare) > 1 or "$(" in re.sub(r"'[^']*'", "", command)
 
 
+def has_acting(command: str) -> bool:
+    """Whether anything outside quotes lists, redirects or substitutes; a substitution may stand in double quotes for a search."""
+    bare = parts_of(command, ";&<>`")
+    if bare is None or len(bare) > 1:
+        return True
+    cut = parts_of(command, "$")
+    return any(p.startswith("(") for p in cut[1:])
+
+
 def _argv(segment: str) -> tuple[list[str], list[str]] | None:
     """(assignments, words) of a simple command; None where it can't be read, runs elsewhere, or an assignment holds blanks."""
     try:
@@ -107,6 +116,33 @@ def rewritten(command: Column) -> Column:
     return run(command)
 
 
+# fixed values: commands that search files
+SEARCHES = ("rg", "grep")
+
+
+def search_pattern(command: str | None) -> str | None:
+    """What a simple shell search looks for: the first word that is no option; null for lists, pipelines, redirections,
+    substitutions, and commands that search nothing or can't be read."""
+    if not command or "<<" in command:
+        return None
+    pipe = parts_of(command, "|")
+    if pipe is None or len(pipe) > 1 or has_acting(command):
+        return None
+    read = _argv(command)
+    if read is None or read[1][0] not in SEARCHES:
+        return None
+    return next((w for w in read[1][1:] if not w.startswith("-")), None)
+
+
+def searched(command: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(search_pattern, na_action=None)
+
+    return run(command)
+
+
 def truncate_bytes(s: Column, most: int, marker: str = "…") -> Column:
     """At most `most` bytes of UTF-8 with the marker, never half a character: the longest fitting number of
     characters is found by halving, within the expression."""

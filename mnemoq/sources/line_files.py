@@ -6,7 +6,8 @@ byte, and an unfinished last line held back until its line break is there.
     spark.readStream.format("line_files").load(folder)
 
 Rows are (file, start, value, first): the line's file and first byte, its text, and the first line of the file, which
-tells what kind of file it is. A split is what a task reads: it begins with the first line that starts in its range and
+tells what kind of file it is. The option "files" is a pattern that a file's path below the folder must match as a whole,
+"first" one that is looked for in its first line: of a file without it a task reads no more. A split is what a task reads: it begins with the first line that starts in its range and
 ends with the last one that does, and holds a piece of PIECE bytes or one line in memory. A file of any size is read so.
 
 A stream's offset says for each file how far it was read (behind a line break) and what its first bytes were. A file that
@@ -21,6 +22,7 @@ by the folder's address will do.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,12 +42,13 @@ def _bytes(size: str) -> int:
     return int(size[:-1]) << units[size[-1].lower()] if size[-1].lower() in units else int(size)
 
 
-def _files(path: str) -> list[fs.FileInfo]:
-    """The files at or below a path, by name."""
+def _files(path: str, names: str | None = None) -> list[fs.FileInfo]:
+    """The files at or below a path, by name, of those names that match."""
     system, root = fs.FileSystem.from_uri(path)
     info = system.get_file_info(root)
     found = [info] if info.is_file else system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-    return sorted((f for f in found if f.is_file and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
+    fits = lambda f: names is None or re.fullmatch(names, f.base_name if info.is_file else f.path[len(root.rstrip("/")) + 1 :])
+    return sorted((f for f in found if f.is_file and not f.base_name.startswith((".", "_")) and fits(f)), key=lambda f: f.path)
 
 
 def _tail(file, size: int) -> int:
@@ -116,6 +119,7 @@ def _ranges(path: str, start: int, end: int, split: int) -> list[Range]:
 class _Reads:
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.split = options["path"], _bytes(options.get("split", str(SPLIT)))
+        self.names, self.first = options.get("files"), options.get("first")
         self.root = self.path if "://" in self.path or self.path.startswith("/") else f"/{self.path}"
 
     def read(self, part: Range) -> Iterator[tuple]:
@@ -126,13 +130,15 @@ class _Reads:
             return
         with file:
             first = _line(file, 0, part.end).decode("utf-8", "replace")
+            if self.first and not re.search(self.first, first):
+                return
             for at, line in lines_in(file, part.start, part.stop, part.end):
                 yield part.file, at, line.decode("utf-8", "replace"), first
 
 
 class LineReader(_Reads, DataSourceReader):
     def partitions(self) -> list[Range]:
-        return [r for f in _files(self.root) for r in _ranges(f.path, 0, f.size, self.split)] or [Range("", 0, 0, 0)]
+        return [r for f in _files(self.root, self.names) for r in _ranges(f.path, 0, f.size, self.split)] or [Range("", 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[tuple]:
         return super().read(part) if part.end else iter(())
@@ -146,7 +152,7 @@ class LineStream(_Reads, DataSourceStreamReader):
         """{file: [end, bytes of the head, their crc]}; what lies behind the last line break isn't counted yet."""
         system, _ = fs.FileSystem.from_uri(self.root)
         out = {}
-        for f in _files(self.root):
+        for f in _files(self.root, self.names):
             with system.open_input_file(f.path) as file:
                 end = _tail(file, f.size)
                 if end:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,10 +16,26 @@ GATE_TOKENS = 2000
 EVENT = "type string, sessionId string, cwd string, gitBranch string, timestamp string, uuid string, isSidechain boolean, message struct<role:string, content:variant>, payload struct<id:string, cwd:string, type:string, role:string, content:variant>"
 
 
-def read_lines(spark: SparkSession, path: str, split: str = "64m") -> DataFrame:
+def read_lines(spark: SparkSession, path: str, split: str = "64m", **options: str) -> DataFrame:
     """(file, start, value, first): finished lines of the files at a path, each with its first byte and its file's first line."""
     line_files.register(spark)
-    return spark.read.format("line_files").option("split", split).load(path)
+    return spark.read.format("line_files").options(split=split, **options).load(path)
+
+
+def catch_up(spark: SparkSession, own: str | None, shared: str | None, projects: list[str], split: str = "64m", ending: str = r"\.jsonl") -> DataFrame:
+    """Messages of all sessions of some projects, from both kinds of folders: ``own`` holds the projects' transcripts of the first
+    shape, of which those right in it count, not those of helpers in folders below; ``shared`` holds everybody's of the second
+    shape, at any depth but in folders named subagents, and the first line tells the project. Of other projects' files a split
+    reads the first line alone. A folder that is None or isn't there has no messages; ``new_rows`` tells what isn't stored yet."""
+    at = F.regexp_replace("cwd", "(?<=.)/+$", "")
+    parts = []
+    if own:
+        parts.append(parse(read_lines(spark, own, split, files=f"[^/]+{ending}")))
+    if shared:
+        named = "|".join(re.escape(json.dumps(p, ensure_ascii=a)[1:-1]) for p in projects for a in (True, False))
+        lines = read_lines(spark, shared, split, files=f"(?!(?:.*/)?subagents/).+{ending}", first=rf'"cwd"\s*:\s*"(?:{named})/*"')
+        parts.append(parse(lines.where(F.get_json_object("first", "$.type") == "session_meta")).where(at.isin(projects)))
+    return reduce(DataFrame.unionByName, parts) if parts else parse(spark.createDataFrame([], line_files.SCHEMA))
 
 
 def with_offsets(lines: DataFrame, by: str) -> DataFrame:
@@ -100,6 +120,19 @@ def _laid_out(s: SparkSession, d: str) -> DataFrame:
     return read_lines(s, path, "64k")
 
 
+def _caught_up(s: SparkSession, d: str) -> DataFrame:
+    """Even conversations lie in the project's own folder, some again below subagents; odd ones in the shared folder, a file for
+    each of seven projects with the project in its first line. Six of the seven are asked for."""
+    path, odd = store.folder(s, "clients"), domain.read(s, d, "conversations").where("conv_id % 2 = 1").withColumn("part", F.col("conv_id") % 7)
+    _json(s, d).where("file % 2 = 0").select("value").write.text(f"{path}/own")
+    _json(s, d).where("file % 14 = 0").select("value").write.text(f"{path}/own/subagents")
+    line = F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(F.lit("message").alias("type"), "role", F.col("text").alias("content")).alias("payload")))
+    head = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("z"), "part").alias("id"), F.concat(F.lit("/p"), "part", F.lit("/")).alias("cwd")).alias("payload")))
+    rows = odd.select("part", F.lit(1).alias("o"), line.alias("value")).unionByName(odd.select("part").distinct().select("part", F.lit(0).alias("o"), head.alias("value")))
+    rows.repartition("part").sortWithinPartitions("part", "o").select("value", "part").write.partitionBy("part").text(f"{path}/shared")
+    return catch_up(s, f"{path}/own", f"{path}/shared", [f"/p{k}" for k in range(1, 7)], "64k", r"\.txt")
+
+
 def _log(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = domain.read(s, d, "customer")
     now = c.selectExpr("concat('/t/', c_custkey) as path", "c_nationkey as inode", "cast(c_custkey * 10 as bigint) as size")
@@ -123,6 +156,7 @@ QUERIES = {
     "a12_latest": lambda s, d: latest(domain.read(s, d, "events").selectExpr("user_id", "event_id", "event_type", "value"), "user_id", "event_id"),
     "a11_line_source": lambda s, d: parse(_laid_out(s, d)).select("id", "session_id", "role", F.sha2(F.col("content").cast("binary"), 256).alias("sha")),
     "a13_first_session": _sessions,
+    "a32_catch_up": lambda s, d: _caught_up(s, d).select("session_id", "cwd", "role", F.sha2(F.col("content").cast("binary"), 256).alias("sha")),
     "b12_brief": _brief,
 }
 _part = lambda view, title, text, o, w: f"SELECT project, {o} AS o, '## {title}' || chr(10) || string_agg('- ' || {text}, chr(10) ORDER BY r) AS s FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ts DESC, id) AS r FROM {view} WHERE {w}) WHERE r <= 5 GROUP BY project"
@@ -135,4 +169,6 @@ ORACLES = {
     "b12_brief": f"""{domain.duck('bugs', 'context_items')}, p AS ({_part('bugs', 'Do not repeat', 'summary', 0, 'true')} UNION ALL {_part('bugs', 'Open bugs', 'summary', 1, 'NOT resolved')} UNION ALL {_part('context_items', 'Decisions', 'content', 2, "kind = 'decision'")})
 SELECT project, string_agg(s, chr(10) || chr(10) ORDER BY o) AS brief FROM p GROUP BY project""",
 }
+ORACLES["a32_catch_up"] = f"""SELECT session_id, NULL::VARCHAR AS cwd, role, sha FROM ({ORACLES['a7_parse_json']} AND conv_id % 2 = 0)
+    UNION ALL SELECT 'z' || (conv_id % 7), '/p' || (conv_id % 7) || '/', role, sha256(text) FROM conversations WHERE conv_id % 2 = 1 AND conv_id % 7 > 0 AND role IN ('user', 'assistant') AND text <> ''"""
 ORACLES["a11_line_source"] = ORACLES["a7_parse_json"]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemoq.functions import shell
-from mnemoq.operators import postings, retrieval, telemetry
+from mnemoq.operators import postings, redirect, retrieval, telemetry
 from mnemoq.sources import domain, line_files, store, transcripts
 from mnemoq.streaming import intake
 from tests.conftest import SMALL
@@ -175,3 +175,39 @@ def test_rewriting_goes_by_the_first_argument():
         assert (shell.rewrite(left) is None) == (left != "bat"), left
     for done in ("git log\n", "  git log", "uv sync", "mocha", "docker images", "bazelisk build //x", "bazel cquery x", "yarn add y", "pnpm i"):
         assert shell.rewrite(done) == f"{shell.WRAPPER} {done.strip()}", done
+
+
+def test_catch_up_over_two_clients(spark, tmp_path):
+    """Only the project's own sessions: helpers' folders, other endings and other projects' files are passed over."""
+    own, shared = tmp_path / "own", tmp_path / "shared"
+    (own / "subagents").mkdir(parents=True)
+    (shared / "2024" / "01" / "subagents").mkdir(parents=True)
+    one = lambda i: json.dumps({"type": "user", "sessionId": "s", "cwd": "/p", "uuid": i, "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "user", "content": f"text {i}"}}) + "\n"
+    two = lambda i, cwd, kind="session_meta": json.dumps({"type": kind, "payload": {"id": i, "cwd": cwd}}) + "\n" + json.dumps({"type": "response_item", "timestamp": "2024-01-01T00:00:00Z", "payload": {"type": "message", "role": "user", "content": [{"type": "input_text", "text": f"of {i}"}]}}) + "\n"
+    (own / "a.jsonl").write_text(one("a1") + one("a2") + one("torn")[:-1])
+    (own / "b.txt").write_text(one("b"))
+    (own / "subagents" / "c.jsonl").write_text(one("c"))
+    where = shared / "2024" / "01"
+    for name, text in {"d.jsonl": two("d", "/p"), "e.jsonl": two("e", "/p/"), "f.jsonl": two("f", "/p/x"), "g.jsonl": two("g", "/q"), "subagents/h.jsonl": two("h", "/p"), "i.jsonl": two("i", "/é \"x\""), "j.jsonl": two("j", "/p", "other"), "k.jsonl": "", "l.jsonl": "no json\n"}.items():
+        (where / name).write_text(text)
+    got = lambda *a: sorted(r.content for r in transcripts.catch_up(spark, *a, split="50").collect())
+    assert got(str(own), str(shared), ["/p"]) == ["of d", "of e", "text a1", "text a2"]
+    assert got(None, str(shared), ["/é \"x\"", "/q"]) == ["of g", "of i"]
+    assert got(str(tmp_path / "none"), None, ["/p"]) == [] and got(None, None, ["/p"]) == []
+    stored = transcripts.catch_up(spark, str(own), None, ["/p"])
+    assert transcripts.new_rows(transcripts.catch_up(spark, str(own), str(shared), ["/p"]), stored).count() == 2
+
+
+def test_searches_are_sent_to_the_graph(spark):
+    patterns = {"rg foo": "foo", "grep -r -i foo src": "foo", "A=1 /usr/bin/rg 'fn foo' .": "fn foo", "rg foo | head": None, "sudo rg foo": None, "rg 'a|b'": "a|b", 'rg "$(x)"': "$(x)", "rg $(x)": None,
+                "rg 'open": None, "rg -e": None, "rg foo && ls": None, r"rg foo\;": "foo;", "": None, " rg  x ": "x", "cat foo": None, "rg <<X": None}
+    assert {c: shell.search_pattern(c) for c in patterns} == patterns and shell.search_pattern(None) is None
+    e = spark.createDataFrame([("1", "foo"), ("2", "many"), *[(f"m{i}", "many") for i in range(8)], ("foo_id", "other"), (None, "foo"), ("9", None)], "id string, name string")
+    c = spark.createDataFrame([(i, x) for i, x in enumerate(["rg foo", "rg foo", "rg many", "rg foo_id", "rg gone_sym", "git log", None, "rg two words", "rg 'no symbol'"])], "matches_of long, command string")
+    got = {r.matches_of: r for r in redirect.redirects(c, e).collect()}
+    assert len(got) == 9 and {i: (r.symbol, r.matches) for i, r in got.items() if r.symbol} == {0: ("foo", 2), 1: ("foo", 2), 2: ("many", 9), 3: ("foo_id", 1), 4: ("gone_sym", 0), 7: ("two", 0)}
+    assert {i for i, r in got.items() if r.reason} == {0, 1, 3} and "(2 matches)" in got[0].reason and "(1 match)" in got[3].reason
+    replies = {r.matches_of: json.loads(r.reply)["hookSpecificOutput"] if r.reply else None for r in redirect.replies(c, e).collect()}
+    assert replies[0]["permissionDecision"] == "deny" and replies[5]["updatedInput"]["command"] == f"{shell.WRAPPER} git log" and replies[6] is None
+    assert replies[2]["permissionDecision"] == "allow"
+    assert redirect.redirects(c.limit(0), e).count() == 0 and redirect.redirects(c, e.limit(0)).where("reason is not null").count() == 0
