@@ -238,6 +238,25 @@ def gated(messages: DataFrame, text: str = "content", least: int = 2000, ratio:
     return d.select(*names, F.when(big, F.concat(F.lit(MARK + "\n"), unlines(F.coalesce("_picks", F.array().cast("array<string>"))))).otherwise(F.col(text)).alias("stored"), big.alias("was_compressed"))
 
 
+def compress_files(spark: SparkSession, path: str, out: str | None = None, ratio: float = 0.5, kind: str = "generic") -> DataFrame:
+    """(path, text, sha256, original, compressed, ratio) of the files at or below a path, each compressed as one text. With
+    ``out``, the texts are also written there, as a table by path, and read back from it: a file is never overwritten in
+    place, as a task that runs again would then read its own result. A file is one row, so it must fit a task (2 GB at most);
+    empty files become the mark alone, compressed ones pass as they are."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    done = compress(files, ratio, "path", "content", kind)
+    if not out:
+        return done
+    done.write.parquet(out)
+    return spark.read.schema(done.schema).parquet(out)
+
+
+def compress_events(done: DataFrame, algorithm: str = "mnemoq-extract") -> DataFrame:
+    """The event of each compressed file: its tokens before and after."""
+    return done.select(F.lit(None).cast("string").alias("session_id"), F.lit("compress").alias("kind"), F.lit("compress").alias("feature"), F.lit(algorithm).alias("filter_id"),
+                       F.col("original").cast("long").alias("input_tokens"), F.col("compressed").cast("long").alias("output_tokens"), F.lit(0).cast("long").alias("latency_ms"))
+
+
 def sweep(stored: DataFrame, text: str = "content") -> DataFrame:
     """What a later sweep still has to compress: rows over the gate that aren't marked, with their new text."""
     return gated(stored, text).where("was_compressed")

@@ -101,3 +101,23 @@ def test_bugs_are_open_and_need_a_summary(spark):
     with pytest.raises(ValueError):
         event_log.log_bugs(path, spark.createDataFrame([("/p", None, "x")], schema))
     assert sorted((r.summary, r.content, r.resolved) for r in event_log.bugs(spark, path).collect()) == [("one", None, False), ("two", "more", False)]
+
+
+def test_files_are_compressed_as_texts(spark, tmp_path):
+    """Every file is a text of its own; what is written is what is read, and its events can be recorded."""
+    src = tmp_path / "in"
+    (src / "deep").mkdir(parents=True)
+    long = " ".join(f"The engine reads row {i} of the table and keeps the best sentences of it." for i in range(80))
+    texts = {"a.md": long, "deep/b.txt": "Short text.\nTwo lines.", "c.txt": f"{text.MARK}\nalready", "d.txt": "é" * 10}
+    for name, t in texts.items():
+        (src / name).write_text(t)
+    got = {r.path.split("/in/")[1]: r for r in text.compress_files(spark, str(src)).collect()}
+    rows = spark.createDataFrame(list(texts.items()), "id string, content string")
+    want = {r.id: r for r in text.compress(rows).collect()}
+    assert {k: (r.text, r.sha256, r.original, r.compressed) for k, r in got.items()} == {k: (r.text, r.sha256, r.original, r.compressed) for k, r in want.items()}
+    assert got["a.md"].compressed < got["a.md"].original and got["c.txt"].text == texts["c.txt"]
+    kept = text.compress_files(spark, str(src), str(tmp_path / "out"))
+    assert {r.path.split("/in/")[1]: r.text for r in kept.collect()} == {k: r.text for k, r in got.items()} and (src / "a.md").read_text() == long
+    path = store.folder(spark, "events")
+    event_log.record(path, text.compress_events(kept))
+    assert event_log.events(spark, path).agg(F.sum("input_tokens")).first()[0] == sum(r.original for r in got.values())
