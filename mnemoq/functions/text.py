@@ -242,7 +242,7 @@ def compress_files(spark: SparkSession, path: str, out: str | None = None, ratio
     """(path, text, sha256, original, compressed, ratio) of the files at or below a path, each compressed as one text. With
     ``out``, the texts are also written there, as a table by path, and read back from it: a file is never overwritten in
     place, as a task that runs again would then read its own result. A file is one row, so it must fit a task (2 GB at most);
-    empty files become the mark alone, compressed ones pass as they are."""
+    an empty file has no row, as there is nothing to compress; compressed ones pass as they are."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     done = compress(files, ratio, "path", "content", kind)
     if not out:

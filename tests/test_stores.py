@@ -111,6 +111,7 @@ def test_files_are_compressed_as_texts(spark, tmp_path):
     texts = {"a.md": long, "deep/b.txt": "Short text.\nTwo lines.", "c.txt": f"{text.MARK}\nalready", "d.txt": "é" * 10}
     for name, t in texts.items():
         (src / name).write_text(t)
+    (src / "empty.txt").write_text("")
     got = {r.path.split("/in/")[1]: r for r in text.compress_files(spark, str(src)).collect()}
     rows = spark.createDataFrame(list(texts.items()), "id string, content string")
     want = {r.id: r for r in text.compress(rows).collect()}
