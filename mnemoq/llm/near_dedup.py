@@ -14,6 +14,8 @@ generate overlaps, union sketches filter them, exact Jaccard on the full sets ve
    meet all members of other components, in tiles of bounded size, so no link between different
    texts is lost and no task holds a whole list. A tile compares a pair only if this is the first list
    that both are in, and returns the links that join two components, so fewer rows than it has read.
+   Tiles are gone through twice: by sketches, which tell what may have a partner; then these rows alone
+   by their full sets.
 4. Every comparison goes by union sketch first, then by the full sets.
 5. Components: the least label of the neighbours, then the label's label, until nothing changes.
 
@@ -180,8 +182,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _tiles(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among (value, doc_id, values, n, component) that join components of a list."""
+def _holders(sk: np.ndarray) -> dict[int, np.ndarray]:
+    """Sketch values that several rows hold, with these rows."""
+    holders: dict[int, list[int]] = {}
+    for i, row in enumerate(sk.tolist()):
+        for x in row:
+            if x != 0xFFFFFFFF:
+                holders.setdefault(x, []).append(i)
+    return {x: np.array(h) for x, h in holders.items() if len(h) > 1}
+
+
+def _possible(i: int, sk: np.ndarray, ns: np.ndarray, holders: dict[int, np.ndarray], open_: np.ndarray, percent: int) -> np.ndarray:
+    """The open rows that may be similar to row i by size and union sketch."""
+    both = [holders[x] for x in sk[i].tolist() if x in holders]
+    if not both:
+        return np.zeros(0, np.int64)
+    same = np.bincount(np.concatenate(both), minlength=len(ns))
+    most = np.maximum(ns, ns[i])
+    least = np.where(most <= K, -(-percent * most // 100), 26)  # of 64 values 48 are shared on average
+    j = np.nonzero((same >= least) & open_ & _sizes_fit(ns, ns[i], percent))[0]
+    return j[similar(np.broadcast_to(sk[i], (len(j), K)), sk[j]) >= ESTIMATE] if len(j) else j
+
+
+def dealt_tiles(listed: DataFrame, first: DataFrame) -> DataFrame:
+    """(value, kind, i, j, doc_id, component): the tiles of lists whose members lie in several components."""
+    placed = listed.join(first, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    entries = placed.select(F.explode("values").alias("value"), "doc_id", "component")
     per = entries.groupBy("value", "component").agg(F.count("*").alias("m"))
     lists = per.groupBy("value").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
     lists = lists.where("all > top.m").select("value", F.col("top.component").alias("main"), F.expr(f"cast(ceil(top.m / {TILE}) as int)").alias("ta"), F.expr(f"cast(ceil((all - top.m) / {TILE}) as int)").alias("tb"))
@@ -189,7 +215,33 @@ def _tiles(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     e = e.withColumn("k", F.when(F.col("inner"), F.expr("cast(pmod(xxhash64(doc_id), ta) as int)")).otherwise(F.expr("cast(pmod(xxhash64(doc_id), tb) as int)")))
     # a tile is two chunks: one of the main component and one of the others, or two of the others
     mine = "if(inner, transform(sequence(0, tb - 1), j -> struct(0 as kind, k as i, j as j)), concat(transform(sequence(0, ta - 1), i -> struct(0 as kind, i as i, k as j)), transform(sequence(0, tb - 1), j -> struct(1 as kind, least(k, j) as i, greatest(k, j) as j))))"
-    dealt = e.select("value", "doc_id", "values", "n", "component", F.explode(F.expr(mine)).alias("t")).select("value", "t.*", "doc_id", "values", "n", "component").join(sets, "doc_id")
+    return e.select("value", "doc_id", "component", F.explode(F.expr(mine)).alias("t")).select("value", "t.*", "doc_id", "component")
+
+
+def promising(dealt: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
+    """The rows of the tiles which by their sketches may be similar to a row of another component in the same tile."""
+
+    def run(key, t):  # at most two chunks
+        value, kind = key[0].as_py(), key[1].as_py()
+        ns, (name, at) = t["n"].to_numpy(), np.unique(t["component"].to_numpy(), return_inverse=True)
+        values, sk = [set(v) for v in t["values"].to_pylist()], _padded(t["sketch"].to_pylist())
+        holders, biggest, found = _holders(sk), np.bincount(at).argmax(), np.zeros(len(ns), bool)
+        for i in range(len(ns)):
+            if kind == 0 and at[i] == biggest:
+                continue  # its pairs are looked at from the other side
+            # pairs of two rows that were found already tell nothing new
+            for k in _possible(i, sk, ns, holders, (at != at[i]) & ~(found & found[i]), percent).tolist():
+                if min(values[i] & values[k], default=None) == value:
+                    found[i] = found[k] = True
+        return t.select(["value", "kind", "i", "j", "doc_id", "component"]).filter(pa.array(found))
+
+    rows = dealt.join(listed.select("doc_id", "values", "n", "sketch"), "doc_id").select("value", "kind", "i", "j", "doc_id", "component", "values", "n", "sketch")
+    return rows.groupBy("value", "kind", "i", "j").applyInArrow(run, "value long, kind int, i int, j int, doc_id long, component long")
+
+
+def _tiles(listed: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the listed that join components of a list. Full sets go only to rows that have a partner by sketch."""
+    found = stored(promising(dealt_tiles(listed, first), listed, percent), "found")
 
     def run(key, t):  # at most two chunks
         ids, ns, comp = t["doc_id"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy()
@@ -199,28 +251,13 @@ def _tiles(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         name, at = np.unique(comp, return_inverse=True)
         root, full = at.copy(), {}
         of = lambda i: full[i] if i in full else full.setdefault(i, np.frombuffer(sets_[i].as_py(), np.uint64))
-        holders: dict[int, list[int]] = {}
-        for i, row in enumerate(sk.tolist()):
-            for x in row:
-                if x != 0xFFFFFFFF:
-                    holders.setdefault(x, []).append(i)
-        holders = {x: np.array(h) for x, h in holders.items() if len(h) > 1}
-        biggest = np.bincount(at).argmax()
+        holders, biggest = _holders(sk), np.bincount(at).argmax()
         a, b = [], []
         for i in range(len(ids)):
             if kind == 0 and at[i] == biggest:
                 continue  # its pairs are looked at from the other side
-            both = [holders[x] for x in sk[i].tolist() if x in holders]
-            if not both:
-                continue
-            same = np.bincount(np.concatenate(both), minlength=len(ids))
-            most = np.maximum(ns, ns[i])
-            least = np.where(most <= K, -(-percent * most // 100), 26)  # of 64 values 48 are shared on average
-            j = np.nonzero((same >= least) & (root[at] != root[at[i]]) & _sizes_fit(ns, ns[i], percent))[0]
-            if len(j):
-                j = j[similar(np.broadcast_to(sk[i], (len(j), K)), sk[j]) >= ESTIMATE]
-            for k in j.tolist():
-                if root[at[k]] == root[at[i]] or min(values[i] & values[k]) != value:
+            for k in _possible(i, sk, ns, holders, root[at] != root[at[i]], percent).tolist():
+                if root[at[k]] == root[at[i]] or min(values[i] & values[k], default=None) != value:
                     continue
                 x, y = of(i), of(k)
                 n = len(np.intersect1d(x, y, assume_unique=True))
@@ -230,7 +267,8 @@ def _tiles(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     root[root == root[at[k]]] = root[at[i]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("value", "kind", "i", "j").applyInArrow(run, "a long, b long")
+    rows = found.join(listed.select("doc_id", "values", "n"), "doc_id").join(sets, "doc_id").select("value", "kind", "i", "j", "doc_id", "component", "values", "n", "hashes")
+    return rows.groupBy("value", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -240,9 +278,12 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     reps = stored(reps.where("doc_id is not null"), "reps")
     entries = inverted(reps, percent)
     listed = stored(entries.join(reps.select("doc_id", "n", "sketch"), "doc_id"), "lists")
-    member = listed.select(F.explode("values").alias("value"), "doc_id", "n", "sketch", "centre")
-    pivots = member.groupBy("value").agg(F.max(F.struct("centre", (-F.col("doc_id")).alias("least"), "doc_id", "n", "sketch")).alias("p"), F.count("*").alias("m")).where("m > 1")
-    star = member.join(pivots, "value").where("doc_id <> p.doc_id").select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("p.doc_id").alias("b"), F.col("p.n").alias("nb"), F.col("p.sketch").alias("sb"))
+    # lists and pairs hold ids alone; sketches join what is left of them, once for each pair
+    member = listed.select(F.explode("values").alias("value"), "doc_id", "centre")
+    pivots = member.groupBy("value").agg(F.max(F.struct("centre", (-F.col("doc_id")).alias("least"), "doc_id")).alias("p"), F.count("*").alias("m")).where("m > 1").select("value", F.col("p.doc_id").alias("b"))
+    pairs = member.join(pivots, "value").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    own = listed.select("doc_id", "n", "sketch")
+    star = pairs.join(own.withColumnsRenamed({"doc_id": "a", "n": "na", "sketch": "sa"}), "a").join(own.withColumnsRenamed({"doc_id": "b", "n": "nb", "sketch": "sb"}), "b")
     near = stored(_near(star, percent), "near")
     # the full sets are made anew for the documents in the lists alone
     at = listed.select("doc_id")
@@ -251,9 +292,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     sets = stored(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(at, "doc_id", "left_semi"), shingle), "sets")
     links = stored(verified(near, sets, percent), "links")
     first = components(links)
-    placed = listed.join(first, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = placed.select(F.explode("values").alias("value"), "doc_id", "values", "n", "component")
-    rest = stored(_tiles(placed, sets, percent), "links")
+    rest = stored(_tiles(listed, first, sets, percent), "links")
     label = components(links.union(rest)) if not rest.isEmpty() else first
     named = reps.select("set_id", F.col("doc_id").alias("rep")).join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = base.select("doc_id", "n", "set_id").join(named, "set_id", "left")

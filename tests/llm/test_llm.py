@@ -270,6 +270,26 @@ def test_near_duplicates_of_short_texts_against_all_pairs(spark):
     assert {x.doc_id: x.component_id for x in near_dedup.classes(d).collect()} == want
 
 
+def test_full_sets_go_to_rows_with_a_partner_alone(spark):
+    """Lists of a common passage have members in many components; of them only rows that may have a partner meet by full sets."""
+    shared, texts = text(999, 40), {k: text(999, 40) + " " + text(3000 + k, 30) for k in range(40)}
+    for k in range(40, 52, 2):  # pairs that share the passage, too
+        w = text(5000 + k, 60)
+        texts[k], texts[k + 1] = shared + " " + w, shared + " " + w + " more"
+    d = spark.createDataFrame([(i, t, "e", 0) for i, t in texts.items()], DOCS).repartition(3)
+    base = near_dedup.sketches(d, 5)
+    reps = base.select("doc_id", "n", "low", "sketch").cache()
+    listed = near_dedup.inverted(reps, 75).join(reps.select("doc_id", "n", "sketch"), "doc_id").cache()
+    alone = spark.createDataFrame([], "doc_id long, component long")
+    dealt = near_dedup.dealt_tiles(listed, alone).cache()
+    found = near_dedup.promising(dealt, listed, 75)
+    assert dealt.select("doc_id").distinct().count() > 40
+    assert {r.doc_id for r in found.collect()} == set(range(40, 52))
+    sets = near_dedup._sets(d.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), 5)
+    links = near_dedup._tiles(listed, alone, sets, 75).collect()
+    assert {frozenset((r.a, r.b)) for r in links} == {frozenset((k, k + 1)) for k in range(40, 52, 2)}
+
+
 def dropped_lines(rows):
     """(doc_id, lines, dropped, text) by the rule alone."""
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(line_dedup.SPACE))
