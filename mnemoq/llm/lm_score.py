@@ -34,6 +34,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +126,7 @@ def spell(docs: DataFrame, sent, wide: bool) -> DataFrame:
         get = {w: i + 1 for i, w in enumerate(sent.value)}.get
         for b in batches_of(batches):
             at, sizes_, ids, rares, tails, befores = [], [], [], [], [], []
+            n_bytes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
             for i, t in enumerate(b.column("text").to_pylist()):
                 words = words_of(t)
                 before = (START, START, np.uint32(0))
@@ -134,7 +136,7 @@ def spell(docs: DataFrame, sent, wide: bool) -> DataFrame:
                     tail = [part[k] for k in np.flatnonzero(x == 0).tolist()]
                     rare = np.fromiter(map(crc32, tail), "<u4", len(tail))
                     at.append(i)
-                    sizes_.append(0 if lo else len((t or "").encode("utf-8", "surrogatepass")))
+                    sizes_.append(0 if lo else n_bytes[i])
                     ids.append(x.tobytes())
                     rares.append(rare.tobytes())
                     tails.append(b"\n".join([*tail, b""]))
@@ -179,6 +181,7 @@ class Model:
         self.first_bucket = len(parts[0][0])
         self.lines, self.node, self.four, self.valid, self.gate = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.begin = np.cumsum(self.lines) - self.lines
+        self.last = (np.uint8(1) << self.valid | self.four >> (np.uint8(4) - self.valid)).astype(np.int64)  # the node behind a line's last bit
         self.last_gate = np.where(np.arange(len(self.gate)) < len(parts[0][1]), DEPTHS, DEPTHS + BUCKET_DEPTHS).astype(np.uint8) - np.uint8(1)
 
     def symbols(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,38 +208,38 @@ class Model:
         symbol[at[ids == 0] + 1] = (rare & np.uint32(self.buckets - 1)).astype(np.int64) + self.first_bucket
         return symbol, np.repeat(seeds, times, axis=1), at[first]
 
-    def spread(self, symbol: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of symbols: how many lines each has; then, of each place in the lines, its bit, whether it is one, its gate, and its slot in each context's table."""
+    def lines_of(self, symbol: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of symbols: how many lines each has, the lines, and in each context's table the first of the 16 slots of each line."""
         n = self.lines.take(symbol)
         ends = np.cumsum(n)
         at = np.arange(int(ends[-1]) if len(n) else 0)
         at += np.repeat(self.begin.take(symbol) - (ends - n), n)
-        node, four = self.node.take(at), self.four.take(at)
-        place = np.arange(4, dtype=np.uint8)[:, None]
-        bit = four >> (np.uint8(3) - place) & np.uint8(1)
-        valid = place < self.valid.take(at)
-        gate = np.minimum(self.gate.take(at) + place, self.last_gate.take(at))
-        slot = (np.uint8(1) << place | four >> (np.uint8(4) - place)).astype(np.uint32)
-        slots = []
+        node, firsts = self.node.take(at), []
         for i in range(CONTEXTS):
             k = node.copy() if i == 0 else node + np.repeat(seeds[i - 1], n)
             k ^= k >> np.uint32(15)
             k *= np.uint32(0x2C1B3C6D)
             k >>= np.uint32(36 - self.bits)
             k <<= np.uint32(4)
-            slots.append(k | slot)
-        return n, bit, valid, gate, slots
-
-    def inputs(self, tables: np.ndarray, places: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-        """The predictions at places of the contexts' tables, stretched, and the gate's confidence."""
-        x, sure = [], None
-        for own, p in zip(tables, places, strict=True):
-            v = own.take(p)
+            firsts.append(k.astype(np.int64))
+        return n, at, firsts
+
+    def spread(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each place in lines: its bit, whether it is one, its gate, and its slot among the line's."""
+        four, place = self.four.take(at), np.arange(4, dtype=np.uint8)[:, None]
+        bit = four >> (np.uint8(3) - place) & np.uint8(1)
+        valid = (place < self.valid.take(at)).view(np.uint8)
+        gate = np.minimum(self.gate.take(at) + place, self.last_gate.take(at))
+        return bit, valid, gate, np.uint8(1) << place | four >> (np.uint8(4) - place)
+
+    def inputs(self, tables: np.ndarray, firsts: list[np.ndarray], slot: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The predictions at slots of the contexts' tables, stretched, times SCALE, and the gate's confidence."""
+        x, sure, slot = [], None, slot.astype(np.int64)
+        for own, k in zip(tables, firsts, strict=True):
+            v = own.take(k + slot, mode="clip")
             sure = v & np.int16(1) if sure is None else sure + (v & np.int16(1))
             v >>= np.int16(1)
-            v = v.astype(np.float32)
-            v *= np.float32(1 / SCALE)
-            x.append(v)
+            x.append(v.astype(np.float32))
         return x, sure.astype(np.int64)
 
 
@@ -259,7 +262,11 @@ def spelled_rows(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[tupl
 
 # ---- what is gathered from the corpus ------------------------------------------------------------
 def count_bits(spelled: DataFrame, sent, wide: bool) -> np.ndarray:
-    """(CONTEXTS << bits, 2) counts of zeros and ones, context by context, scaled down where they don't fit 16 bits."""
+    """(CONTEXTS << bits, 2) counts of zeros and ones, context by context, scaled down where they don't fit 16 bits.
+
+    Bit b of slot j leads to node 2 * j + b of a line. Tasks count each line once, at the node behind its last bit;
+    a node's count is then its own and those of the two nodes after it.
+    """
     bits = sent.value[2]
     size = CONTEXTS << bits
 
@@ -269,14 +276,13 @@ def count_bits(spelled: DataFrame, sent, wide: bool) -> np.ndarray:
         for rows, _ in spelled_rows(batches, wide):
             symbol, seeds, _ = model.symbols(rows)
             for lo in range(0, len(symbol), CHUNK):
-                _, bit, valid, _, slots = model.spread(symbol[lo : lo + CHUNK], seeds[:, lo : lo + CHUNK])
-                once = valid.reshape(-1).astype(np.uint32)
-                for i, k in enumerate(slots):
-                    at = k.astype(np.int64)
-                    at += i << bits
-                    at += at
-                    at += bit
-                    np.add.at(counts, at.reshape(-1), once)
+                _, lines, firsts = model.lines_of(symbol[lo : lo + CHUNK], seeds[:, lo : lo + CHUNK])
+                last, once = model.last.take(lines), np.ones(len(lines), np.uint32)
+                for i, k in enumerate(firsts):
+                    k += i << bits
+                    k += k
+                    k += last
+                    np.add.at(counts, k, once)
         for k in range(0, size, MAP_PIECE):
             part = counts[2 * k : 2 * (k + MAP_PIECE)]
             if part.any():
@@ -289,6 +295,9 @@ def count_bits(spelled: DataFrame, sent, wide: bool) -> np.ndarray:
                 got = np.frombuffer(pa.decompress(x, decompressed_size=8 * min(MAP_PIECE, size), codec="zstd", asbytes=True), np.uint32).reshape(-1, 2)
                 total[k] = total[k] + got if k in total else got.astype(np.uint64)
         for k, t in total.items():
+            nodes = t.reshape(-1, 32)
+            for j in range(15, 1, -1):
+                nodes[:, j] += nodes[:, 2 * j] + nodes[:, 2 * j + 1]
             over = np.maximum(np.uint64(1), (t.max(axis=1) + np.uint64(59_999)) // np.uint64(60_000))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(t // over[:, None]).astype(np.uint16).tobytes()], pa.binary())], names=["piece", "counts"])
 
@@ -324,12 +333,13 @@ def learn(spelled: DataFrame, sent, tables, wide: bool) -> np.ndarray:
         for rows, _ in spelled_rows(batches, wide):
             symbol, seeds, _ = model.symbols(rows)
             for lo in range(0, len(symbol), STEP):
-                _, bit, valid, gate, slots = model.spread(symbol[lo : lo + STEP], seeds[:, lo : lo + STEP])
-                x, g = model.inputs(table_, [k << np.uint32(1) | bit for k in slots])
+                _, lines, firsts = model.lines_of(symbol[lo : lo + STEP], seeds[:, lo : lo + STEP])
+                bit, valid, gate, slot = model.spread(lines)
+                x, g = model.inputs(table_, [k + k for k in firsts], slot << np.uint8(1) | bit)
                 g += CONFIDENCE * gate.astype(np.int64)
-                err = _surprise(bit, valid, sum(wi.take(g, mode="clip") * v for wi, v in zip(w, x, strict=True)))[1].reshape(-1)
+                err = _surprise(bit, valid, _mix(w * np.float32(1 / SCALE), g, x))[1].reshape(-1)
                 g = g.reshape(-1)
-                step = np.stack([np.bincount(g, err * v.reshape(-1), GATES) for v in x])
+                step = np.stack([np.bincount(g, err * v.reshape(-1), GATES) for v in x]) / SCALE
                 moved += step**2
                 w += (RATE * step / np.sqrt(moved)).astype(np.float32)
                 seen += np.bincount(g, valid.reshape(-1), GATES)
@@ -344,16 +354,28 @@ def learn(spelled: DataFrame, sent, tables, wide: bool) -> np.ndarray:
     return out
 
 
+def _mix(weights: np.ndarray, g: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
+    """The sum of the contexts' predictions x by their weights at g."""
+    out = None
+    for wi, v in zip(weights, x, strict=True):
+        part = wi.take(g, mode="clip")
+        part *= v
+        out = part if out is None else np.add(out, part, out=out)
+    return out
+
+
 def _surprise(bit: np.ndarray, valid: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log of the probability given to the bits, what their predictions lack), from stretched predictions t; 0 where no bit is."""
-    sign = (valid.astype(np.int8) - 2 * (bit & valid).astype(np.int8)).astype(np.float32)
-    e = np.exp(np.clip(sign * t, -20, 20))
-    e1 = 1 + e
-    logs = np.log(e1)
-    logs *= -np.abs(sign)
+    """(one over the probability given to the bits, what their predictions lack), from stretched predictions t; 1 and 0 where no bit is.
+    Four of the first multiplied stay below 1e35."""
+    sign = (valid.view(np.int8) - 2 * (bit & valid).view(np.int8)).astype(np.float32)
+    e = t * sign
+    np.clip(e, -20, 20, out=e)
+    np.exp(e, out=e)
+    e *= valid
+    e1 = e + np.float32(1)
     e /= e1
-    e *= -sign
-    return logs, e
+    e *= sign
+    return e1, np.negative(e, out=e)
 
 
 def rounds(place: np.ndarray) -> np.ndarray:
@@ -367,28 +389,37 @@ def log_likelihoods(model: Model, table_: np.ndarray, weights: np.ndarray, rows:
     size = np.diff([*first, len(symbol)])
     row = np.repeat(np.arange(len(rows)), size)
     turn = rounds(np.arange(len(symbol)) - np.repeat(first, size))
-    order = np.argsort(turn, kind="stable")
+    # a row's last round moves no weights that are used again; its symbols come last in the round
+    ends = turn == np.repeat(turn[np.cumsum(size) - 1], size)
+    order = np.argsort(2 * turn + ends, kind="stable")
+    moving = np.cumsum(~ends[order])
     symbol, seeds, row, turn = symbol[order], seeds[:, order], row[order], turn[order]
     cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(turn)]
     own = np.zeros((CONTEXTS, len(rows) * OWN), np.float32)
     out = np.zeros(len(rows))
     for lo, hi in zip(cuts, cuts[1:], strict=False):
+        # each row's weights: those learnt and its own, which know words of the head from buckets alone
+        both = np.repeat(own.reshape(CONTEXTS, len(rows), 2, CONFIDENCE), [DEPTHS, BUCKET_DEPTHS], axis=2).reshape(CONTEXTS, len(rows), GATES)
+        both = ((both + weights[:, None]) * np.float32(1 / SCALE)).reshape(CONTEXTS, -1)
         grads, seen = np.zeros(own.shape), np.zeros(own.shape[1])
-        for a in range(lo, hi, CHUNK):
-            at = slice(a, min(a + CHUNK, hi))
-            n, bit, valid, gate, slots = model.spread(symbol[at], seeds[:, at])
-            x, g = model.inputs(table_, slots)
-            r = g + np.repeat(row[at] * OWN + CONFIDENCE * (symbol[at] >= model.first_bucket), n)
+        mid = lo + int(moving[hi - 1] - (moving[lo - 1] if lo else 0))
+        for a, b in [(a, min(a + CHUNK, to)) for since, to in ((lo, mid), (mid, hi)) for a in range(since, to, CHUNK)]:
+            at = slice(a, b)
+            n, lines, firsts = model.lines_of(symbol[at], seeds[:, at])
+            bit, valid, gate, slot = model.spread(lines)
+            x, sure = model.inputs(table_, firsts, slot)
+            g = sure + np.repeat(row[at] * GATES, n)
             g += CONFIDENCE * gate.astype(np.int64)
-            logs, err = _surprise(bit, valid, sum((wi.take(g, mode="clip") + oi.take(r, mode="clip")) * v for wi, oi, v in zip(weights, own, x, strict=True)))
-            out += np.bincount(np.repeat(row[at], n), logs.sum(axis=0), len(rows))
-            if hi < len(turn):
-                r, err = r.reshape(-1), err.reshape(-1)
+            e1, err = _surprise(bit, valid, _mix(both, g, x))
+            out -= np.bincount(np.repeat(row[at], n), np.log(e1[0] * e1[1] * e1[2] * e1[3]), len(rows))
+            if b <= mid:
+                sure += np.repeat(row[at] * OWN + CONFIDENCE * (symbol[at] >= model.first_bucket), n)
+                r, err = sure.reshape(-1), err.reshape(-1)
                 for i, v in enumerate(x):
                     grads[i] += np.bincount(r, err * v.reshape(-1), own.shape[1])
                 seen += np.bincount(r, valid.reshape(-1), own.shape[1])
-        if hi < len(turn):
-            own += (RATE_OWN * grads / np.sqrt(seen + 1)).astype(np.float32)
+        if mid > lo:
+            own += (RATE_OWN / SCALE * grads / np.sqrt(seen + 1)).astype(np.float32)
     return out
 
 

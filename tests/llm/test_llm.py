@@ -643,6 +643,20 @@ def test_scores_and_counts_against_a_plain_loop(spark):
     assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
 
 
+def test_counting_adds_once_a_line(spark):
+    """A line's bits are counted by its last node; sums over the nodes before are those of every bit."""
+    model, index = small_model()
+    ids, rare, before = spelled_row([*index][2:] + [b"rare%d" % i for i in range(9)] + [b""], index)
+    symbol, seeds, _ = model.symbols([(ids, rare, before)])
+    n, lines, firsts = model.lines_of(symbol, seeds)
+    bit, valid, _, slot = model.spread(lines)
+    assert int(n.sum()) == len(lines) == len(firsts[0]) and valid.sum() > 2 * len(lines) > 0
+    for k in range(len(lines)):
+        used = int(valid[:, k].sum())
+        nodes = [2 * int(slot[j, k]) + int(bit[j, k]) for j in range(used)]
+        assert nodes == [int(model.last[lines[k]]) >> used - 1 - j for j in range(used)]
+
+
 def test_every_training_row_has_a_say_in_the_weights(spark):
     """Each training row alone moves the weights from where they start; rows held out don't."""
     model, index = small_model(10)
