@@ -13,8 +13,9 @@ numbers; bit counts by hashed context (every task fills tables of one size, whos
 position in a stream); mixing weights, learnt online with each bit left out of the counts it is
 predicted from, then averaged over tasks; the score. What is sent to the tasks is ``head`` words with
 codes, 2**bits slots for each context, and the weights. Head and slots follow the number of distinct
-training words (``sizes``) and have no upper bound, so a task's memory grows with the vocabulary; the
-word counts stay in a shuffled table. Slots have no check value.
+training words (``sizes``) and have no upper bound, so a task's memory grows with the vocabulary: 4 bytes
+a slot for scoring, 5 for learning (``ways``, ``left_out``). The word counts stay in a shuffled table.
+Slots have no check value.
 
 Within a document, weights that its own bits call for are added to those learnt, after 8 symbols, 16,
 32, ..., and from 1024 on after each 1024.
@@ -55,10 +56,13 @@ STEP = 2048  # symbols between two updates while the weights are learnt
 RATE, RATE_OWN = 0.05, 0.15
 MAP_PIECE = 1 << 12
 PIECE = 1 << 16
-CHUNK = 4096  # symbols at a time
+CHUNK = 2048  # symbols at a time, so that what is made of them stays near
+TEXT_BYTES = 1 << 22  # of texts split at a time, or one text
 SCALE = 1500.0  # of stretched predictions, which are kept as integers
 END = b""
 START = np.uint32(0x7FFFFFFF)
+FOURS = np.uint64(0x0001000100010001)  # one in each of four numbers of 16 bits side by side
+AT_ONCE = 256  # rows scored together; their gates are numbered in 16 bits
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -83,6 +87,30 @@ def words_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The same for many texts: how many words each has, and all words. Arrow's ascii functions take the same bytes for letters and spaces."""
+    t = pc.ascii_ltrim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    t = pc.if_else(pc.equal(t, ""), t, pc.binary_join_element_wise(t, "", " "))  # what follows the last space is the end
+    lists = pc.ascii_split_whitespace(t)
+    return lists.value_lengths().to_numpy(), lists.flatten()
+
+
+def bytes_of(words: pa.Array) -> list[bytes]:
+    """As to_pylist() gives them, but without a scalar for each."""
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of TEXT_BYTES or fewer, or of one row."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(), dtype=np.int64)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TEXT_BYTES, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def training(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) != 2, F.lit(True))
 
@@ -91,19 +119,9 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over training rows; the end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
-
-        for b in batches_of(batches):
-            for t in b.column(0).to_pylist():
-                seen.update(words_of(t))
-            if len(seen) > 300_000:
-                yield rows()
-        yield rows()
+        for b in texts_of(batches):
+            found = pc.value_counts(words_in(b.column("text"))[1])
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], names=["word", "n"])
 
     return docs.where("train").select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -124,24 +142,30 @@ def spell(docs: DataFrame, sent, wide: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = {w: i + 1 for i, w in enumerate(sent.value)}.get
-        for b in batches_of(batches):
+        for b in texts_of(batches):
             at, sizes_, ids, rares, tails, befores = [], [], [], [], [], []
             n_bytes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
-            for i, t in enumerate(b.column("text").to_pylist()):
-                words = words_of(t)
+            n_words, words = words_in(b.column("text"))
+            # each distinct word is looked up once
+            words = words.dictionary_encode()
+            word, distinct = words.indices.to_numpy(), bytes_of(words.dictionary)
+            id_of = np.fromiter(map(get, distinct, repeat(0)), code, len(distinct))
+            hash_of = np.fromiter((0 if i else crc32(w) for w, i in zip(distinct, id_of.tolist(), strict=True)), "<u4", len(distinct))
+            ends = np.cumsum(n_words, dtype=np.int64).tolist()
+            for i, (first, end) in enumerate(zip([0, *ends], ends, strict=False)):
                 before = (START, START, np.uint32(0))
-                for lo in range(0, len(words), PIECE):
-                    part = words[lo : lo + PIECE]
-                    x = np.fromiter(map(get, part, repeat(0)), code, len(part))
-                    tail = [part[k] for k in np.flatnonzero(x == 0).tolist()]
-                    rare = np.fromiter(map(crc32, tail), "<u4", len(tail))
+                for lo in range(first, end, PIECE):
+                    part = word[lo : min(lo + PIECE, end)]
+                    x = id_of[part]
+                    tail = part[x == 0]
+                    rare = hash_of[tail]
                     at.append(i)
-                    sizes_.append(0 if lo else n_bytes[i])
+                    sizes_.append(n_bytes[i] if lo == first else 0)
                     ids.append(x.tobytes())
                     rares.append(rare.tobytes())
-                    tails.append(b"\n".join([*tail, b""]))
+                    tails.append(b"\n".join([*map(distinct.__getitem__, tail.tolist()), b""]))
                     befores.append(np.array(before, "<u4").tobytes())
-                    if len(words) > lo + PIECE:
+                    if end > lo + PIECE:
                         own = names_of(x, rare)
                         common = np.flatnonzero((x > 0) & (x <= COMMON))
                         before = (own[-1], own[-2] if len(own) > 1 else before[0], np.uint32(x[common[-1]]) if len(common) else before[2])
@@ -154,12 +178,17 @@ def spell(docs: DataFrame, sent, wide: bool) -> DataFrame:
     return d.select("_lm_id", "doc_id", "train", "text").mapInArrow(run, f"_lm_id long, doc_id {id_type}, train boolean, n_bytes long, ids binary, rare binary, tail binary, before binary")
 
 
+# A context's predictions as its lines' bits meet them on their way, several in one number, so that one look finds
+# them: (shift, numbers) for each part of the way, by first slot + four bits, shifted.
+Paths = list[tuple[int, np.ndarray]]
+
+
 class Model:
     """Codes of words and of buckets, and the way from spelled rows to bits and slots.
 
     Codes are cut into lines of four bits. The nodes that a line's bits leave have 16 slots side by side, found by
-    one hash of the context and the line's first node. Arrays of bits have a row for each place in a line, a column
-    for each line; the places past a code's end are there, too, and marked.
+    one hash of the context and the line's first node. Arrays of bits have the four places of each line side by side,
+    as numbers of 16 bits in one of 64; the places past a code's end are there, too, and marked.
     """
 
     def __init__(self, word_lengths: dict[int, int], bucket_bits: int, bits: int):
@@ -182,7 +211,11 @@ class Model:
         self.lines, self.node, self.four, self.valid, self.gate = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.begin = np.cumsum(self.lines) - self.lines
         self.last = (np.uint8(1) << self.valid | self.four >> (np.uint8(4) - self.valid)).astype(np.int64)  # the node behind a line's last bit
-        self.last_gate = np.where(np.arange(len(self.gate)) < len(parts[0][1]), DEPTHS, DEPTHS + BUCKET_DEPTHS).astype(np.uint8) - np.uint8(1)
+        self.first_bucket_line = len(parts[0][1])
+        self.last_gate = np.where(np.arange(len(self.gate)) < self.first_bucket_line, DEPTHS, DEPTHS + BUCKET_DEPTHS).astype(np.uint8) - np.uint8(1)
+        bit, valid, gate, _ = self.spread(np.arange(len(self.four)))
+        self.signs = np.ascontiguousarray((valid.view(np.int8) - 2 * (bit & valid).view(np.int8)).T).view(np.uint32).reshape(-1)  # of each place 1, of a one -1, where no bit is 0
+        self.gates = np.ascontiguousarray(CONFIDENCE * gate.T.astype(np.uint16)).view(np.uint64).reshape(-1)
 
     def symbols(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of spelled rows: the symbols; three seeds of contexts for each; and where the rows begin."""
@@ -211,12 +244,14 @@ class Model:
     def lines_of(self, symbol: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of symbols: how many lines each has, the lines, and in each context's table the first of the 16 slots of each line."""
         n = self.lines.take(symbol)
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(n) else 0)
-        at += np.repeat(self.begin.take(symbol) - (ends - n), n)
+        ends, of = np.cumsum(n), np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(of))
+        at += (self.begin.take(symbol) - (ends - n)).take(of)
         node, firsts = self.node.take(at), []
         for i in range(CONTEXTS):
-            k = node.copy() if i == 0 else node + np.repeat(seeds[i - 1], n)
+            k = node.copy() if i == 0 else seeds[i - 1].take(of)
+            if i:
+                k += node
             k ^= k >> np.uint32(15)
             k *= np.uint32(0x2C1B3C6D)
             k >>= np.uint32(36 - self.bits)
@@ -232,15 +267,18 @@ class Model:
         gate = np.minimum(self.gate.take(at) + place, self.last_gate.take(at))
         return bit, valid, gate, np.uint8(1) << place | four >> (np.uint8(4) - place)
 
-    def inputs(self, tables: np.ndarray, firsts: list[np.ndarray], slot: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """The predictions at slots of the contexts' tables, stretched, times SCALE, and the gate's confidence."""
-        x, sure, slot = [], None, slot.astype(np.int64)
+    def inputs(self, tables: list[Paths], firsts: list[np.ndarray], lines: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The predictions of the contexts' tables on the lines' ways, stretched, times SCALE; and how many contexts are often seen at each place."""
+        x, sure, four = [], None, self.four.take(lines).astype(np.int64)
         for own, k in zip(tables, firsts, strict=True):
-            v = own.take(k + slot, mode="clip")
-            sure = v & np.int16(1) if sure is None else sure + (v & np.int16(1))
+            k += four
+            v = [part.take(k >> np.int64(shift) if shift else k, mode="clip") for shift, part in own]
+            v = v[0] if len(v) == 1 else np.stack(v, axis=1).view(np.uint64).reshape(-1)
+            sure = v & FOURS if sure is None else sure + (v & FOURS)
+            v = v.view(np.int16)
             v >>= np.int16(1)
             x.append(v.astype(np.float32))
-        return x, sure.astype(np.int64)
+        return x, sure
 
 
 def spelled_rows(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[tuple[list, pa.RecordBatch]]:
@@ -316,10 +354,28 @@ def predictions(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return ((np.rint(st * SCALE).astype(np.int16) << 1) + often.reshape(-1)).reshape(CONTEXTS, -1)
 
 
-def left_out(counts: np.ndarray) -> np.ndarray:
-    """The same for a bit left out of the counts it is predicted from: at 2 * slot if it is 0, at 2 * slot + 1 if it is 1."""
+def ways(tables: np.ndarray) -> list[Paths]:
+    """Predictions by slot as paths. A bit's slot follows from the bits before it, so the last of four doesn't tell."""
+    four = np.arange(8)
+    return [[(1, side_by_side(own.reshape(-1, 16), [8 + four >> 3 - k for k in range(4)]))] for own in tables]
+
+
+def side_by_side(lines: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """Of each line the entries at places, those of one index in one number."""
+    out = np.empty((len(lines), len(places[0]), len(places)), np.int16)
+    for k, place in enumerate(places):
+        out[:, :, k] = lines[:, place]
+    return out.view(np.uint64 if len(places) == 4 else np.uint32).reshape(-1)
+
+
+def left_out(counts: np.ndarray) -> list[Paths]:
+    """The same for bits left out of the counts they are predicted from, as paths, in two parts of two bits."""
     zero, one = counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32)
-    return np.stack([predictions(np.maximum(zero - 1, 0), one), predictions(zero, np.maximum(one - 1, 0))], axis=2).reshape(CONTEXTS, -1)
+    four, out = np.arange(16), []
+    for own in np.stack([predictions(np.maximum(zero - 1, 0), one), predictions(zero, np.maximum(one - 1, 0))], axis=2):
+        own = own.reshape(-1, 32)
+        out.append([(2, side_by_side(own, [2 + (four[:4] >> 1), 4 + four[:4]])), (0, side_by_side(own, [8 + (four >> 1), 16 + four]))])
+    return out
 
 
 def learn(spelled: DataFrame, sent, tables, wide: bool) -> np.ndarray:
@@ -334,15 +390,15 @@ def learn(spelled: DataFrame, sent, tables, wide: bool) -> np.ndarray:
             symbol, seeds, _ = model.symbols(rows)
             for lo in range(0, len(symbol), STEP):
                 _, lines, firsts = model.lines_of(symbol[lo : lo + STEP], seeds[:, lo : lo + STEP])
-                bit, valid, gate, slot = model.spread(lines)
-                x, g = model.inputs(table_, [k + k for k in firsts], slot << np.uint8(1) | bit)
-                g += CONFIDENCE * gate.astype(np.int64)
-                err = _surprise(bit, valid, _mix(w * np.float32(1 / SCALE), g, x))[1].reshape(-1)
-                g = g.reshape(-1)
-                step = np.stack([np.bincount(g, err * v.reshape(-1), GATES) for v in x]) / SCALE
+                x, sure = model.inputs(table_, firsts, lines)
+                g = (sure + model.gates.take(lines)).view(np.uint16).astype(np.int64)
+                sign = model.signs.take(lines).view(np.int8).astype(np.float32)
+                bits = np.abs(sign)
+                err = _surprise(sign, bits, _mix(w * np.float32(1 / SCALE), g, x))[1]
+                step = np.stack([np.bincount(g, np.multiply(err, v, out=v), GATES) for v in x]) / SCALE
                 moved += step**2
                 w += (RATE * step / np.sqrt(moved)).astype(np.float32)
-                seen += np.bincount(g, valid.reshape(-1), GATES)
+                seen += np.bincount(g, bits, GATES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(GATES)), pa.array(seen.astype(np.int64)), *(pa.array(wi.astype(np.float64) * seen) for wi in w)], names=["gate", "n", *cols])
 
     cols = [f"w{i}" for i in range(CONTEXTS)]
@@ -364,14 +420,13 @@ def _mix(weights: np.ndarray, g: np.ndarray, x: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _surprise(bit: np.ndarray, valid: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _surprise(sign: np.ndarray, bits: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one over the probability given to the bits, what their predictions lack), from stretched predictions t; 1 and 0 where no bit is.
     Four of the first multiplied stay below 1e35."""
-    sign = (valid.view(np.int8) - 2 * (bit & valid).view(np.int8)).astype(np.float32)
-    e = t * sign
-    np.clip(e, -20, 20, out=e)
-    np.exp(e, out=e)
-    e *= valid
+    t *= sign
+    np.clip(t, -20, 20, out=t)
+    e = np.exp(t, out=t)
+    e *= bits
     e1 = e + np.float32(1)
     e /= e1
     e *= sign
@@ -383,8 +438,14 @@ def rounds(place: np.ndarray) -> np.ndarray:
     return np.where(place < 1024, np.maximum(np.frexp(place)[1] - 3, 0), 7 + place // 1024)
 
 
-def log_likelihoods(model: Model, table_: np.ndarray, weights: np.ndarray, rows: list) -> np.ndarray:
-    """Natural logs of the rows' probabilities. All rows of a round are looked at together, then each one's own weights move."""
+def log_likelihoods(model: Model, tables: np.ndarray, weights: np.ndarray, rows: list) -> np.ndarray:
+    """Natural logs of the rows' probabilities, by the predictions in slots."""
+    ways_ = ways(tables)
+    return np.concatenate([np.zeros(0), *(logs_of(model, ways_, weights, rows[k : k + AT_ONCE]) for k in range(0, len(rows), AT_ONCE))])
+
+
+def logs_of(model: Model, tables: list[Paths], weights: np.ndarray, rows: list) -> np.ndarray:
+    """The same for AT_ONCE rows or fewer, by paths. All rows of a round are looked at together, then each one's own weights move."""
     symbol, seeds, first = model.symbols(rows)
     size = np.diff([*first, len(symbol)])
     row = np.repeat(np.arange(len(rows)), size)
@@ -396,28 +457,34 @@ def log_likelihoods(model: Model, table_: np.ndarray, weights: np.ndarray, rows:
     symbol, seeds, row, turn = symbol[order], seeds[:, order], row[order], turn[order]
     cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(turn)]
     own = np.zeros((CONTEXTS, len(rows) * OWN), np.float32)
+    by_row, own_by_row = np.zeros(len(rows), np.uint64), FOURS * np.arange(0, len(rows) * OWN, CONFIDENCE, np.uint64)
     out = np.zeros(len(rows))
     for lo, hi in zip(cuts, cuts[1:], strict=False):
-        # each row's weights: those learnt and its own, which know words of the head from buckets alone
-        both = np.repeat(own.reshape(CONTEXTS, len(rows), 2, CONFIDENCE), [DEPTHS, BUCKET_DEPTHS], axis=2).reshape(CONTEXTS, len(rows), GATES)
+        # the weights of each row in this round: those learnt and its own, which know words of the head from buckets alone
+        live = np.flatnonzero(np.bincount(row[lo:hi], minlength=len(rows)))
+        by_row[live] = FOURS * np.arange(0, len(live) * GATES, GATES, np.uint64)
+        both = np.repeat(own.reshape(CONTEXTS, len(rows), 2, CONFIDENCE)[:, live], [DEPTHS, BUCKET_DEPTHS], axis=2).reshape(CONTEXTS, len(live), GATES)
         both = ((both + weights[:, None]) * np.float32(1 / SCALE)).reshape(CONTEXTS, -1)
         grads, seen = np.zeros(own.shape), np.zeros(own.shape[1])
         mid = lo + int(moving[hi - 1] - (moving[lo - 1] if lo else 0))
         for a, b in [(a, min(a + CHUNK, to)) for since, to in ((lo, mid), (mid, hi)) for a in range(since, to, CHUNK)]:
             at = slice(a, b)
             n, lines, firsts = model.lines_of(symbol[at], seeds[:, at])
-            bit, valid, gate, slot = model.spread(lines)
-            x, sure = model.inputs(table_, firsts, slot)
-            g = sure + np.repeat(row[at] * GATES, n)
-            g += CONFIDENCE * gate.astype(np.int64)
-            e1, err = _surprise(bit, valid, _mix(both, g, x))
-            out -= np.bincount(np.repeat(row[at], n), np.log(e1[0] * e1[1] * e1[2] * e1[3]), len(rows))
+            x, sure = model.inputs(tables, firsts, lines)
+            of = np.repeat(row[at], n)
+            g = (sure + model.gates.take(lines) + by_row.take(of)).view(np.uint16).astype(np.int64)
+            sign = model.signs.take(lines).view(np.int8).astype(np.float32)
+            bits = np.abs(sign)
+            e1, err = _surprise(sign, bits, _mix(both, g, x))
+            e1 = e1.reshape(-1, 4)
+            out -= np.bincount(of, np.log(e1[:, 0] * e1[:, 1] * e1[:, 2] * e1[:, 3]), len(rows))
             if b <= mid:
-                sure += np.repeat(row[at] * OWN + CONFIDENCE * (symbol[at] >= model.first_bucket), n)
-                r, err = sure.reshape(-1), err.reshape(-1)
+                of *= 2
+                of += lines >= model.first_bucket_line
+                r = (sure + own_by_row.take(of)).view(np.uint16).astype(np.int64)
                 for i, v in enumerate(x):
-                    grads[i] += np.bincount(r, err * v.reshape(-1), own.shape[1])
-                seen += np.bincount(r, valid.reshape(-1), own.shape[1])
+                    grads[i] += np.bincount(r, np.multiply(err, v, out=v), own.shape[1])
+                seen += np.bincount(r, bits, own.shape[1])
         if mid > lo:
             own += (RATE_OWN / SCALE * grads / np.sqrt(seen + 1)).astype(np.float32)
     return out
@@ -441,7 +508,7 @@ def fit(docs: DataFrame, head: int | None = None, bits: int | None = None):
     for_learning = spark.sparkContext.broadcast(left_out(counts))
     weights = learn(spelled, sent, for_learning, wide)
     for_learning.unpersist()
-    scores = predictions(counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32))
+    scores = ways(predictions(counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32)))
     # within its bucket a word outside the head has its count's share; an unknown one what is left for new words
     novel = (total.once + 1) / (total.once + 1 + tail_n)
     outside = (F.col("n") < ns[-1]) | ((F.col("n") == ns[-1]) & (F.col("word") > F.lit(names[-1]))) if ns else F.lit(True)
@@ -467,7 +534,7 @@ def score(docs: DataFrame, head: int | None = None, bits: int | None = None) ->
             n = [len(r[0]) for r in rows]
             in_head = [int((r[0] > 0).sum()) for r in rows]
             base_head = [float(base[r[0][r[0] > 0]].sum()) for r in rows]
-            logs = log_likelihoods(model, *mixing.value, rows)
+            logs = logs_of(model, *mixing.value, rows)
             yield pa.RecordBatch.from_arrays([b.column("_lm_id"), b.column("doc_id"), b.column("train"), b.column("n_bytes"), *map(pa.array, (n, in_head, base_head, logs))], names=["_lm_id", "doc_id", "train", "n_bytes", "n_tokens", "n_head", "base_head", "logs"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -657,6 +658,43 @@ def test_counting_adds_once_a_line(spark):
         assert nodes == [int(model.last[lines[k]]) >> used - 1 - j for j in range(used)]
 
 
+def test_words_of_many_texts_are_those_of_each():
+    """Arrow's split of a whole batch gives the words of bytes.split() and the end, whatever the spaces; each row comes once."""
+    odd = [None, "", " ", "\n\n", "a", " a", "a ", "\t A\x0bB\x0c\r\nc  ", "\u00c9t\u00c9 \u00a0x\u2003Y", "\x1c\x1d\x1e\x1f\x85 q", "\x00 \x00", *(f"Z{chr(i)}y" for i in range(0x180)), "\U0001f600 \U00010400"]
+    for texts in (odd, [], [None], ["", None, "w"]):
+        n, words = lm_score.words_in(pa.array(texts, pa.string()))
+        got, at = lm_score.bytes_of(words), 0
+        for t, k in zip(texts, n.tolist(), strict=True):
+            assert got[at : at + k] == lm_score.words_of(t), repr(t)
+            at += k
+        assert at == len(got)
+    texts = ["x" * 10, None, "y" * (lm_score.TEXT_BYTES + 1), *["z" * (lm_score.TEXT_BYTES // 3)] * 5]
+    parts = [b.column("text").to_pylist() for b in lm_score.texts_of(iter([pa.RecordBatch.from_pydict({"text": texts})]))]
+    assert [t for p in parts for t in p] == texts and len(parts) > 2
+    assert all(len(p) == 1 or sum(map(len, filter(None, p))) <= lm_score.TEXT_BYTES for p in parts)
+
+
+def test_one_look_finds_a_lines_predictions():
+    """The paths hold, line by line, the predictions that the slots of its bits hold, and those left out the prediction without the bit itself."""
+    model, index = small_model()
+    symbol, seeds, _ = model.symbols([spelled_row([*index][2:] + [b"rare%d" % i for i in range(40)] + [b""], index)])
+    _, lines, firsts = model.lines_of(symbol, seeds)
+    bit, valid, gate, slot = model.spread(lines)
+    counts = np.random.default_rng(3).integers(1, 60, (lm_score.CONTEXTS << 12, 2)).astype(np.float32)
+    zero, one = counts.T
+    tables = lm_score.predictions(zero, one)
+    less = [lm_score.predictions(zero - 1, one), lm_score.predictions(zero, one - 1)]
+    for paths, wanted in ((lm_score.ways(tables), lambda i, k, j: tables[i, k]), (lm_score.left_out(counts), lambda i, k, j: np.where(bit[j], less[1][i, k], less[0][i, k]))):
+        x, sure = model.inputs(paths, [f.copy() for f in firsts], lines)
+        for j in range(4):
+            want = [wanted(i, firsts[i] + slot[j], j) for i in range(lm_score.CONTEXTS)]
+            for i in range(lm_score.CONTEXTS):
+                assert (x[i].reshape(-1, 4)[:, j] == want[i] >> 1).all(), (i, j)
+            assert (sure.view(np.uint16).reshape(-1, 4)[:, j] == sum(w & 1 for w in want)).all()
+    signs, gates = model.signs.take(lines).view(np.int8).reshape(-1, 4), model.gates.take(lines).view(np.uint16).reshape(-1, 4)
+    assert (signs.T == np.where(valid, 1 - 2 * bit.astype(int), 0)).all() and (gates.T == lm_score.CONFIDENCE * gate.astype(int)).all()
+
+
 def test_every_training_row_has_a_say_in_the_weights(spark):
     """Each training row alone moves the weights from where they start; rows held out don't."""
     model, index = small_model(10)
