@@ -175,3 +175,14 @@ def test_neighbourhood_gives_incoming_edges_what_is_left(spark, outs, want):
     got = graph.neighbourhood(spark.createDataFrame(rel, "id string, src string, dst string, kind string, closed boolean"), ent, "hub").collect()
     into = sorted(r.edge for r in got if r.direction == "in")
     assert (len(got) - len(into), len(into)) == want and into == [f"i{i:02}" for i in range(want[1])]
+
+
+def test_runs_of_strange_texts_are_as_in_the_twin(spark, tmp_path):
+    texts = [None, "", "\n", "\n\n\n", "\r\n", "a\r\nb\r\n", "\r", "abc\nabc\nabc", "abc\r\nabc", "é́x\né́x", "\U0001f600", "x\0y\x85z w", "  \n  ", "a\n\n\nb\n", "no break", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    c.execute(registry.ORACLES["h2_dedup_runs"])
+    df = registry.QUERIES["h2_dedup_runs"](spark, str(tmp_path))
+    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert got == rows_of([d[0] for d in c.description], c.fetchall()) and len(got[1]) == 13
