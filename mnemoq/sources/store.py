@@ -31,12 +31,13 @@ def commits(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema("commit long, " + schema).parquet(f"{path}/commits") if exists(spark, f"{path}/commits") else spark.createDataFrame([], "commit long, " + schema)
 
 
-def commit(spark: SparkSession, path: str, schema: str, **values) -> int:
-    """Publish what was written aside: one row in one file, under the next number; returns the number."""
+def commit(spark: SparkSession, path: str, schema: str, *rows: dict, **values) -> int:
+    """Publish what was written aside: one row, or several that count together, in one file, under the next numbers; returns the first."""
     last = commits(spark, path, schema).agg(F.max("commit")).first()[0]
     number = 0 if last is None else last + 1
     names = [c.split()[0] for c in schema.split(", ")]
-    spark.createDataFrame([(number, *[values[n] for n in names])], "commit long, " + schema).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    said = [(number + i, *[r[n] for n in names]) for i, r in enumerate(rows or [values])]
+    spark.createDataFrame(said, "commit long, " + schema).coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return number
 
 

@@ -186,3 +186,14 @@ def test_runs_of_strange_texts_are_as_in_the_twin(spark, tmp_path):
     df = registry.QUERIES["h2_dedup_runs"](spark, str(tmp_path))
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     assert got == rows_of([d[0] for d in c.description], c.fetchall()) and len(got[1]) == 13
+
+
+def test_sentences_are_chosen_alike_in_arrow_batches_and_by_columns(spark):
+    texts = [None, "", " ", "One. Two two! Three three three?\nÉté ÉTÉ naïve x_y 12½ Ⅷ 中文。", "the and of. is. are!", "a.b.c\n\n\n...", "tab\there\vand\x85there end.  x.", "w " * 16384 + ".", " ".join(f"Topic{i % 9} says {i} things of word{i % 4}, and topic{i % 5}." for i in range(200))]
+    d = spark.createDataFrame([(i, t, k) for i, t in enumerate(texts) for k in (1, 32, 300)], "id int, t string, k long")
+    d = text.with_extract(d, F.col("k"), "t").withColumn("s", text.sentences(F.col("t")))
+    got = d.withColumn("arrow", F.arrow_udf(text.chosen, "array<string>")("s", "k")).collect()
+    assert len(got) == 27 and all((r.arrow or []) == (r._picks or []) for r in got), [r for r in got if r.arrow != r._picks][:1]
+    for x in (0.0078125, 1.0000005, 2.5000005, 12345.6789015, 7 / 3**0.5):
+        want = spark.range(1).select(F.round(F.lit(x), 6)).first()[0]
+        assert text._millionths(x) / 1e6 == want

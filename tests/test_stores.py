@@ -122,3 +122,17 @@ def test_files_are_compressed_as_texts(spark, tmp_path):
     path = store.folder(spark, "events")
     event_log.record(path, text.compress_events(kept))
     assert event_log.events(spark, path).agg(F.sum("input_tokens")).first()[0] == sum(r.original for r in got.values())
+
+
+def test_a_drain_takes_a_bounded_number_of_jobs_and_does_what_steps_do(spark, monkeypatch):
+    long = "The engine reads every row of the table and keeps the best sentences. Short rows stay as they are. Nothing else happens here today! "
+    rows = spark.createDataFrame([(i * 7, f"r{i}", None if i == 4 else long * (i % 3 * 3)) for i in range(60)], "rowid long, id string, content string")
+    one, all_, published = sweep.create(rows), sweep.create(rows), []
+    steps = [got for _ in range(6) if (got := sweep.step(spark, one, 11, 60))]
+    commit = store.commit
+    monkeypatch.setattr(store, "commit", lambda *a, **k: published.append(len(a) - 3) or commit(*a, **k))
+    assert sweep.drain(spark, all_, 11, 60, at_once=4) == steps and published == [4, 2] and [s["scanned"] for s in steps] == [11] * 5 + [5]
+    assert sorted(map(str, sweep.table(spark, one).collect())) == sorted(map(str, sweep.table(spark, all_).collect()))
+    sweep.add(all_, spark.createDataFrame([(1000, "late", long)], "rowid long, id string, content string"))
+    assert [(r.id, r.content) for r in sweep.table(spark, all_).where("not swept").collect()] == [("late", long)]
+    assert sweep.drain(spark, all_, 11, 60) != [] and sweep.table(spark, all_).where("swept").count() == 61
