@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemoq.functions.text import n_tokens
 from mnemoq.operators.graph import current
-from mnemoq.sources import domain
+from mnemoq.sources import domain, store
 from mnemoq.sources.domain import duck
 
 # fixed values: limits, titles and marks of the rendered text
@@ -17,6 +17,7 @@ TITLES = (("CALLS", "**Calls**: "), (None, "**References**: "), ("BAZEL_DEPENDS_
 CALLED_BY, SAME_FILE, IMPORTS = "**Called by**: ", "**Sibling symbols** (same file): ", "**Imports**: "
 CUT, CONTEXT_CUT = "\n…[truncated]\n", "\n…[truncated]"
 CONTEXT = "This file's symbols are indexed; ask for a symbol's neighbourhood to see its callers, callees and siblings.\n\nIndexed symbols in {}:\n"
+BITS = 1 << 24  # 2 MB: of a million keys it lets 6 % of other rows through
 _PLACE = ("project", "file_path", "line_range")
 
 
@@ -55,33 +56,50 @@ def _first(rows: DataFrame, by, order: list, most: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def likely(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose column may be among keys (a column ``id``): all that are, and few others. What is sent to the tasks is
+    a bitmap of hashes, BITS long at most, so rows that no join would keep aren't shuffled for it; the join still has to follow."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bits = keys.select(at("id").alias("_at")).groupBy(F.expr("_at div 32768").alias("_block")).agg(F.bitmap_construct_agg(F.col("_at") % 32768).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(_at % 32768 div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_at", at(column)).withColumn("_block", F.expr("_at div 32768")).join(F.broadcast(bits), "_block")
+    return held.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).select(*rows.columns)
+
+
 def resolved(symbols: DataFrame, entities: DataFrame) -> DataFrame:
     """(symbol, rank, n, id, name, ..): the entities with a symbol's id, then those with its name, eight at most; n is how many."""
     q = symbols.select("symbol").where("symbol is not null").distinct()
+    asked = q.select(F.col("symbol").alias("id"))
     e = entities.select("id", "name", *_PLACE, "signature")
-    both = q.join(e.withColumns({"symbol": F.col("id"), "_by": F.lit(0)}), "symbol").unionByName(q.join(e.where("id <> name").withColumns({"symbol": F.col("name"), "_by": F.lit(1)}), "symbol"))
+    by_id = likely(e, "id", asked).withColumns({"symbol": F.col("id"), "_by": F.lit(0)})
+    # of a name that very many share, eight go into the join
+    by_name = _first(likely(e.where("id <> name"), "name", asked), "name", ["id"], MATCHES).drop("rank").withColumns({"symbol": F.col("name"), "_by": F.lit(1)})
+    both = q.join(by_id, "symbol").unionByName(q.join(by_name, "symbol"))
     return _first(both, "symbol", ["_by", "id"], MATCHES).drop("_by").withColumn("n", F.count("*").over(W.partitionBy("symbol")))
 
 
 def neighbours(found: DataFrame, relations: DataFrame, entities: DataFrame, nodes: int = NODES) -> DataFrame:
     """(symbol, direction, rank, kind, other, name, ..) of symbols with one entity: outgoing edges up to half of nodes, and
-    incoming ones up to what those leave."""
-    r, e = current(relations), entities.select(F.col("id").alias("other"), "name", *_PLACE)
+    incoming ones up to what those leave. Edges go through two shuffles, with ids and names alone; places come to what is left."""
+    r, names, asked = current(relations), entities.select(F.col("id").alias("other"), "name"), found.select("symbol", "id")
 
     def way(here: str, there: str, most: int, name: str) -> DataFrame:
         ends = r.select(F.col(here).alias("id"), F.col(there).alias("other"), "kind", F.col("id").alias("edge"))
-        return _first(found.select("symbol", "id").join(ends, "id").join(e, "other"), "symbol", ["kind", "name", "edge"], most).withColumn("direction", F.lit(name))
+        # a symbol has one entity here, so an entity's ranks are those of its symbols
+        first = _first(likely(ends, "id", asked).join(names, "other"), "id", ["kind", "name", "edge"], most)
+        return asked.join(first, "id").withColumn("direction", F.lit(name))
 
     both = way("src", "dst", max(nodes // 2, 1), "out").unionByName(way("dst", "src", max(nodes, 1), "in"))
     out = F.count_if(F.col("direction") == "out").over(W.partitionBy("symbol"))  # nodes * 3 / 2 rows a symbol at most
-    return both.withColumn("_out", out).where((F.col("direction") == "out") | (F.col("rank") <= F.greatest(F.lit(nodes) - F.col("_out"), F.lit(1)))).drop("_out", "id", "edge")
+    both = both.withColumn("_out", out).where((F.col("direction") == "out") | (F.col("rank") <= F.greatest(F.lit(nodes) - F.col("_out"), F.lit(1)))).drop("_out", "id", "edge")
+    return both.join(entities.select(F.col("id").alias("other"), *_PLACE), "other")
 
 
 def markdown(symbols: DataFrame, relations: DataFrame, entities: DataFrame, nodes: int = NODES, cap: int = CAP) -> DataFrame:
     """(symbol, n, markdown): a symbol with no entity says so, one with several lists them, one with one shows its edges by kind
     and the symbols of its file. An edge to the same entity shows once a kind; entities without a name are left out. Each
     symbol's text is made from a bounded number of rows, with column functions."""
-    found = resolved(symbols, entities)
+    found = store.written(resolved(symbols, entities), "found")
     head = F.struct("rank", "id", "name", *_PLACE, "signature")
     heads = found.groupBy("symbol").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(head)).alias("m"))
     one = found.where("n = 1")
@@ -89,8 +107,10 @@ def markdown(symbols: DataFrame, relations: DataFrame, entities: DataFrame, node
     edge = F.struct("rank", "kind", "name", *_PLACE)
     edges = neighbours(one, relations, entities, nodes).where(named).groupBy("symbol", "direction", F.when(F.col("direction") == "out", F.col("kind")).alias("_k"), "other").agg(F.min(edge).alias("e"))
     edges = edges.groupBy("symbol").agg(*[F.array_sort(F.collect_list(F.when(F.col("direction") == w, F.col("e")))).alias(a) for a, w in (("_o", "out"), ("_i", "in"))])
-    near = one.select("symbol", F.col("id").alias("_id"), "file_path").join(entities.select("id", "name", "file_path", "line_range"), "file_path").where("id <> _id")
-    near = _first(near, "symbol", [F.col("line_range").asc_nulls_first(), "id"], SIBLINGS).where(named).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("_s"))
+    # the first of a file, and one more for the symbol itself, are found once a file: all its symbols are among its entities' neighbours
+    beside = _first(entities.where("file_path is not null").select("id", "name", "file_path", "line_range"), "file_path", [F.col("line_range").asc_nulls_first(), "id"], SIBLINGS + 1)
+    near = one.select("symbol", F.col("id").alias("_id"), "file_path").join(beside.withColumnRenamed("rank", "_r"), "file_path").where("id <> _id")
+    near = _first(near, "symbol", ["_r"], SIBLINGS).where(named).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("_s"))
     all_ = symbols.select("symbol").where("symbol is not null").distinct().join(heads, "symbol", "left").join(edges, "symbol", "left").join(near, "symbol", "left")
 
     h, tick = F.col("m")[0], lambda x: F.concat(F.lit("`"), x, F.lit("`"))

@@ -68,3 +68,31 @@ def test_spared_reads_prefer_the_root(spark):
     ents = spark.createDataFrame(ROWS, ENTITY)
     count = lambda root: {r.symbol: r.tokens for r in rendering.avoided_reads(asked, ents, files, root).collect()}
     assert count(None) == {"foo": 3, "far": 0, "dup": 0, "lone": 0} and count("/here")["foo"] == 2
+
+
+def _most_rows(plan) -> int:
+    """The greatest number of rows that any node of a plan has made."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _most_rows(plan.executedPlan())
+    own = plan.metrics().get("numOutputRows")
+    below = [plan.children().apply(i) for i in range(plan.children().size())] + ([plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else [])
+    return max([own.get().value() if own.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_rows_follow_the_symbols_of_a_file_and_not_their_square(spark):
+    ents = [(f"e{i:04}", f"n{i:04}" if i % 50 else "", "/p", "big.rs", None if i == 7 else f"{i % 300}:9", "s") for i in range(1200)] + [("u", "u", "/p", None, "1:1", None)]
+    rel = [(f"x{i}", f"e{i:04}", f"e{(i * 7) % 1200:04}", "CALLS", i % 5 == 0) for i in range(1200)]
+    got = rendering.markdown(spark.createDataFrame([(e[0],) for e in ents], "symbol string"), spark.createDataFrame(rel, RELATION), spark.createDataFrame(ents, ENTITY))
+    rows, order = got.collect(), sorted(ents[:-1], key=lambda e: (e[4] or "", e[0]))
+    for r in rows:
+        want = [f"`{e[1]}`" for e in [e for e in order if e[0] != r.symbol][:10] if e[1]] if r.symbol != "u" else []
+        line = [x for x in r.markdown.split("\n") if x.startswith(rendering.SAME_FILE)]
+        assert r.n == 1 and line == [rendering.SAME_FILE + ", ".join(want)] * bool(want), r
+    assert len(rows) == 1201 and _most_rows(got._jdf.queryExecution().executedPlan()) < 50_000
+
+
+def test_a_bitmap_keeps_all_that_is_asked_for(spark):
+    keys, rows = spark.range(0, 100_000, 7).selectExpr("concat('k', id) as id"), spark.range(100_000).selectExpr("concat('k', id) as x", "id as n")
+    kept = {r.n for r in rendering.likely(rows, "x", keys).collect()}
+    assert set(range(0, 100_000, 7)) <= kept and len(kept) < 15_000
+    assert rendering.likely(rows, "x", keys.where("false")).count() == 0
