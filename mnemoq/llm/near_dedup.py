@@ -42,6 +42,7 @@ K = 64
 INDEXED, SHARED = 24, 7
 ESTIMATE = 0.52  # union sketches below this are 4.2 standard deviations under 0.75
 TILE = 1024
+SMALL = 48  # rows of a tile up to which all its pairs are looked at together with those of other tiles
 MAX_BROADCAST = 500_000  # ids of listed documents, up to which they are sent to the scan; beyond, both sides are shuffled
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -218,13 +219,43 @@ def dealt_tiles(listed: DataFrame, first: DataFrame) -> DataFrame:
     return e.select("value", "doc_id", "component", F.explode(F.expr(mine)).alias("t")).select("value", "t.*", "doc_id", "component")
 
 
+_KEY = ["value", "kind", "i", "j"]
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in tables of whole tiles, with the tiles' first rows and the end; what a batch cuts off waits for the next one."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        new = np.zeros(max(t.num_rows - 1, 0), bool)
+        for c in _KEY:
+            x = t[c].to_numpy()
+            new |= x[1:] != x[:-1]
+        starts = np.concatenate([[0], np.nonzero(new)[0] + 1])
+        rest = t.slice(starts[-1]).combine_chunks()
+        if len(starts) > 1:
+            yield t.slice(0, starts[-1]).combine_chunks(), starts
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])
+
+
+def _small_pairs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within the tiles of up to SMALL rows."""
+    m, a, b = np.diff(starts), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.unique(m[(m > 1) & (m <= SMALL)]):
+        x, y = np.triu_indices(k, 1)
+        at = starts[:-1][m == k][:, None]
+        a.append((at + x).ravel())
+        b.append((at + y).ravel())
+    return np.concatenate(a), np.concatenate(b)
+
+
 def promising(dealt: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
-    """The rows of the tiles which by their sketches may be similar to a row of another component in the same tile."""
+    """The rows of the tiles which by their sketches may be similar to a row of another component in the same tile. Most tiles
+    are of a few rows, so a task goes through its tiles in Arrow batches of many: small ones together, large ones row by row."""
 
-    def run(key, t):  # at most two chunks
-        value, kind = key[0].as_py(), key[1].as_py()
-        ns, (name, at) = t["n"].to_numpy(), np.unique(t["component"].to_numpy(), return_inverse=True)
-        values, sk = [set(v) for v in t["values"].to_pylist()], _padded(t["sketch"].to_pylist())
+    def large(value: int, kind: int, ns: np.ndarray, comp: np.ndarray, values: list[set[int]], sk: np.ndarray) -> np.ndarray:
+        name, at = np.unique(comp, return_inverse=True)
         holders, biggest, found = _holders(sk), np.bincount(at).argmax(), np.zeros(len(ns), bool)
         for i in range(len(ns)):
             if kind == 0 and at[i] == biggest:
@@ -233,10 +264,28 @@ def promising(dealt: DataFrame, listed: DataFrame, percent: int) -> DataFrame:
             for k in _possible(i, sk, ns, holders, (at != at[i]) & ~(found & found[i]), percent).tolist():
                 if min(values[i] & values[k], default=None) == value:
                     found[i] = found[k] = True
-        return t.select(["value", "kind", "i", "j", "doc_id", "component"]).filter(pa.array(found))
+        return found
 
-    rows = dealt.join(listed.select("doc_id", "values", "n", "sketch"), "doc_id").select("value", "kind", "i", "j", "doc_id", "component", "values", "n", "sketch")
-    return rows.groupBy("value", "kind", "i", "j").applyInArrow(run, "value long, kind int, i int, j int, doc_id long, component long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in _whole_tiles(batches):
+            ns, comp, value, kind = (t[c].to_numpy() for c in ("n", "component", "value", "kind"))
+            values, sk, found = [set(v) for v in t["values"].to_pylist()], _padded(t["sketch"].to_pylist()), np.zeros(t.num_rows, bool)
+            a, b = _small_pairs(starts)
+            ok = (comp[a] != comp[b]) & _sizes_fit(ns[a], ns[b], percent)
+            a, b = a[ok], b[ok]
+            here = np.fromiter((min(values[x] & values[y], default=None) == v for x, y, v in zip(a.tolist(), b.tolist(), value[a].tolist(), strict=True)), bool, len(a))
+            a, b = a[here], b[here]
+            for k in range(0, len(a), 8192):
+                x, y = a[k : k + 8192], b[k : k + 8192]
+                near = similar(sk[x], sk[y]) >= ESTIMATE
+                found[x[near]] = found[y[near]] = True
+            for k in np.nonzero(np.diff(starts) > SMALL)[0]:
+                u = slice(starts[k], starts[k + 1])
+                found[u] = large(value[starts[k]], kind[starts[k]], ns[u], comp[u], values[u], sk[u])
+            yield from t.select([*_KEY, "doc_id", "component"]).filter(pa.array(found)).to_batches()
+
+    rows = dealt.join(listed.select("doc_id", "values", "n", "sketch"), "doc_id").select(*_KEY, "doc_id", "component", "values", "n", "sketch")
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(run, "value long, kind int, i int, j int, doc_id long, component long")
 
 
 def _tiles(listed: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

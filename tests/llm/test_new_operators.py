@@ -234,3 +234,35 @@ def test_index_lies_in_shared_files(spark):
     assert len(entries) == 40 and sum(r.size for r in entries) == 100 and len(slots) == 1 << index.directory.depth
     assert all(slots[(r.key % 2**64) >> (64 - index.directory.depth)][0] == r.bucket for r in entries)
     assert all(sum(r.bucket == b for r in entries) <= 4 for b, _ in slots.values())
+
+
+def test_many_small_tiles_go_through_arrow_together_and_none_is_lost(spark):
+    import numpy as np
+
+    from mnemoq.llm import near_dedup as nd
+
+    rng, docs, tiles = np.random.default_rng(3), [], []
+    for tile, m in enumerate([2, 3, 1, 47, 48, 49, 120, *rng.integers(1, 6, 400).tolist()]):
+        base = np.sort(rng.integers(1, 2**31, nd.K + 40))
+        for k in range(m):
+            own = np.sort(rng.permutation(base)[: nd.K]) if k % 3 else np.sort(rng.integers(1, 2**31, nd.K))
+            doc = len(docs)
+            docs.append((doc, [tile % 50, 1000 + tile, *([tile % 50 - 1] if k % 4 == 0 else [])], 400 if k % 5 else 100, own.astype("<u4").tobytes()))
+            tiles.append((tile % 50, tile % 2, 0, tile // 50, doc, doc - k % 2))
+    dealt = spark.createDataFrame(tiles, "value long, kind int, i int, j int, doc_id long, component long").repartition(7)
+    listed = spark.createDataFrame(docs, "doc_id long, values array<long>, n long, sketch binary")
+    out = nd.promising(dealt, listed, 75)
+    got = {(r.value, r.kind, r.i, r.j, r.doc_id) for r in out.collect()}
+    want, of, by = set(), {d[0]: d for d in docs}, {}
+    for t in tiles:
+        by.setdefault(t[:4], []).append(t)
+    sk = {d[0]: nd._padded([d[3]]) for d in docs}
+    for key, rows in by.items():
+        for a in rows:
+            for b in rows:
+                x, y = of[a[4]], of[b[4]]
+                if a[5] != b[5] and 100 * min(x[2], y[2]) >= 75 * max(x[2], y[2]) and min(set(x[1]) & set(y[1])) == key[0] and nd.similar(sk[x[0]], sk[y[0]])[0] >= nd.ESTIMATE:
+                    want |= {(*key, a[4]), (*key, b[4])}
+    assert got == want and 100 < len(want) < len(tiles)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
